@@ -7,6 +7,7 @@ import atexit
 import uuid
 from collections.abc import Callable, Iterable, Iterator
 
+import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
@@ -61,24 +62,27 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def slices(batches: Iterable[pa.RecordBatch], text: str = "text") -> Iterator[tuple[pa.RecordBatch, list[bytes | None]]]:
-    """Split Arrow batches into slices of bounded rows and bytes, each with its
-    texts as UTF-8 bytes."""
+def parts(batches: Iterable[pa.RecordBatch], text: str = "text", rows: int = 8192, size: int = 8 << 20) -> Iterator[pa.RecordBatch]:
+    """Split Arrow batches into parts of bounded rows and text bytes (a longer
+    text stands alone)."""
     for batch in batches:
         col = batch.column(batch.schema.get_field_index(text))
-        sizes = pc.fill_null(pc.binary_length(col), 0).to_pylist()
+        ends = np.cumsum(pc.fill_null(pc.binary_length(col), 0).to_numpy(zero_copy_only=False).astype(np.int64))
         at = 0
         while at < batch.num_rows:
-            end, size = at, 0
-            while end < batch.num_rows and end - at < SLICE_ROWS and (end == at or size + sizes[end] <= SLICE_BYTES):
-                size += sizes[end]
-                end += 1
-            part = batch.slice(at, end - at)
-            texts = part.column(part.schema.get_field_index(text))
-            yield part, texts.cast(pa.large_binary() if texts.type == pa.large_string() else pa.binary()).to_pylist()
+            done = int(ends[at - 1]) if at else 0
+            end = min(at + rows, max(at + 1, int(np.searchsorted(ends, done + size, side="right"))))
+            yield batch.slice(at, end - at)
             at = end
 
 
+def slices(batches: Iterable[pa.RecordBatch], text: str = "text") -> Iterator[tuple[pa.RecordBatch, list[bytes | None]]]:
+    """Small parts, each with its texts as UTF-8 bytes."""
+    for part in parts(batches, text, SLICE_ROWS, SLICE_BYTES):
+        texts = part.column(part.schema.get_field_index(text))
+        yield part, texts.cast(pa.large_binary() if texts.type == pa.large_string() else pa.binary()).to_pylist()
+
+
 def map_texts(df: DataFrame, rows: Callable[[pa.RecordBatch, list[bytes | None]], pa.RecordBatch | Iterable[pa.RecordBatch]], schema: str) -> DataFrame:
     """``mapInArrow`` whose function gets bounded slices and returns a batch."""
 

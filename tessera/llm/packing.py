@@ -14,6 +14,7 @@ cannot be combined well; the coarsest cut whose plan needs at most
 from __future__ import annotations
 
 import zlib
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -21,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tessera.llm.common import map_texts, materialize, pick
+from tessera.llm.common import map_texts, materialize, parts, pick
 from tessera.llm.tokens import default_tokenizer, encoder
 
 CAPACITY = 2048
@@ -231,18 +232,21 @@ def piece_table(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY) -> Da
     follows a document's length in sequences, not in ids."""
     cuts = [c for c in CUTS if c <= capacity]
 
-    def run(part: pa.RecordBatch, texts: list[bytes | None]) -> pa.RecordBatch:
-        packed = encoder(tokenizer).encode(texts)
-        full, tails = [], [[] for _ in cuts]
-        for ids in packed:
-            edge = len(ids) // (4 * capacity) * 4 * capacity
-            full.append([zlib.crc32(ids[i : i + 4 * capacity]) for i in range(0, edge, 4 * capacity)])
-            for out, cut in zip(tails, cuts, strict=True):
-                out.append([zlib.crc32(ids[i : i + 4 * cut]) for i in range(edge, len(ids), 4 * cut)])
-        cols = [part.column(0).cast(pa.int64()), pa.array([len(p) // 4 for p in packed], pa.int64()), pa.array(full, pa.list_(pa.int64())), *(pa.array(t, pa.list_(pa.int64())) for t in tails)]
-        return pa.RecordBatch.from_arrays(cols, names=["doc_id", "doc_tokens", "full", *(f"cut{c}" for c in cuts)])
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in parts(batches):
+            ids, sizes = encoder(tokenizer).encode_column(part.column(1))
+            raw = memoryview(np.ascontiguousarray(ids, dtype="<u4")).cast("B")
+            full, tails, at = [], [[] for _ in cuts], 0
+            for n in sizes.tolist():
+                edge, end = at + n // capacity * capacity, at + n
+                full.append([zlib.crc32(raw[4 * i : 4 * (i + capacity)]) for i in range(at, edge, capacity)])
+                for out, cut in zip(tails, cuts, strict=True):
+                    out.append([zlib.crc32(raw[4 * i : 4 * min(i + cut, end)]) for i in range(edge, end, cut)])
+                at = end
+            cols = [part.column(0).cast(pa.int64()), pa.array(sizes, pa.int64()), pa.array(full, pa.list_(pa.int64())), *(pa.array(t, pa.list_(pa.int64())) for t in tails)]
+            yield pa.RecordBatch.from_arrays(cols, names=["doc_id", "doc_tokens", "full", *(f"cut{c}" for c in cuts)])
 
-    return map_texts(pick(docs, "doc_id", "text"), run, "doc_id long, doc_tokens long, full array<long>, " + ", ".join(f"cut{c} array<long>" for c in cuts))
+    return pick(docs, "doc_id", "text").mapInArrow(run, "doc_id long, doc_tokens long, full array<long>, " + ", ".join(f"cut{c} array<long>" for c in cuts))
 
 
 def pack(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY) -> DataFrame:
@@ -264,8 +268,8 @@ def pack(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY) -> DataFrame
     pieces = pieces.select("doc_id", "doc_tokens", "edge", F.explode("p").alias("p")).select("doc_id", "doc_tokens", F.col("p.start").alias("start"), F.col("p.crc").alias("ids_crc32"), F.least(F.when(F.col("p.start") < F.col("edge"), F.lit(capacity)).otherwise(F.lit(cut)), F.col("doc_tokens") - F.col("p.start")).alias("length"))
     cls = F.when(F.col("length") <= TINY, F.col("length") - 1).otherwise(TINY + F.ceil((F.col("length") - TINY) / UNIT) - 1).cast("int")
     # a class may hold most pieces: ranks are counted within parts of it
-    parts = 4 * max(8, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    pieces = pieces.withColumn("cls", cls).withColumn("part", F.pmod(F.xxhash64("doc_id", "start", "ids_crc32"), F.lit(parts)).cast("int"))
+    spread = 4 * max(8, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    pieces = pieces.withColumn("cls", cls).withColumn("part", F.pmod(F.xxhash64("doc_id", "start", "ids_crc32"), F.lit(spread)).cast("int"))
     sizes = pieces.groupBy("cls", "part").agg(F.count("*").alias("n"))
     before = sizes.select("cls", "part", (F.sum("n").over(Window.partitionBy("cls").orderBy("part")) - F.col("n")).alias("before"))
     local = F.row_number().over(Window.partitionBy("cls", "part").orderBy("doc_id", "start", "ids_crc32")) - 1

@@ -24,7 +24,9 @@ BITS = 64
 RADIUS = 2
 SHINGLE = 3
 #: Larger shards are divided again by further blocks before trees are built.
-SPLIT_FROM = 512
+SPLIT_FROM = 20_000
+#: (query, node) pairs asked together, at most.
+FRONTIER = 500_000
 
 
 def fingerprint(words: list[bytes], k: int = SHINGLE) -> int:
@@ -43,43 +45,66 @@ def fingerprint(words: list[bytes], k: int = SHINGLE) -> int:
 
 
 class BKTree:
-    """Children keyed by integer Hamming distance to the parent."""
-
-    def __init__(self) -> None:
-        self.values: list[int] = []
-        self.children: list[dict[int, int]] = []
-
-    def near(self, value: int, radius: int) -> list[int]:
-        """Indices of members within ``radius``."""
-        out, stack = [], [0] if self.values else []
-        while stack:
-            i = stack.pop()
-            d = (self.values[i] ^ value).bit_count()
-            if d <= radius:
-                out.append(i)
-            kids = self.children[i]
-            stack += [kids[e] for e in range(max(1, d - radius), d + radius + 1) if e in kids]
-        return out
-
-    def add(self, value: int) -> int:
-        i = len(self.values)
-        self.values.append(value)
-        self.children.append({})
-        at = 0
-        while i:
-            d = (self.values[at] ^ value).bit_count()
-            if d not in self.children[at]:
-                self.children[at][d] = i
-                break
-            at = self.children[at][d]
-        return i
+    """Children keyed by integer Hamming distance to the parent. All members
+    are asked at once: a frontier of (query, node) pairs goes down the tree by
+    the edges within the radius."""
+
+    def __init__(self, values: np.ndarray):
+        self.values = values.astype(np.uint64)
+        self.child = np.full((len(values), BITS + 1), -1, dtype=np.int32)
+        plain = self.values.tolist()
+        child = [{} for _ in plain]
+        for i in range(1, len(plain)):
+            at = 0
+            while True:
+                d = (plain[at] ^ plain[i]).bit_count()
+                if d not in child[at]:
+                    child[at][d] = i
+                    break
+                at = child[at][d]
+        for i, kids in enumerate(child):
+            for d, j in kids.items():
+                self.child[i, d] = j
+
+    def near(self, queries: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
+        """Index pairs (query, member) within ``radius``."""
+        q, node = np.arange(len(queries)), np.zeros(len(queries), dtype=np.int64)
+        out = []
+        while len(q):
+            d = np.bitwise_count(queries[q] ^ self.values[node]).astype(np.int64)
+            hit = d <= radius
+            out.append((q[hit], node[hit]))
+            nexts = []
+            for e in range(-radius, radius + 1):
+                edge = d + e
+                kid = np.where((edge >= 1) & (edge <= BITS), self.child[node, np.clip(edge, 0, BITS)], -1)
+                go = kid >= 0
+                nexts.append((q[go], kid[go].astype(np.int64)))
+            q, node = (np.concatenate(x) for x in zip(*nexts, strict=True))
+        return tuple(np.concatenate(x) for x in zip(*out, strict=True))
 
 
 def link_shard(values: list[int], free: list[int], radius: int) -> list[tuple[int, int]]:
     """Forest of the links within one shard; ``free`` are the bits that its
     members don't share by construction."""
+    if len(values) == 2:
+        return [(values[0], values[1])] if (values[0] ^ values[1]).bit_count() <= radius else []
+    root, out = list(range(len(values))), []
+
+    def find(i: int) -> int:
+        while root[i] != i:
+            root[i] = root[root[i]]
+            i = root[i]
+        return i
+
+    def join(a: int, b: int) -> None:
+        x, y = find(a), find(b)
+        if x != y:
+            root[max(x, y)] = min(x, y)
+            out.append((values[a], values[b]))
+
     if len(values) > SPLIT_FROM and len(free) > 12:
-        out = []
+        index = {v: i for i, v in enumerate(values)}
         for keys, rest in blocks(free, radius):
             mask = sum(1 << b for b in keys)
             groups: dict[int, list[int]] = {}
@@ -87,25 +112,21 @@ def link_shard(values: list[int], free: list[int], radius: int) -> list[tuple[in
                 groups.setdefault(v & mask, []).append(v)
             for g in groups.values():
                 if len(g) > 1:
-                    out += link_shard(g, rest, radius)
+                    for a, b in link_shard(g, rest, radius):
+                        join(index[a], index[b])
         return out
-    tree, root, out = BKTree(), [], []
-
-    def find(i: int) -> int:
-        while root[i] != i:
-            root[i] = root[root[i]]
-            i = root[i]
-        return i
-
-    for v in values:
-        found = tree.near(v, radius)
-        i = tree.add(v)
-        root.append(i)
-        for j in found:
-            a, b = find(i), find(j)
-            if a != b:
-                root[max(a, b)] = min(a, b)
-                out.append((v, tree.values[j]))
+    members = np.array(values, dtype=np.uint64)
+    tree = BKTree(members)
+    step = max(1, FRONTIER // len(values))
+    for at in range(0, len(values), step):
+        q, node = tree.near(members[at : at + step], radius)
+        top = np.array([find(i) for i in range(len(values))])
+        differ = top[q + at] != top[node]
+        q, node = q[differ] + at, node[differ]
+        # one pair for each two roots is enough
+        _, first = np.unique(top[q] * len(values) + top[node], return_index=True)
+        for a, b in zip(q[first].tolist(), node[first].tolist(), strict=True):
+            join(a, b)
     return out
 
 

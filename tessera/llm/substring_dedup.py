@@ -4,8 +4,10 @@ Two equal windows of ``WINDOW`` words have the same least hash of their
 ``GRAM``-word grams. The first pass counts these least hashes, about one for
 ten windows, in count-min sketches: each task sends its counts by cell, and
 they are merged by ranges of cells. A sketch never counts too little, so a
-window whose estimate is one is unique. The second pass groups exactly (128
-bits over the words in order) the windows estimated repeated.
+window whose estimate is one is unique. The second pass groups exactly (by 128
+bits over the words in order) the windows estimated repeated: consecutive ones
+of equal least hash go together as a run, and one by one only where runs
+differ.
 
 The merged sketch is kept as one bit a cell, "counted twice or more". Its size
 is fixed by ``WIDTH_LOG2`` and ``DEPTH`` (two rows of 2^27 cells: 32 MB), which
@@ -193,17 +195,20 @@ def build_sketch(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, width:
     return Sketch([(r["row"], r["range"], bytes(r["bits"])) for r in merged.collect()], width)
 
 
-def repeated_windows(keyed: DataFrame, window: int = WINDOW, gram: int = GRAM, width: int = WIDTH_LOG2) -> DataFrame:
-    """``k0, k1, starts``: windows whose words start anywhere else too, by
-    document key (rows that repeat a key count each)."""
-    spark = keyed.sparkSession
-    sketch = spark.sparkContext.broadcast(build_sketch(keyed, window, gram, width))
+RUN_SCHEMA = "k0 long, k1 long, start int, n int, v long, a long, b long, self array<int>, hashes array<long>"
+
+
+def candidate_runs(keyed: DataFrame, sketch, window: int, gram: int) -> DataFrame:
+    """Runs of consecutive windows with one least gram hash ``v`` that is
+    estimated repeated: first window, number, 128-bit hash (``a, b``) of all
+    the run's words, windows that repeat inside the run, and a hash of each
+    window."""
     memo = WordHashes()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = sketch.value
         for part, texts in slices(batches):
-            rows, starts, one, two = [], [], [], []
+            rows, cols, inner, hashes, sizes = [], [[] for _ in range(5)], [], [], []
             for i, t in enumerate(texts):
                 words = t.split() if t else []
                 if len(words) < window:
@@ -211,23 +216,67 @@ def repeated_windows(keyed: DataFrame, window: int = WINDOW, gram: int = GRAM, w
                 h = memo.of(words)
                 _, m = window_minima(h, window, gram)
                 edge = np.flatnonzero(np.concatenate([[True], m[1:] != m[:-1]]))
-                again = np.repeat(known.repeated(m[edge]), np.diff(np.append(edge, len(m))))
-                at = np.flatnonzero(again)
-                if len(at):
-                    rows.append(np.full(len(at), i))
-                    starts.append(at)
-                    one.append(mix(rolling(h, window, _BASE1))[at])
-                    two.append(rolling(mix(h), window, _BASE2)[at])
+                size = np.diff(np.append(edge, len(m)))
+                again = known.repeated(m[edge])
+                edge, size = edge[again], size[again]
+                if not len(edge):
+                    continue
+                end = edge + size + window - 1
+                whole = []
+                for x, base in ((h, _BASE1), (mix(h), _BASE2)):
+                    up, down = _powers(base, len(x))
+                    total = np.concatenate([np.zeros(1, dtype=np.uint64), np.cumsum(x * up, dtype=np.uint64)])
+                    whole.append(mix((total[end] - total[edge]) * down[edge]))
+                at = np.repeat(edge - (np.cumsum(size) - size), size) + np.arange(int(size.sum()))
+                w = mix(rolling(mix(h), window, _BASE1))[at]
+                rows.append(np.full(len(edge), i))
+                for out, x in zip(cols, (edge, size, m[edge], *whole), strict=True):
+                    out.append(x)
+                hashes.append(w)
+                sizes.append(size)
+                found: list = [None] * len(edge)
+                if len(np.unique(w)) < len(w):
+                    for j, (lo, k) in enumerate(zip((np.cumsum(size) - size).tolist(), size.tolist(), strict=True)):
+                        _, where, count = np.unique(w[lo : lo + k], return_inverse=True, return_counts=True)
+                        if len(count) < k:
+                            found[j] = (edge[j] + np.flatnonzero(count[where] > 1)).tolist()
+                inner += found
             if rows:
                 take = pa.array(np.concatenate(rows))
                 k0, k1 = (part.column(part.schema.get_field_index(k)).take(take) for k in ("k0", "k1"))
-                cols = [k0, k1, pa.array(np.concatenate(starts).astype(np.int32)), pa.array(np.concatenate(one).view(np.int64)), pa.array(np.concatenate(two).view(np.int64))]
-                yield pa.RecordBatch.from_arrays(cols, names=["k0", "k1", "start", "h1", "h2"])
+                start, n, v, a, b = (np.concatenate(c) for c in cols)
+                listed = pa.ListArray.from_arrays(np.concatenate([[0], np.cumsum(np.concatenate(sizes))]).astype(np.int32), pa.array(np.concatenate(hashes).view(np.int64)))
+                yield pa.RecordBatch.from_arrays([k0, k1, pa.array(start.astype(np.int32)), pa.array(n.astype(np.int32)), *(pa.array(x.view(np.int64)) for x in (v, a, b)), pa.array(inner, pa.list_(pa.int32())), listed], names=["k0", "k1", "start", "n", "v", "a", "b", "self", "hashes"])
 
-    windows = materialize(keyed.mapInArrow(run, "k0 long, k1 long, start int, h1 long, h2 long"), "windows")
-    # counted by aggregates with map-side parts; the join's large side can be split
-    twice = windows.groupBy("h1", "h2").agg(F.count("*").alias("n")).where("n > 1").select("h1", "h2")
-    return windows.join(twice, ["h1", "h2"]).groupBy("k0", "k1").agg(F.collect_set("start").alias("starts"))
+    return keyed.mapInArrow(run, RUN_SCHEMA)
+
+
+def repeated_windows(keyed: DataFrame, window: int = WINDOW, gram: int = GRAM, width: int = WIDTH_LOG2) -> DataFrame:
+    """``k0, k1, found``: ranges ``(start, n)`` of windows whose words start
+    anywhere else too, by document key (rows that repeat a key count each).
+
+    Equal windows lie in runs of equal ``v``. A run that occurs twice as a
+    whole is repeated as a whole; single windows, keyed by ``v`` and their own
+    hash, are counted only where a ``v`` has different runs, each of them once
+    with its number. All counts are aggregates with map-side parts, and the
+    joins' large sides can be split.
+    """
+    sketch = keyed.sparkSession.sparkContext.broadcast(build_sketch(keyed, window, gram, width))
+    runs = materialize(candidate_runs(keyed, sketch, window, gram), "runs", compression="lz4_raw")
+    same = ["v", "a", "b", "n"]
+    kinds = materialize(runs.groupBy(*same).agg(F.count("*").alias("m"), F.min(F.struct("k0", "k1", "start")).alias("rep")), "run-kinds")
+    whole = runs.select("k0", "k1", "start", *same).join(kinds.where("m > 1").select(*same), same).select("k0", "k1", "start", "n")
+    inside = runs.where("self is not null").select("k0", "k1", F.explode("self").alias("start"), F.lit(1).alias("n"))
+
+    mixed = kinds.groupBy("v").agg(F.count("*").alias("d")).where("d > 1").select("v")
+    chosen = kinds.join(mixed, "v").select("rep.*", "m").distinct()
+    # rows that repeat a document key have equal runs: one of them is enough
+    shown = runs.select("k0", "k1", "start", "v", "hashes").join(chosen, ["k0", "k1", "start"])
+    shown = shown.groupBy("k0", "k1", "start").agg(F.first("v").alias("v"), F.first("hashes").alias("hashes"), F.first("m").alias("m"))
+    single = materialize(shown.select("k0", "k1", "start", "m", "v", F.posexplode("hashes").alias("i", "h")).select("k0", "k1", (F.col("start") + F.col("i")).alias("start"), "m", "v", "h"), "single-windows")
+    twice = single.groupBy("v", "h").agg(F.sum("m").alias("c")).where("c > 1").select("v", "h")
+    lone = single.where("m = 1").join(twice, ["v", "h"]).select("k0", "k1", "start", F.lit(1).alias("n"))
+    return whole.unionByName(inside).unionByName(lone).groupBy("k0", "k1").agg(F.collect_set(F.struct("start", "n")).alias("found"))
 
 
 def remove_repeats(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, width: int = WIDTH_LOG2) -> DataFrame:
@@ -239,19 +288,19 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, widt
     """
     keyed = pick(docs, "doc_id", "text").withColumns({"k0": F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63))), "k1": F.xxhash64("text")})
     found = repeated_windows(keyed, window, gram, width)
-    joined = keyed.join(found, ["k0", "k1"], "left").select("doc_id", "text", "starts")
+    joined = keyed.join(found, ["k0", "k1"], "left").select("doc_id", "text", "found.start", "found.n")
 
     def rows(part: pa.RecordBatch, texts: list[bytes | None]) -> pa.RecordBatch:
-        starts = part.column(2)
+        starts, counts = part.column(2), part.column(3)
         out = []
         for i, t in enumerate(texts):
             words = t.split() if t else []
             kept, removed = words, 0
             if starts[i].is_valid:
                 change = np.zeros(len(words) + 1, dtype=np.int64)
-                at = np.array(starts[i].as_py())
+                at, n = np.array(starts[i].as_py()), np.array(counts[i].as_py())
                 np.add.at(change, at, 1)
-                np.add.at(change, at + window, -1)
+                np.add.at(change, at + n + window - 1, -1)
                 covered = np.cumsum(change)[:-1] > 0
                 removed = int(covered.sum())
                 kept = [w for w, c in zip(words, covered.tolist(), strict=True) if not c]

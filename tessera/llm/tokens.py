@@ -18,11 +18,14 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tessera.llm.common import pick, scratch_path, slices
+from tessera.llm.common import parts, pick, scratch_path
 
 #: Id appended to every document.
 END_ID = 1
-MEMO_WORDS = 400_000
+#: Words of one generation of a worker's memo.
+MEMO_WORDS = 500_000
+#: Words encoded in one string.
+JOINED = 50
 MEMO_WORD_BYTES = 64
 
 
@@ -39,41 +42,87 @@ class ChunkEncoder:
         added = self.tok.get_added_tokens_decoder()
         self.mark, self.mark_text = min((i, t.content) for i, t in added.items())
         self.marks = [t.content.encode() for t in added.values()]
-        self.memo: dict[bytes, bytes] = {}
+        self.zero = int(self._ids("0")[-1])
+        self.young: dict[bytes, bytes] = {}
+        self.old: dict[bytes, bytes] = {}
+        self.stops = {b"": b"", **{x: self._ids(x.decode()).tobytes() for x in (b".", b",")}}
 
     def _ids(self, text: str) -> np.ndarray:
         return np.array(self.tok.encode(text, add_special_tokens=False).ids, dtype="<u4")
 
-    def _learn(self, words: list[bytes]) -> dict[bytes, bytes]:
-        plain = [w for w in words if not any(m in w for m in self.marks)]
-        got = {w: self._ids(w.decode()).tobytes() for w in words if any(m in w for m in self.marks)}
-        for at in range(0, len(plain), 4096):
-            part = plain[at : at + 4096]
-            ids = self._ids(self.mark_text.join([w.decode() for w in part]))
-            ends = np.flatnonzero(ids == self.mark)
+    def _apart(self, words: list[bytes], mark: int, between: str) -> dict[bytes, bytes]:
+        """Ids of words, ``JOINED`` to a string, told apart by the id ``mark``
+        that ``between`` stands for and no word holds."""
+        groups = [words[at : at + JOINED] for at in range(0, len(words), JOINED)]
+        got = {}
+        for part, enc in zip(groups, self.tok.encode_batch_fast([between.join([w.decode() for w in g]) for g in groups], add_special_tokens=False), strict=True):
+            ids = np.array(enc.ids, dtype="<u4")
+            ends = np.flatnonzero(ids == mark)
             starts = [0, *(ends + 1).tolist()]
             raw, ends = ids.tobytes(), [*ends.tolist(), len(ids)]
             got.update({w: raw[4 * a : 4 * b] for w, a, b in zip(part, starts, ends, strict=True)})
         return got
 
-    def encode(self, texts: list[bytes | None]) -> list[bytes]:
-        """Packed ids of each text, the end id included; null is empty."""
-        split = [t.split() if t else [] for t in texts]
-        memo = self.memo
-        unknown = {w for words in split for w in words if w not in memo}
-        if unknown:
-            got = self._learn(list(unknown))
-            if len(memo) + len(got) > MEMO_WORDS:
-                known = {w: memo[w] for words in split for w in words if w in memo}
-                memo.clear()
-                memo.update(known)
-            memo.update(got)
-        end = np.array([END_ID], dtype="<u4").tobytes()
-        out = [b"".join(map(memo.__getitem__, words)) + end for words in split]
-        for w in [w for w in unknown if len(w) > MEMO_WORD_BYTES]:
-            del memo[w]
+    def _learn(self, words: list[bytes]) -> dict[bytes, bytes]:
+        """A zero is a token of its own, and so parts words without zeros; a
+        special token parts others."""
+        odd = [w for w in words if any(m in w for m in self.marks)]
+        got = {w: self._ids(w.decode()).tobytes() for w in odd}
+        rest = [w for w in words if w not in got]
+        got |= self._apart([w for w in rest if b"0" not in w], self.zero, " 0 ")
+        got |= self._apart([w for w in rest if b"0" in w], self.mark, self.mark_text)
+        return got
+
+    def _look_up(self, words: list[bytes]) -> list[bytes]:
+        """Ids of distinct words. The memo has two generations: what has not
+        been used since the last change is dropped.
+
+        The tokenizer lower-cases, and splits a full stop or comma from the
+        letter before it; so a new word is first reduced by these.
+        """
+        young, old = self.young, self.old
+        out = list(map(young.get, words))
+        new = [i for i, v in enumerate(out) if v is None]
+        fresh, cores = {}, {}
+        for i in new:
+            w = words[i]
+            if w in old:
+                fresh[w] = old[w]
+            else:
+                c = w.lower()
+                cores[w] = (c[:-1], c[-1:]) if c[-1:] in self.stops and c[-2:-1].isalpha() else (c, b"")
+        known = {c: young.get(c) or old.get(c) for c, _ in cores.values()}
+        known |= self._learn([c for c, v in known.items() if not v])
+        fresh.update((w, known[c] + self.stops[stop]) for w, (c, stop) in cores.items())
+        if len(young) + len(fresh) > MEMO_WORDS:
+            self.old, self.young = young, {}
+        self.young.update((w, v) for w, v in fresh.items() if len(w) <= MEMO_WORD_BYTES)
+        for i in new:
+            out[i] = fresh[words[i]]
         return out
 
+    def encode_column(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """``(ids of all texts, ids per text)``, the end id of each included;
+        null is empty."""
+        lists = pc.ascii_split_whitespace(pc.fill_null(texts, ""))
+        words = lists.flatten().dictionary_encode()
+        vals = self._look_up(words.dictionary.cast(pa.binary()).to_pylist())
+        vals.append(np.array([END_ID], dtype="<u4").tobytes())
+        flat, sizes = np.frombuffer(b"".join(vals), dtype="<u4"), np.fromiter(map(len, vals), dtype=np.int64, count=len(vals)) // 4
+        counts = pc.list_value_length(lists).to_numpy(zero_copy_only=False).astype(np.int64)
+        index = np.insert(words.indices.to_numpy(zero_copy_only=False).astype(np.int64), np.cumsum(counts), len(vals) - 1)
+        lens = sizes[index]
+        shift = (np.cumsum(sizes) - sizes)[index] - (np.cumsum(lens) - lens)
+        ids = flat[np.repeat(shift, lens) + np.arange(int(lens.sum()))]
+        first = np.cumsum(counts + 1) - counts - 1
+        return ids, np.add.reduceat(lens, first) if len(first) else np.zeros(0, dtype=np.int64)
+
+    def encode(self, texts: list[bytes | None]) -> list[bytes]:
+        """Packed ids of each text."""
+        ids, sizes = self.encode_column(pa.array([None if t is None else t.decode() for t in texts], pa.string()))
+        raw, ends = ids.tobytes(), (4 * np.cumsum(sizes)).tolist()
+        return [raw[a:b] for a, b in zip([0, *ends[:-1]], ends, strict=True)] if ends else []
+
 
 _ENCODERS: dict[str, ChunkEncoder] = {}
 
@@ -106,13 +155,11 @@ def write_token_files(docs: DataFrame, path: str, tokenizer: str, *, row_group_b
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc, part, start = encoder(tokenizer), TaskContext.get().partitionId(), 0
-        for batch, texts in slices(batches):
-            packed = enc.encode(texts)
-            sizes = np.array([len(p) // 4 for p in packed], dtype=np.int64)
+        for batch in parts(batches):
+            flat, sizes = enc.encode_column(batch.column(1))
             starts = start + np.cumsum(sizes) - sizes
             start += int(sizes.sum())
-            flat = np.frombuffer(b"".join(packed), dtype="<i4")
-            ids = pa.ListArray.from_arrays(np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32), pa.array(flat))
+            ids = pa.ListArray.from_arrays(np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32), pa.array(flat.view("<i4")))
             yield pa.RecordBatch.from_arrays([pa.array(np.full(len(sizes), part, dtype=np.int32)), pa.array(starts), batch.column(0).cast(pa.int64()), pa.array(sizes), ids], names=["part", "local_start", "doc_id", "n_tokens", "ids"])
 
     out = rows.mapInArrow(encode, "part int, local_start long, doc_id long, n_tokens long, ids array<int>")

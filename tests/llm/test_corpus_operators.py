@@ -125,10 +125,12 @@ def test_op6_links_are_whole(spark, spread):
     assert len({got.get(f, simhash._signed(f)) for f in fps}) == len(groups)
 
 
-def test_op6_large_shard_is_split():
+@pytest.mark.parametrize("limit", [500, 20_000])
+def test_op6_large_shard(monkeypatch, limit):
     r = np.random.default_rng(4)
     values = sorted({int(x) for x in r.integers(0, 1 << 16, 2500)})
     want = brute_components([(v, v) for v in values])
+    monkeypatch.setattr(simhash, "SPLIT_FROM", limit)
     found = simhash.link_shard(values, list(range(64)), 2)
     assert all((a ^ b).bit_count() <= 2 for a, b in found)
     root = {v: v for v in values}

@@ -11,8 +11,11 @@ from tessera.llm import packing, tokens
 TOK = tokens.default_tokenizer()
 
 
+PLAIN = Tokenizer.from_file(TOK)
+
+
 def brute_ids(text):
-    ids = Tokenizer.from_file(TOK).encode(text or "", add_special_tokens=False).ids
+    ids = PLAIN.encode(text or "", add_special_tokens=False).ids
     return np.array([*ids, tokens.END_ID], dtype="<u4").tobytes()
 
 
