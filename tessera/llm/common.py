@@ -39,16 +39,26 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return path
 
 
+def _delete(spark: SparkSession, path: str) -> None:
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+
+
 def _drop_scratch() -> None:
     for path, spark in _SCRATCH.items():
         try:
-            jvm = spark.sparkContext._jvm
-            where = jvm.org.apache.hadoop.fs.Path(path)
-            where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+            _delete(spark, path)
         except Exception:  # the session has ended: its folder goes with the job
             return
 
 
+def drop(table: DataFrame) -> None:
+    """Delete a table of ``materialize`` that nothing will read again."""
+    for path in {f.rpartition("/")[0] for f in table.inputFiles()}:
+        if any(path.endswith(p.rpartition("/")[2]) for p in _SCRATCH):
+            _delete(table.sparkSession, path)
+
+
 def materialize(df: DataFrame, name: str, **options: str) -> DataFrame:
     """Write ``df`` as Parquet into the shared folder and read it back. This
     cuts the lineage, survives lost executors, and keeps a costly Python pass

@@ -22,10 +22,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm.common import map_texts, materialize, pick, slices
+from tessera.llm.common import drop, map_texts, materialize, pick, slices
 
 WINDOW = 35
 GRAM = 18
@@ -195,7 +196,7 @@ def build_sketch(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, width:
     return Sketch([(r["row"], r["range"], bytes(r["bits"])) for r in merged.collect()], width)
 
 
-RUN_SCHEMA = "k0 long, k1 long, start int, n int, v long, a long, b long, self array<int>, hashes array<long>"
+RUN_SCHEMA = "rid long, k0 long, k1 long, start int, n int, v long, a long, b long, self array<int>, hashes array<long>"
 
 
 def candidate_runs(keyed: DataFrame, sketch, window: int, gram: int) -> DataFrame:
@@ -206,7 +207,7 @@ def candidate_runs(keyed: DataFrame, sketch, window: int, gram: int) -> DataFram
     memo = WordHashes()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = sketch.value
+        known, rid = sketch.value, TaskContext.get().partitionId() << 40
         for part, texts in slices(batches):
             rows, cols, inner, hashes, sizes = [], [[] for _ in range(5)], [], [], []
             for i, t in enumerate(texts):
@@ -246,7 +247,9 @@ def candidate_runs(keyed: DataFrame, sketch, window: int, gram: int) -> DataFram
                 k0, k1 = (part.column(part.schema.get_field_index(k)).take(take) for k in ("k0", "k1"))
                 start, n, v, a, b = (np.concatenate(c) for c in cols)
                 listed = pa.ListArray.from_arrays(np.concatenate([[0], np.cumsum(np.concatenate(sizes))]).astype(np.int32), pa.array(np.concatenate(hashes).view(np.int64)))
-                yield pa.RecordBatch.from_arrays([k0, k1, pa.array(start.astype(np.int32)), pa.array(n.astype(np.int32)), *(pa.array(x.view(np.int64)) for x in (v, a, b)), pa.array(inner, pa.list_(pa.int32())), listed], names=["k0", "k1", "start", "n", "v", "a", "b", "self", "hashes"])
+                ids = pa.array(np.arange(rid, rid + len(start)))
+                rid += len(start)
+                yield pa.RecordBatch.from_arrays([ids, k0, k1, pa.array(start.astype(np.int32)), pa.array(n.astype(np.int32)), *(pa.array(x.view(np.int64)) for x in (v, a, b)), pa.array(inner, pa.list_(pa.int32())), listed], names=["rid", "k0", "k1", "start", "n", "v", "a", "b", "self", "hashes"])
 
     return keyed.mapInArrow(run, RUN_SCHEMA)
 
@@ -261,22 +264,27 @@ def repeated_windows(keyed: DataFrame, window: int = WINDOW, gram: int = GRAM, w
     with its number. All counts are aggregates with map-side parts, and the
     joins' large sides can be split.
     """
-    sketch = keyed.sparkSession.sparkContext.broadcast(build_sketch(keyed, window, gram, width))
-    runs = materialize(candidate_runs(keyed, sketch, window, gram), "runs", compression="lz4_raw")
+    spark = keyed.sparkSession
+    sketch = spark.sparkContext.broadcast(build_sketch(keyed, window, gram, width))
+    runs = materialize(candidate_runs(keyed, sketch, window, gram), "runs", compression="zstd")
+    sketch.unpersist()
     same = ["v", "a", "b", "n"]
-    kinds = materialize(runs.groupBy(*same).agg(F.count("*").alias("m"), F.min(F.struct("k0", "k1", "start")).alias("rep")), "run-kinds")
+    kinds = materialize(runs.groupBy(*same).agg(F.count("*").alias("m"), F.min("rid").alias("rid")), "run-kinds")
     whole = runs.select("k0", "k1", "start", *same).join(kinds.where("m > 1").select(*same), same).select("k0", "k1", "start", "n")
     inside = runs.where("self is not null").select("k0", "k1", F.explode("self").alias("start"), F.lit(1).alias("n"))
 
     mixed = kinds.groupBy("v").agg(F.count("*").alias("d")).where("d > 1").select("v")
-    chosen = kinds.join(mixed, "v").select("rep.*", "m").distinct()
-    # rows that repeat a document key have equal runs: one of them is enough
-    shown = runs.select("k0", "k1", "start", "v", "hashes").join(chosen, ["k0", "k1", "start"])
-    shown = shown.groupBy("k0", "k1", "start").agg(F.first("v").alias("v"), F.first("hashes").alias("hashes"), F.first("m").alias("m"))
-    single = materialize(shown.select("k0", "k1", "start", "m", "v", F.posexplode("hashes").alias("i", "h")).select("k0", "k1", (F.col("start") + F.col("i")).alias("start"), "m", "v", "h"), "single-windows")
+    chosen = kinds.select("rid", "m", "v").join(mixed, "v").select("rid", F.least("m", F.lit(2)).cast("int").alias("m"))
+    shown = runs.select("rid", "v", "hashes").join(chosen, "rid")
+    single = materialize(shown.select("rid", "m", "v", F.posexplode("hashes").alias("i", "h")), "single-windows", compression="zstd")
     twice = single.groupBy("v", "h").agg(F.sum("m").alias("c")).where("c > 1").select("v", "h")
-    lone = single.where("m = 1").join(twice, ["v", "h"]).select("k0", "k1", "start", F.lit(1).alias("n"))
-    return whole.unionByName(inside).unionByName(lone).groupBy("k0", "k1").agg(F.collect_set(F.struct("start", "n")).alias("found"))
+    lone = single.where("m = 1").select("rid", "i", "v", "h").join(twice, ["v", "h"]).groupBy("rid").agg(F.collect_set("i").alias("at"))
+    lone = runs.select("rid", "k0", "k1", "start").join(lone, "rid").select("k0", "k1", (F.col("start") + F.explode("at")).alias("start"), F.lit(1).alias("n"))
+    found = whole.unionByName(inside).unionByName(lone).groupBy("k0", "k1").agg(F.collect_set(F.struct("start", "n")).alias("found"))
+    found = materialize(found, "found", compression="zstd")
+    for table in (runs, kinds, single):
+        drop(table)
+    return found
 
 
 def remove_repeats(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, width: int = WIDTH_LOG2) -> DataFrame:
