@@ -279,7 +279,7 @@ def repeated_windows(keyed: DataFrame, window: int = WINDOW, gram: int = GRAM, w
     single = materialize(shown.select("rid", "m", "v", F.posexplode("hashes").alias("i", "h")), "single-windows", compression="zstd")
     twice = single.groupBy("v", "h").agg(F.sum("m").alias("c")).where("c > 1").select("v", "h")
     lone = single.where("m = 1").select("rid", "i", "v", "h").join(twice, ["v", "h"]).groupBy("rid").agg(F.collect_set("i").alias("at"))
-    lone = runs.select("rid", "k0", "k1", "start").join(lone, "rid").select("k0", "k1", (F.col("start") + F.explode("at")).alias("start"), F.lit(1).alias("n"))
+    lone = runs.select("rid", "k0", "k1", "start").join(lone, "rid").select("k0", "k1", F.explode(F.expr("transform(at, i -> start + i)")).alias("start"), F.lit(1).alias("n"))
     found = whole.unionByName(inside).unionByName(lone).groupBy("k0", "k1").agg(F.collect_set(F.struct("start", "n")).alias("found"))
     found = materialize(found, "found", compression="zstd")
     for table in (runs, kinds, single):

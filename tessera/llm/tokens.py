@@ -24,8 +24,9 @@ from tessera.llm.common import parts, pick, scratch_path
 END_ID = 1
 #: Words of one generation of a worker's memo.
 MEMO_WORDS = 500_000
+STOPS = (b".", b",")
 #: Words encoded in one string.
-JOINED = 50
+JOINED = 30
 MEMO_WORD_BYTES = 64
 
 
@@ -41,11 +42,12 @@ class ChunkEncoder:
         self.tok = Tokenizer.from_file(path)
         added = self.tok.get_added_tokens_decoder()
         self.mark, self.mark_text = min((i, t.content) for i, t in added.items())
-        self.marks = [t.content.encode() for t in added.values()]
+        #: what every special token's text begins with
+        self.sign = os.path.commonprefix([t.content for t in added.values()]).encode()
         self.zero = int(self._ids("0")[-1])
         self.young: dict[bytes, bytes] = {}
         self.old: dict[bytes, bytes] = {}
-        self.stops = {b"": b"", **{x: self._ids(x.decode()).tobytes() for x in (b".", b",")}}
+        self.stops = {x: self._ids(x.decode()).tobytes() for x in STOPS}
 
     def _ids(self, text: str) -> np.ndarray:
         return np.array(self.tok.encode(text, add_special_tokens=False).ids, dtype="<u4")
@@ -66,11 +68,16 @@ class ChunkEncoder:
     def _learn(self, words: list[bytes]) -> dict[bytes, bytes]:
         """A zero is a token of its own, and so parts words without zeros; a
         special token parts others."""
-        odd = [w for w in words if any(m in w for m in self.marks)]
-        got = {w: self._ids(w.decode()).tobytes() for w in odd}
-        rest = [w for w in words if w not in got]
-        got |= self._apart([w for w in rest if b"0" not in w], self.zero, " 0 ")
-        got |= self._apart([w for w in rest if b"0" in w], self.mark, self.mark_text)
+        plain, zeros, got, sign = [], [], {}, self.sign
+        for w in words:
+            if sign in w:
+                got[w] = self._ids(w.decode()).tobytes()
+            elif b"0" in w:
+                zeros.append(w)
+            else:
+                plain.append(w)
+        got |= self._apart(plain, self.zero, " 0 ")
+        got |= self._apart(zeros, self.mark, self.mark_text)
         return got
 
     def _look_up(self, words: list[bytes]) -> list[bytes]:
@@ -83,17 +90,22 @@ class ChunkEncoder:
         young, old = self.young, self.old
         out = list(map(young.get, words))
         new = [i for i, v in enumerate(out) if v is None]
-        fresh, cores = {}, {}
+        fresh, cores, stopped = {}, {}, {}
         for i in new:
             w = words[i]
-            if w in old:
-                fresh[w] = old[w]
-            else:
-                c = w.lower()
-                cores[w] = (c[:-1], c[-1:]) if c[-1:] in self.stops and c[-2:-1].isalpha() else (c, b"")
-        known = {c: young.get(c) or old.get(c) for c, _ in cores.values()}
-        known |= self._learn([c for c, v in known.items() if not v])
-        fresh.update((w, known[c] + self.stops[stop]) for w, (c, stop) in cores.items())
+            v = old.get(w)
+            if v is not None:
+                fresh[w] = v
+                continue
+            c = w.lower()
+            if c.endswith(STOPS) and c[-2:-1].isalpha():
+                stopped[w] = c[-1:]
+                c = c[:-1]
+            cores[w] = c
+        known = {c: young.get(c) for c in cores.values()}
+        known |= self._learn([c for c, v in known.items() if v is None])
+        fresh.update((w, known[c]) for w, c in cores.items())
+        fresh.update((w, fresh[w] + self.stops[stop]) for w, stop in stopped.items())
         if len(young) + len(fresh) > MEMO_WORDS:
             self.old, self.young = young, {}
         self.young.update((w, v) for w, v in fresh.items() if len(w) <= MEMO_WORD_BYTES)
@@ -110,12 +122,17 @@ class ChunkEncoder:
         vals.append(np.array([END_ID], dtype="<u4").tobytes())
         flat, sizes = np.frombuffer(b"".join(vals), dtype="<u4"), np.fromiter(map(len, vals), dtype=np.int64, count=len(vals)) // 4
         counts = pc.list_value_length(lists).to_numpy(zero_copy_only=False).astype(np.int64)
-        index = np.insert(words.indices.to_numpy(zero_copy_only=False).astype(np.int64), np.cumsum(counts), len(vals) - 1)
+        # parts are bounded, so that 32 bits are enough but for one very long text
+        kind = np.int32 if len(flat) + texts.nbytes < 1 << 30 else np.int64
+        sizes = sizes.astype(kind)
+        index = np.insert(words.indices.to_numpy(zero_copy_only=False), np.cumsum(counts), len(vals) - 1)
         lens = sizes[index]
-        shift = (np.cumsum(sizes) - sizes)[index] - (np.cumsum(lens) - lens)
-        ids = flat[np.repeat(shift, lens) + np.arange(int(lens.sum()))]
+        shift = (np.cumsum(sizes, dtype=kind) - sizes)[index] - (np.cumsum(lens, dtype=kind) - lens)
+        take = np.repeat(shift, lens)
+        take += np.arange(len(take), dtype=kind)
+        ids = flat[take]
         first = np.cumsum(counts + 1) - counts - 1
-        return ids, np.add.reduceat(lens, first) if len(first) else np.zeros(0, dtype=np.int64)
+        return ids, np.add.reduceat(lens.astype(np.int64), first) if len(first) else np.zeros(0, dtype=np.int64)
 
     def encode(self, texts: list[bytes | None]) -> list[bytes]:
         """Packed ids of each text."""
