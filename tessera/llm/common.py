@@ -68,6 +68,12 @@ def materialize(df: DataFrame, name: str, **options: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def small_batches(spark: SparkSession) -> None:
+    """Bound the rows that go to a Python worker at once; several copies of a
+    batch exist on both sides."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(8 * SLICE_ROWS))
+
+
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -100,6 +106,7 @@ def map_texts(df: DataFrame, rows: Callable[[pa.RecordBatch, list[bytes | None]]
         for part, texts in slices(batches):
             yield rows(part, texts)
 
+    small_batches(df.sparkSession)
     return df.mapInArrow(run, schema)
 
 

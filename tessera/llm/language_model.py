@@ -24,7 +24,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm.common import crc_mod, materialize, pick, slices
+from tessera.llm.common import crc_mod, materialize, pick, slices, small_batches
 
 FOLDS = 10
 #: The end token is written as the empty word.
@@ -348,6 +348,7 @@ def lm_scores(docs: DataFrame, head_words: int = HEAD_WORDS) -> DataFrame:
     empty table gives no rows.
     """
     rows = pick(docs, "doc_id", "text").withColumn("held_out", F.coalesce(crc_mod("doc_id", FOLDS) == 0, F.lit(False)))
+    small_batches(docs.sparkSession)
     training = rows.where(~F.col("held_out"))
     counts = materialize(count_words(training).where("c > 0"), "token-counts")
     vocab = Vocabulary.of(counts, head_words)

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tessera.llm.common import map_texts, materialize, parts, pick
+from tessera.llm.common import map_texts, materialize, parts, pick, small_batches
 from tessera.llm.tokens import default_tokenizer, encoder
 
 CAPACITY = 2048
@@ -246,6 +246,7 @@ def piece_table(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY) -> Da
             cols = [part.column(0).cast(pa.int64()), pa.array(sizes, pa.int64()), pa.array(full, pa.list_(pa.int64())), *(pa.array(t, pa.list_(pa.int64())) for t in tails)]
             yield pa.RecordBatch.from_arrays(cols, names=["doc_id", "doc_tokens", "full", *(f"cut{c}" for c in cuts)])
 
+    small_batches(docs.sparkSession)
     return pick(docs, "doc_id", "text").mapInArrow(run, "doc_id long, doc_tokens long, full array<long>, " + ", ".join(f"cut{c} array<long>" for c in cuts))
 
 

@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm.common import map_texts, materialize, pick, slices
+from tessera.llm.common import map_texts, materialize, pick, slices, small_batches
 
 #: A word is common in a language from this share of its words on, so that a
 #: language has at most 2000 of them, and a language has references of its own
@@ -123,6 +123,7 @@ def _medians(bins: list[tuple[int, int, int]]) -> np.ndarray:
 def language_references(docs: DataFrame) -> dict[str, Reference]:
     """References per language over all of ``docs`` (``text``, ``lang``). What
     reaches the driver is bounded by the two shares and ``SHARE_BINS``."""
+    small_batches(docs.sparkSession)
     counts = pick(docs, "text", "lang").mapInArrow(_partial_counts, "lang string, word string, cls int, bin int, n long")
     summed = materialize(counts.groupBy("lang", "word", "cls", "bin").agg(F.sum("n").alias("n")), "word-counts")
     words = summed.where("word is not null")

@@ -26,7 +26,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm.common import drop, map_texts, materialize, pick, slices
+from tessera.llm.common import drop, map_texts, materialize, pick, slices, small_batches
 
 WINDOW = 35
 GRAM = 18
@@ -265,6 +265,7 @@ def repeated_windows(keyed: DataFrame, window: int = WINDOW, gram: int = GRAM, w
     joins' large sides can be split.
     """
     spark = keyed.sparkSession
+    small_batches(spark)
     sketch = spark.sparkContext.broadcast(build_sketch(keyed, window, gram, width))
     runs = materialize(candidate_runs(keyed, sketch, window, gram), "runs", compression="zstd")
     sketch.unpersist()

@@ -18,12 +18,12 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tessera.llm.common import parts, pick, scratch_path
+from tessera.llm.common import parts, pick, scratch_path, small_batches
 
 #: Id appended to every document.
 END_ID = 1
 #: Words of one generation of a worker's memo.
-MEMO_WORDS = 500_000
+MEMO_WORDS = 330_000
 STOPS = (b".", b",")
 #: Words encoded in one string.
 JOINED = 30
@@ -179,6 +179,7 @@ def write_token_files(docs: DataFrame, path: str, tokenizer: str, *, row_group_b
             ids = pa.ListArray.from_arrays(np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32), pa.array(flat.view("<i4")))
             yield pa.RecordBatch.from_arrays([pa.array(np.full(len(sizes), part, dtype=np.int32)), pa.array(starts), batch.column(0).cast(pa.int64()), pa.array(sizes), ids], names=["part", "local_start", "doc_id", "n_tokens", "ids"])
 
+    small_batches(docs.sparkSession)
     out = rows.mapInArrow(encode, "part int, local_start long, doc_id long, n_tokens long, ids array<int>")
     out.write.mode("overwrite").options(**{
         "compression": "zstd", "parquet.block.size": str(row_group_bytes), "parquet.page.size": str(page_bytes),
