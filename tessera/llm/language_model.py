@@ -273,10 +273,12 @@ def train(docs: DataFrame, vocab: Vocabulary) -> Gru:
     """Weights from at most ``SAMPLE_TEXTS`` training texts and
     ``SAMPLE_TOKENS`` tokens, by hash order of the text."""
     model = Gru(vocab)
-    # a text is cut after SAMPLE_TOKENS by the token bound below, never before it is drawn
-    ids = docs.select(F.xxhash64("text", F.lit(1)).alias("_h"), "text").orderBy("_h").limit(SAMPLE_TEXTS)
+    # hashes first, so that only the drawn texts travel
+    hashed = docs.select(F.xxhash64("text", F.lit(1)).alias("_h"), "text")
+    drawn = hashed.select("_h").orderBy("_h").limit(SAMPLE_TEXTS).distinct()
+    rows = hashed.join(F.broadcast(drawn), "_h").dropDuplicates(["_h"]).orderBy("_h").collect()
     texts, total = [], 0
-    for r in ids.toLocalIterator():
+    for r in rows:
         got = token_ids((r["text"] or "").encode(), vocab, model.rest)[1]
         if total + len(got) > SAMPLE_TOKENS:
             continue

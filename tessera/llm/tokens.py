@@ -81,42 +81,34 @@ class ChunkEncoder:
         return got
 
     def _look_up(self, words: list[bytes]) -> list[bytes]:
-        """Ids of distinct words. The memo has two generations: what has not
-        been used since the last change is dropped.
+        """Ids of distinct words in lower case. The memo has two generations:
+        what has not been used since the last change is dropped.
 
-        The tokenizer lower-cases, and splits a full stop or comma from the
-        letter before it; so a new word is first reduced by these.
+        The tokenizer splits a full stop or comma from the letter before it; so
+        a word is looked up without it.
         """
         young, old = self.young, self.old
-        out = list(map(young.get, words))
+        cores = [w[:-1] if w.endswith(STOPS) and w[-2:-1].isalpha() else w for w in words]
+        out = list(map(young.get, cores))
         new = [i for i, v in enumerate(out) if v is None]
-        fresh, cores, stopped = {}, {}, {}
-        for i in new:
-            w = words[i]
-            v = old.get(w)
-            if v is not None:
-                fresh[w] = v
-                continue
-            c = w.lower()
-            if c.endswith(STOPS) and c[-2:-1].isalpha():
-                stopped[w] = c[-1:]
-                c = c[:-1]
-            cores[w] = c
-        known = {c: young.get(c) for c in cores.values()}
-        known |= self._learn([c for c, v in known.items() if v is None])
-        fresh.update((w, known[c]) for w, c in cores.items())
-        fresh.update((w, fresh[w] + self.stops[stop]) for w, stop in stopped.items())
-        if len(young) + len(fresh) > MEMO_WORDS:
-            self.old, self.young = young, {}
-        self.young.update((w, v) for w, v in fresh.items() if len(w) <= MEMO_WORD_BYTES)
-        for i in new:
-            out[i] = fresh[words[i]]
-        return out
+        if new:
+            fresh = {c: old.get(c) for c in [cores[i] for i in new]}
+            fresh |= self._learn([c for c, v in fresh.items() if v is None])
+            if len(young) + len(fresh) > MEMO_WORDS:
+                self.old, self.young = young, {}
+            self.young.update(fresh)
+            for c in [c for c in fresh if len(c) > MEMO_WORD_BYTES]:
+                del self.young[c]
+            for i in new:
+                out[i] = fresh[cores[i]]
+        stops = self.stops
+        return [v if len(c) == len(w) else v + stops[w[-1:]] for v, c, w in zip(out, cores, words, strict=True)]
 
     def encode_column(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """``(ids of all texts, ids per text)``, the end id of each included;
         null is empty."""
-        lists = pc.ascii_split_whitespace(pc.fill_null(texts, ""))
+        # the tokenizer lower-cases too
+        lists = pc.ascii_split_whitespace(pc.ascii_lower(pc.fill_null(texts, "")))
         words = lists.flatten().dictionary_encode()
         vals = self._look_up(words.dictionary.cast(pa.binary()).to_pylist())
         vals.append(np.array([END_ID], dtype="<u4").tobytes())
