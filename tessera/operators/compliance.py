@@ -22,7 +22,7 @@ def chunk_health(placements: DataFrame, live: DataFrame) -> DataFrame:
 
 def volume_chunk_health(volume_chunks: DataFrame, placements: DataFrame, live: DataFrame) -> DataFrame:
     """Health of every chunk of every volume; unplaced chunks have none."""
-    return volume_chunks.join(chunk_health(placements, live), "chunk_id", "left").na.fill(0, ["replicas", "live"])
+    return volume_chunks.select("chunk_id", "volume_id").join(chunk_health(placements, live), "chunk_id", "left").na.fill(0, ["replicas", "live"])
 
 
 def chunk_state(live: F.Column, wanted: F.Column) -> F.Column:
