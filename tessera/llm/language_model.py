@@ -40,10 +40,10 @@ LANES = 64
 #: and smoothing come from all training texts.
 SAMPLE_TEXTS = 3000
 SAMPLE_TOKENS = 600_000
-PARTIAL_WORDS = 300_000
+PARTIAL_WORDS = 150_000
 #: Rows and bytes scored together in a worker.
-SCORE_ROWS = 4096
-SCORE_BYTES = 12 << 20
+SCORE_ROWS = 1536
+SCORE_BYTES = 5 << 20
 ADD = 0.1
 
 
