@@ -103,3 +103,93 @@ def overlaps(s1: Column, e1: Column, s2: Column, e2: Column) -> Column:
 
 def backoff_seconds(retries: Column, base: int = 10) -> Column:
     return (F.lit(base) * F.pow(F.lit(2), retries)).cast("long")
+
+
+#: Fixed values of the chunk frame: magic, version, header bytes.
+FRAME_MAGIC, FRAME_VERSION, FRAME_BYTES = b"NVAC", 1, 16
+
+
+def target_replicas(mode: Column, factor: Column, data_shards: Column, parity: Column) -> Column:
+    """Replicas, or all shards, of full protection; one without a profile."""
+    return F.when(mode == "erasure_coding", F.coalesce(data_shards + parity, F.lit(1))).when(mode == "replication", F.coalesce(factor, F.lit(1))).otherwise(F.lit(1)).cast("int")
+
+
+def compliance_state(available: Column, required: Column, target: Column) -> Column:
+    return F.when(available >= target, "compliant").when(available >= required, "degraded").otherwise("non_compliant")
+
+
+def compliance_reason(available: Column, required: Column, target: Column) -> Column:
+    n, r, t = (c.cast("string") for c in (available, required, target))
+    short = F.concat(n, F.lit(" of "), t, F.lit(" replicas available (degraded)"))
+    return F.when(available >= target, F.concat(F.lit("All "), t, F.lit(" replicas available"))).when(available >= required, short).otherwise(F.concat(F.lit("Only "), n, F.lit(" of "), r, F.lit(" required replicas available")))
+
+
+def profile_error(mode: Column, factor: Column, quorum: Column, data_shards: Column, parity: Column) -> Column:
+    """What is wrong with a protection profile; null for a valid one."""
+    replication = (
+        F.when(factor.isNull(), "replication profile missing").when(~factor.between(1, 5), F.concat(F.lit("replication factor must be between 1 and 5, got "), factor.cast("string")))
+        .when(quorum < 0, F.concat(F.lit("write quorum cannot be negative, got "), quorum.cast("string"))).when(quorum > factor, "write quorum cannot exceed replication factor")
+    )
+    erasure = (
+        F.when(data_shards.isNull() | parity.isNull(), "erasure coding profile missing").when(data_shards < 2, F.concat(F.lit("data shards must be at least 2, got "), data_shards.cast("string")))
+        .when(parity < 1, F.concat(F.lit("parity shards must be at least 1, got "), parity.cast("string")))
+    )
+    unknown = F.concat(F.lit("unknown protection mode: "), F.coalesce(mode, F.lit("")))
+    return F.when(mode == "replication", replication).when(mode == "erasure_coding", erasure).otherwise(unknown)
+
+
+def profile_mode(replicas: Column, data_shards: Column, parity: Column) -> Column:
+    """Mode that storage-class parameters ask for; null for a single copy."""
+    return F.when((data_shards > 0) & (parity > 0), "erasure_coding").when(replicas > 1, "replication")
+
+
+def required_nodes(replicas: Column, data_shards: Column, parity: Column) -> Column:
+    return F.when((data_shards > 0) & (parity > 0), data_shards + parity).when(replicas > 0, replicas).otherwise(1).cast("int")
+
+
+def capacity_text(n: Column) -> Column:
+    """``3Gi``: whole units, truncated; plain bytes below 1 Ki."""
+    out = n.cast("string")
+    for power, unit in enumerate(("Ki", "Mi", "Gi", "Ti"), start=1):
+        out = F.when(n >= F.lit(1 << (10 * power)), F.concat(F.shiftright(n, 10 * power).cast("string"), F.lit(unit))).otherwise(out)
+    return out
+
+
+def rfc3339(seconds: Column) -> Column:
+    return F.date_format(F.timestamp_seconds(seconds), "yyyy-MM-dd'T'HH:mm:ss'Z'")
+
+
+def health_class(elapsed: Column, suspect: int = 30, down: int = 60) -> Column:
+    return F.when(elapsed > down, "down").when(elapsed > suspect, "suspect").otherwise("healthy")
+
+
+def metadata_shard(volume: Column) -> Column:
+    """Shard 0..255 of a volume id by its first two hex digits; else null."""
+    return F.when(F.regexp_like(volume, F.lit("^[0-9A-Fa-f]{2}")), F.conv(F.substring(volume, 1, 2), 16, 10).cast("int"))
+
+
+def _little_endian(n: Column) -> Column:
+    big = F.lpad(F.hex(n), 8, "0")
+    return F.concat(*[F.substring(big, at, 2) for at in (7, 5, 3, 1)])
+
+
+def _from_little_endian(hexed: Column, start: int) -> Column:
+    """Number of the four bytes from byte ``start`` of a hex text."""
+    return F.conv(F.concat(*[F.substring(hexed, 2 * (start + i) + 1, 2) for i in (3, 2, 1, 0)]), 16, 10).cast("long")
+
+
+def frame_header(checksum: Column, length: Column) -> Column:
+    """Sixteen bytes: magic, version, flags, checksum and length in
+    little-endian order, two spare bytes."""
+    return F.unhex(F.concat(F.lit(FRAME_MAGIC.hex() + f"{FRAME_VERSION:02x}00"), _little_endian(checksum), _little_endian(length), F.lit("0000")))
+
+
+def frame_fields(framed: Column) -> Column:
+    """``magic_ok, version, checksum, length`` of a frame's header; null when
+    it is shorter than a header."""
+    hexed = F.hex(F.substring(framed, 1, FRAME_BYTES))
+    fields = F.struct(
+        (F.substring(hexed, 1, 8) == FRAME_MAGIC.hex().upper()).alias("magic_ok"), F.conv(F.substring(hexed, 9, 2), 16, 10).cast("int").alias("version"),
+        _from_little_endian(hexed, 6).alias("checksum"), _from_little_endian(hexed, 10).alias("length"),
+    )
+    return F.when(F.octet_length(framed) >= FRAME_BYTES, fields)

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from tessera.functions import exprs
 from tessera.operators import chunks, compliance, listing, placement, ranges, refs
+from tessera.plans import wider
 from tessera.sources.fixtures import DATA_SHARDS, FACTOR, PARITY_SHARDS, T0, duck, query, table
 
 TTL = 60
@@ -203,9 +204,9 @@ def _frames() -> dict[str, tuple[Callable[[SparkSession, str], DataFrame], str |
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     found = {n: (lambda s, d, q=sql, t=names: query(s, d, q, *t, *(["orders"] if "orders" in q else []))) for n, (sql, names) in BOTH.items()}
-    return found | {n: f for n, (f, _) in _frames().items()}
+    return found | {n: f for n, (f, _) in _frames().items()} | wider.queries()
 
 
 def oracle_sql() -> dict[str, str]:
     found = {n: duck(sql, *names) for n, (sql, names) in BOTH.items()}
-    return found | {n: sql for n, (_, sql) in _frames().items() if sql}
+    return found | {n: sql for n, (_, sql) in _frames().items() if sql} | wider.oracle_sql()

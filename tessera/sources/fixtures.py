@@ -81,6 +81,28 @@ TABLES: dict[str, str] = {
         SELECT event_id, user_id AS name_no, CASE WHEN event_id % 3 = 0 THEN -cast(floor(value * 2) AS bigint) ELSE cast(floor(value) AS bigint) END AS delta FROM events""",
     "versions": """
         SELECT conv_id, turn, concat('obj-', cast(conv_id AS varchar(20))) AS key, role, cast(length(text) AS bigint) AS size FROM conversations""",
+    "dirents": """
+        SELECT p_partkey % 40 + 2 AS parent, concat('f-', cast(p_partkey AS varchar(20))) AS name, p_partkey - p_partkey % 3 + 100 AS ino FROM part""",
+    "inodes": """
+        SELECT p_partkey + 100 AS ino, CASE WHEN p_partkey % 9 = 0 THEN 'dir' ELSE 'file' END AS kind, cast(p_size AS bigint) * 1000 AS size FROM part WHERE p_partkey % 3 = 0""",
+    "shards": """
+        SELECT concat('chunk-', cast(p.p_partkey AS varchar(20))) AS chunk_id, cast(i.i AS int) AS shard_index, concat('node-', cast((p.p_partkey + 7 * i.i) % c.n AS varchar(20))) AS node_id
+        FROM part p CROSS JOIN (SELECT 0 AS i UNION ALL SELECT 1 UNION ALL SELECT 2 UNION ALL SELECT 3 UNION ALL SELECT 4 UNION ALL SELECT 5) i
+        CROSS JOIN (SELECT count(*) AS n FROM supplier) c
+        WHERE p.p_partkey % 4 = 1 AND (p.p_partkey + i.i * i.i) % 7 <> 0 AND (p.p_partkey * 3 + i.i) % 5 <> 0""",
+    "fs_log": """
+        SELECT event_id AS idx, CASE event_id % 7 WHEN 0 THEN 'unlink' WHEN 1 THEN 'rename' WHEN 2 THEN 'link' ELSE 'create' END AS op,
+               user_id % 20 + 2 AS parent, concat('f-', cast(event_id * 31 % 23 AS varchar(20))) AS name, event_id % 211 + 100 AS ino,
+               event_id % 20 + 2 AS new_parent, concat('f-', cast(event_id * 17 % 23 AS varchar(20))) AS new_name
+        FROM events""",
+    "devices": """
+        SELECT p_partkey AS device, p_type AS kind, cast(p_size AS bigint) * 1073741824 AS bytes FROM part""",
+    "leases": f"""
+        SELECT event_id AS idx, user_id % 30 AS ino, concat('owner-', cast(event_id % 5 AS varchar(20))) AS owner,
+               CASE event_id % 4 WHEN 0 THEN 'release' WHEN 1 THEN 'renew' ELSE 'acquire' END AS op, {T0} + event_id % 60 - 20 AS expires_at
+        FROM events""",
+    "usage": """
+        SELECT o_custkey AS c_custkey, cast(sum(cast(floor(o_totalprice) AS bigint)) AS bigint) AS used, count(*) AS objects FROM orders GROUP BY o_custkey""",
 }
 
 #: Tables of the driver that each table is derived from.
@@ -89,6 +111,7 @@ BASE = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem"
 
 def duck(sql: str, *names: str) -> str:
     """``sql`` for DuckDB, with the named tables as common table expressions."""
+    names = tuple(n for n in names if n in TABLES)
     return "WITH " + ", ".join(f"{n} AS ({TABLES[n]})" for n in names) + " " + sql if names else sql
 
 
