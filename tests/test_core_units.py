@@ -1,13 +1,14 @@
 """Literal cases and properties of the core operators."""
 
+import math
 import random
 
 import pytest
 from pyspark.sql import functions as F
 
 from tessera.functions import exprs
-from tessera.functions.udfs import ReedSolomon, crc32c, crc32c_bytes, fnv1a
-from tessera.operators import chunks, compliance, listing, placement, ranges, refs
+from tessera.functions.udfs import ReedSolomon, crc32c, crc32c_bytes, fnv1a, node_hashes
+from tessera.operators import chunks, compliance, listing, namespace, placement, policy, ranges, refs
 from tessera.sources.fixtures import table
 from tessera.streaming import folds
 
@@ -129,3 +130,148 @@ def test_stream_fold_equals_batch(spark, sf_dir, tmp_path):
     run.awaitTermination(120)
     epochs = len([p for p in (tmp_path / "state").iterdir() if p.name.startswith("v")])
     assert rows(folds.current(spark, f"file://{tmp_path}/state", epochs - 1)) == rows(ranges.fold_log(log))
+
+
+def fnv_hash(key: str, node: str) -> int:
+    """The 64-bit placement hash, one number at a time."""
+    mask, h = (1 << 64) - 1, 0xCBF29CE484222325
+    for b in [*key.encode(), 0xFF, *node.encode()]:
+        h = ((h ^ b) * 0x100000001B3) & mask
+    for m in (0xFF51AFD7ED558CCD, 0xC4CEB9FE1A85EC53):
+        h = ((h ^ (h >> 33)) * m) & mask
+    return h ^ (h >> 33)
+
+
+def test_node_hashes():
+    keys, nodes = ["", "k", "key-12", "é"], ["a", "", "node-77"]
+    assert node_hashes(keys, nodes).tolist() == [[fnv_hash(k, n) for n in nodes] for k in keys]
+
+
+@pytest.mark.parametrize("domain", ["node_id", "zone"])
+def test_placement_by_domain_is_the_greedy_choice(spark, domain):
+    r = random.Random(5)
+    nodes = [(f"n{i:02d}", r.choice([0, 1, 1, 3]), f"z{i % 3 if i < 9 else 0}") for i in range(12)]
+    keys = [f"k{i}" for i in range(60)]
+    got = placement.place_by_domain(spark.createDataFrame([(k,) for k in [*keys, None]], "key string"), spark.createDataFrame(nodes, "node_id string, weight int, zone string"), 5, domain)
+    want = []
+    for k in keys:
+        draw = {n: (-math.log(float(fnv_hash(k, n) | 1) / float(2**64 - 1)) / w if w else 1e308) for n, w, _ in nodes}
+        groups = {}
+        for n, _, z in sorted(nodes, key=lambda x: (draw[x[0]], x[0])):
+            groups.setdefault(n if domain == "node_id" else z, []).append(n)
+        order = sorted(groups, key=lambda g: draw[groups[g][0]])
+        picked = [groups[g][i] for i in range(12) for g in order if i < len(groups[g])][:5]
+        want += [(k, i, n) for i, n in enumerate(picked)]
+    assert rows(got) == sorted(want)
+    none = spark.createDataFrame([], "node_id string, weight int, zone string")
+    assert placement.place_by_domain(spark.createDataFrame([("k",)], "key string"), none, 2).count() == 0
+
+
+def test_frames_and_their_faults(spark):
+    good = chunks.frame_chunks(spark.createDataFrame([("a", bytearray(b"hello")), ("e", bytearray(b""))], "chunk_id string, data binary"))
+    framed = {r["chunk_id"]: bytes(r["framed"]) for r in good.collect()}
+    assert framed["a"] == b"NVAC\x01\x00" + crc32c_bytes(b"hello").to_bytes(4, "little") + (5).to_bytes(4, "little") + b"\0\0hello"
+    a = framed["a"]
+    cases = {"ok": a, "ok2": framed["e"], "short": a[:9], "bad_magic": b"X" + a[1:], "truncated": a[:-1], "bad_checksum": a[:-1] + b"!"}
+    df = spark.createDataFrame([(k, bytearray(v)) for k, v in cases.items()], "chunk_id string, framed binary")
+    assert {r["chunk_id"]: r["verdict"] for r in chunks.verify_frames(df).collect()} == {k: k.rstrip("2") for k in cases}
+
+
+def test_padded_code_keeps_the_length(spark):
+    r = random.Random(8)
+    data = {str(n): r.randbytes(n) for n in (0, 1, 4, 7, 1000)}
+    shards = chunks.padded_encode(spark.createDataFrame([(k, bytearray(v)) for k, v in data.items()], "chunk_id string, data binary"), 4, 2)
+    for lost in ("0, 3", "4, 5", "1"):
+        left = shards.where(f"shard_index NOT IN ({lost})")
+        assert {x["chunk_id"]: bytes(x["data"]) for x in chunks.padded_decode(left, 4, 2).collect()} == data
+    gone = chunks.repair_shards(shards.where("shard_index NOT IN (2, 4)"), 4, 2)
+    assert rows(gone) == rows(shards.where("shard_index IN (2, 4)").select("chunk_id", "shard_index", "shard"))
+    assert chunks.padded_decode(shards.where("shard_index < 3"), 4, 2).count() == 0
+
+
+def test_writes_inside_and_beyond(spark):
+    r = random.Random(4)
+    files = {i: bytearray(r.randbytes(r.randrange(60))) for i in range(30)}
+    patches = {i: (r.randrange(70), r.randbytes(r.randrange(1, 30))) for i in range(0, 30, 2)}
+    df = spark.createDataFrame(list(files.items()), "file_id long, data binary")
+    lengths = spark.createDataFrame([(i, max(len(d), patches[i][0] if i in patches else 0)) for i, d in files.items()], "file_id long, length long")
+    whole = chunks.fill_sparse(chunks.split_chunks(df, 16), lengths, 16)
+    got = chunks.reassemble(chunks.write_at(whole, spark.createDataFrame([(i, *p) for i, p in patches.items()], "file_id long, offset long, patch binary"), 16))
+    want = {}
+    for i, d in files.items():
+        if i in patches:
+            at, p = patches[i]
+            d = d.ljust(at, b"\0")
+            d[at : at + len(p)] = p
+        if d:
+            want[i] = bytes(d)
+    assert {x["file_id"]: bytes(x["data"]) for x in got.collect()} == want
+
+
+def test_truncate_cuts_and_extends(spark):
+    df = spark.createDataFrame([(1, bytearray(b"abcdef")), (2, bytearray(b"a")), (3, bytearray(b""))], "file_id long, data binary")
+    assert [bytes(r["data"]) for r in chunks.truncate(df, 3).orderBy("file_id").collect()] == [b"abc", b"a\0\0", b"\0\0\0"]
+
+
+def test_file_log_fold_is_the_sequential_one(spark):
+    r = random.Random(6)
+    log, want = [], {}
+    for i in range(600):
+        op = r.choice(["create", "link", "unlink", "rename"])
+        parent, name, ino, to, new = r.randrange(4), f"f{r.randrange(5)}", r.randrange(50), r.randrange(4), f"f{r.randrange(5)}"
+        log.append((i, op, parent, name, ino, to, new))
+        if op in ("create", "link"):
+            want[parent, name] = ino
+        else:
+            want.pop((parent, name), None)
+            if op == "rename":
+                want[to, new] = ino
+    df = spark.createDataFrame(log, "idx long, op string, parent long, name string, ino long, new_parent long, new_name string")
+    assert rows(namespace.directory_entries(df)) == sorted((p, n, i) for (p, n), i in want.items())
+
+
+def test_directory_pages_join(spark):
+    entries = spark.createDataFrame([(7, f"f{i}", i) for i in range(5)] + [(8, "x", 9)], "parent long, name string, ino long")
+    whole = rows(namespace.read_directory(entries, 7, 0, 100))
+    assert [n for _, n, _ in whole] == [".", "..", "f0", "f1", "f2", "f3", "f4"]
+    assert sum((rows(namespace.read_directory(entries, 7, c, 3)) for c in (0, 3, 6)), []) == whole
+
+
+def test_sparse_map_sweeps(spark):
+    r = random.Random(9)
+    have = {m: {b for b in range(40) if r.random() < 0.6} for m in range(3)}
+    blocks = spark.createDataFrame([(m, b) for m, bs in have.items() for b in bs], "map long, block long")
+    asks = [(m, o) for m in range(4) for o in range(0, 450, 7)]
+    at = spark.createDataFrame(asks, "map long, offset long")
+    data = {(m, o): min((max(o, b * 10) for b in have.get(m, ()) if b >= o // 10), default=None) for m, o in asks}
+    hole = {(m, o): next(max(o, b * 10) for b in range(o // 10, 99) if b not in have.get(m, ())) for m, o in asks}
+    assert {(x["map"], x["offset"]): x["next"] for x in ranges.next_data(blocks, at, "map", 10).collect()} == data
+    assert {(x["map"], x["offset"]): x["next"] for x in ranges.next_hole(blocks, at, "map", 10).collect()} == hole
+
+
+def test_gaps_complete_the_ranges(spark):
+    merged = spark.createDataFrame([("a", 2, 5), ("a", 7, 30), ("b", 0, 20), ("c", 25, 30), ("d", 3, 4)], "f string, start_off long, end_off long")
+    assert rows(ranges.range_gaps(merged, "f", 20)) == [("a", 0, 2), ("a", 5, 7), ("c", 0, 20), ("d", 0, 3), ("d", 4, 20)]
+    assert rows(ranges.coverage_complete(merged, "f", 20)) == [("a", False), ("b", True), ("c", False), ("d", False)]
+
+
+def test_repairs_follow_slots(spark):
+    shards = spark.createDataFrame([("c", i, f"n{i}") for i in (0, 2, 3, 5, 9)] + [("lost", 0, "n0")], "chunk_id string, shard_index int, node_id string")
+    health = policy.shard_health(shards, None, 4, 2)
+    assert {r["chunk_id"]: (r["present"], r["missing"], r["state"]) for r in health.collect()} == {"c": (4, [1, 4], "degraded"), "lost": (1, [1, 2, 3, 4, 5], "unrecoverable")}
+    placed = spark.createDataFrame([("c", i, f"p{i}") for i in range(3)], "key string, replica int, node_id string")
+    assert rows(policy.shard_repairs(health, placed)) == [("c", 1, "p1"), ("c", 4, "p0")]
+
+
+def test_topology_falls_back_to_all(spark):
+    nodes, some = (spark.createDataFrame([(n,) for n in ns], "node_id string") for ns in ("abc", "bx"))
+    assert rows(policy.within_topology(nodes, some)) == [("b",)]
+    assert rows(policy.within_topology(nodes, some.where("node_id = 'x'"))) == [("a",), ("b",), ("c",)]
+
+
+def test_profiles(spark):
+    cases = [("replication", 3, 2, None, None), ("replication", 9, 1, None, None), ("replication", 3, 4, None, None), ("replication", 3, -1, None, None), ("replication", None, None, None, None), ("erasure_coding", None, None, 1, 1), ("erasure_coding", None, None, 4, 0), ("erasure_coding", None, None, 4, 2), (None, 1, 1, 1, 1)]
+    df = spark.createDataFrame(cases, "m string, f int, q int, d int, p int")
+    got = [r[0] for r in df.select(exprs.profile_error(*[F.col(c) for c in "mfqdp"])).collect()]
+    assert [g is None for g in got] == [True, False, False, False, False, False, False, True, False]
+    assert [r[0] for r in df.select(exprs.target_replicas(*[F.col(c) for c in "mfdp"])).collect()] == [3, 9, 3, 3, 1, 2, 4, 6, 1]
