@@ -36,10 +36,17 @@ CLASS_WORDS = 64
 HIDDEN = 16
 BPTT = 16
 LANES = 64
-#: Bounds of the texts the weights are fitted on. Counts, vocabulary, classes
-#: and smoothing come from all training texts.
+#: Bounds of the texts of the first fit, from which the weights are refined on
+#: a share of the corpus that grows with it. Counts, vocabulary, classes and
+#: smoothing come from all training texts.
 SAMPLE_TEXTS = 3000
 SAMPLE_TOKENS = 600_000
+#: One in so many distinct training texts refines the weights, in at most
+#: ``REFINERS`` tasks of some ``REFINE_TEXTS`` texts or more.
+SHARE = 100
+REFINERS = 64
+REFINE_TEXTS = 512
+REFINE_TOKENS = 200_000
 PARTIAL_WORDS = 150_000
 #: Rows and bytes scored together in a worker.
 SCORE_ROWS = 1536
@@ -270,7 +277,7 @@ def token_ids(text: bytes | None, vocab: Vocabulary, rest: int) -> tuple[list[by
 
 
 def train(docs: DataFrame, vocab: Vocabulary) -> Gru:
-    """Weights from at most ``SAMPLE_TEXTS`` training texts and
+    """First weights, from at most ``SAMPLE_TEXTS`` training texts and
     ``SAMPLE_TOKENS`` tokens, by hash order of the text."""
     model = Gru(vocab)
     # hashes first, so that only the drawn texts travel
@@ -287,6 +294,51 @@ def train(docs: DataFrame, vocab: Vocabulary) -> Gru:
     return model.fit(texts)
 
 
+def refine(docs: DataFrame, vocab: Vocabulary, model: Gru) -> Gru:
+    """``model`` trained on by one pass over a fixed share of the distinct
+    training texts. Each task starts from the given weights, walks its texts in
+    hash order in parts of bounded size, and returns its weights; their mean by
+    tokens is the result, so the driver gets at most ``REFINERS`` of them."""
+    spark = docs.sparkSession
+    known = spark.sparkContext.broadcast((vocab, model))
+    tasks = int(np.clip(vocab.head.get(END.encode(), 0) // (SHARE * REFINE_TEXTS), 1, REFINERS))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        vocab, start = known.value
+        own = Gru(vocab, start.hidden)
+        own.p = {k: v.copy() for k, v in start.p.items()}
+        held: list[np.ndarray] = []
+        seen, waiting = 0, 0
+        for _, texts in slices(batches):
+            for t in texts:
+                ids = token_ids(t, vocab, own.rest)[1]
+                for at in range(0, len(ids), REFINE_TOKENS):
+                    held.append(ids[at : at + REFINE_TOKENS])
+                    waiting += len(held[-1])
+                    if waiting >= REFINE_TOKENS:
+                        own.fit(held, epochs=1, rate=0.003)
+                        seen, waiting = seen + waiting, 0
+                        held.clear()
+        own.fit(held, epochs=1, rate=0.003)
+        if seen + waiting:
+            flat = np.concatenate([own.p[k].ravel() for k in sorted(own.p)]).astype("<f4").tobytes()
+            yield pa.RecordBatch.from_arrays([pa.array([seen + waiting], pa.int64()), pa.array([flat], pa.binary())], names=["n", "w"])
+
+    hashed = docs.select(F.xxhash64("text", F.lit(2)).alias("_h"), "text").where(F.pmod("_h", F.lit(SHARE)) == 0)
+    share = hashed.dropDuplicates(["_h"]).repartition(tasks, "_h").sortWithinPartitions("_h")
+    got = share.select("text").mapInArrow(run, "n long, w binary").collect()
+    if not got:
+        return model
+    total = sum(r["n"] for r in got)
+    mean = sum(np.frombuffer(r["w"], dtype="<f4").astype(np.float64) * (r["n"] / total) for r in got)
+    at = 0
+    for k in sorted(model.p):
+        size = model.p[k].size
+        model.p[k] = mean[at : at + size].reshape(model.p[k].shape).astype(np.float32)
+        at += size
+    return model
+
+
 def score_texts(docs: DataFrame, counts: DataFrame, vocab: Vocabulary, model: Gru) -> DataFrame:
     """``doc_id, held_out, n_tokens, n_known, train_tokens, base_score,
     score`` of every row; see ``op9``."""
@@ -354,7 +406,7 @@ def lm_scores(docs: DataFrame, head_words: int = HEAD_WORDS) -> DataFrame:
     training = rows.where(~F.col("held_out"))
     counts = materialize(count_words(training).where("c > 0"), "token-counts")
     vocab = Vocabulary.of(counts, head_words)
-    return score_texts(rows, counts, vocab, train(training, vocab))
+    return score_texts(rows, counts, vocab, refine(training, vocab, train(training, vocab)))
 
 
 def op9_language_model(spark: SparkSession, sf_dir: str) -> DataFrame:

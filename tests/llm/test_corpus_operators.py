@@ -183,6 +183,20 @@ def test_op9_odd(spark, odd_docs, no_docs):
     assert language_model.lm_scores(no_docs).collect() == []
 
 
+def test_op9_refining_helps(spark, monkeypatch):
+    monkeypatch.setattr(language_model, "SHARE", 2)
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text")
+    vocab = language_model.Vocabulary.of(language_model.count_words(docs))
+    model = language_model.Gru(vocab)
+    texts = [language_model.token_ids((r["text"] or "").encode(), vocab, model.rest)[1] for r in docs.limit(80).collect()]
+    before = model.score(texts).sum()
+    model = language_model.refine(docs, vocab, model)
+    assert model.score(texts).sum() > before
+    again = language_model.refine(docs, vocab, language_model.Gru(vocab))
+    assert all(np.array_equal(model.p[k], again.p[k]) for k in model.p)
+    assert language_model.refine(docs.limit(0), vocab, again) is again
+
+
 def test_op9_model_is_a_distribution_and_lanes_agree():
     head = {b"": 50, **{f"w{i}".encode(): 100 - i for i in range(90)}}
     vocab = language_model.Vocabulary(head, {w: i for i, w in enumerate(head)}, sum(head.values()) + 40, len(head) + 30)
