@@ -24,7 +24,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm.common import crc_mod, materialize, pick, slices, small_batches
+from tessera.llm.common import crc_mod, drop, materialize, pick, slices, small_batches
 
 FOLDS = 10
 #: The end token is written as the empty word.
@@ -35,18 +35,15 @@ CLASSES = 32
 CLASS_WORDS = 64
 HIDDEN = 16
 BPTT = 16
-LANES = 64
-#: Bounds of the texts of the first fit, from which the weights are refined on
-#: a share of the corpus that grows with it. Counts, vocabulary, classes and
-#: smoothing come from all training texts.
-SAMPLE_TEXTS = 3000
-SAMPLE_TOKENS = 600_000
-#: One in so many distinct training texts refines the weights, in at most
-#: ``REFINERS`` tasks of some ``REFINE_TEXTS`` texts or more.
-SHARE = 100
-REFINERS = 64
-REFINE_TEXTS = 512
-REFINE_TOKENS = 200_000
+LANES = 256
+#: Training goes in ``SHARE`` rounds. Each walks one in so many training texts,
+#: by hash, so that the rounds together walk every one of them once.
+SHARE = 4
+#: Training texts of a task in a round, at any size of the corpus, and tokens
+#: that are fitted together in it.
+TASK_TEXTS = 2048
+FIT_TOKENS = 1_000_000
+RATE = 0.01
 PARTIAL_WORDS = 150_000
 #: Rows and bytes scored together in a worker.
 SCORE_ROWS = 1536
@@ -213,7 +210,7 @@ class Gru:
         if n < 2:
             return self
         y = stream[: n * lanes].reshape(lanes, n).T
-        x = np.concatenate([np.full((1, lanes), self.start), y[:-1]])
+        x = np.concatenate([np.full((1, lanes), self.start, dtype=y.dtype), y[:-1]])
         k = self.hidden
         m, v, step = ({a: np.zeros_like(p) for a, p in self.p.items()} for _ in range(2)), None, 0
         m, v = m
@@ -222,25 +219,30 @@ class Gru:
             for at in range(0, n, BPTT):
                 end = min(n, at + BPTT)
                 g = {a: np.zeros_like(p) for a, p in self.p.items()}
-                tape = []
+                states, tape = np.empty((end - at + 1, lanes, k), np.float32), []
+                states[0] = h
                 for t in range(at, end):
-                    before = h
-                    h, r, z, c, gh = self.step(h, x[t])
-                    tape.append((before, r, z, c, gh, h))
-                states = np.stack([s[5] for s in tape]).reshape(-1, k)
-                dh_out = self._output_grads(states, y[at:end].reshape(-1), g).reshape(end - at, lanes, k)
+                    h, *kept = self.step(h, x[t])
+                    tape.append(kept)
+                    states[t - at + 1] = h
+                dh_out = self._output_grads(states[1:].reshape(-1, k), y[at:end].reshape(-1), g).reshape(end - at, lanes, k)
                 carry = np.zeros((lanes, k), dtype=np.float32)
-                for t in range(end - 1, at - 1, -1):
-                    before, r, z, c, gh, _ = tape[t - at]
-                    d = dh_out[t - at] + carry
-                    dz = d * (before - c) * z * (1 - z)
+                di, dg = np.empty((end - at, lanes, 3 * k), np.float32), np.empty((end - at, lanes, 3 * k), np.float32)
+                for t in range(end - at - 1, -1, -1):
+                    before, (r, z, c, gh) = states[t], tape[t]
+                    d = dh_out[t] + carry
                     dc = d * (1 - z) * (1 - c * c)
-                    dr = dc * gh * r * (1 - r)
-                    di = np.concatenate([dr, dz, dc], axis=1)
-                    dg = np.concatenate([dr, dz, dc * r], axis=1)
-                    np.add.at(g["x"], x[t], di)
-                    g["u"] += before.T @ dg
-                    carry = d * z + dg @ self.p["u"].T
+                    di[t, :, :k] = dc * gh * r * (1 - r)
+                    di[t, :, k : 2 * k] = d * (before - c) * z * (1 - z)
+                    di[t, :, 2 * k :] = dc
+                    dg[t] = di[t]
+                    dg[t, :, 2 * k :] *= r
+                    carry = d * z + dg[t] @ self.p["u"].T
+                g["u"] += states[:-1].reshape(-1, k).T @ dg.reshape(-1, 3 * k)
+                ids = x[at:end].reshape(-1)
+                order = np.argsort(ids, kind="stable")
+                own, first = np.unique(ids[order], return_index=True)
+                g["x"][own] += np.add.reduceat(di.reshape(-1, 3 * k)[order], first, axis=0)
                 step += 1
                 for a, p in self.p.items():
                     s = g[a] / ((end - at) * lanes)
@@ -258,8 +260,10 @@ class Gru:
         g["wc"] += h.T @ d
         g["bc"] += d.sum(axis=0)
         dh = d @ self.p["wc"].T
-        for k in np.unique(c[c < self.classes - 1]).tolist():
-            rows = np.flatnonzero(c == k)
+        order = np.argsort(c, kind="stable")
+        edges = np.searchsorted(c[order], np.arange(self.classes))
+        for k in np.flatnonzero(np.diff(edges)).tolist():
+            rows = order[edges[k] : edges[k + 1]]
             d = -np.exp(softmax_log(h[rows] @ self.p["ww"][k] + self.p["bw"][k]))
             d[np.arange(len(rows)), y[rows] % CLASS_WORDS] += 1
             g["ww"][k] += h[rows].T @ d
@@ -276,67 +280,79 @@ def token_ids(text: bytes | None, vocab: Vocabulary, rest: int) -> tuple[list[by
     return words, np.fromiter((ids.get(w, rest) for w in words), dtype=np.int32, count=len(words))
 
 
-def train(docs: DataFrame, vocab: Vocabulary) -> Gru:
-    """First weights, from at most ``SAMPLE_TEXTS`` training texts and
-    ``SAMPLE_TOKENS`` tokens, by hash order of the text."""
-    model = Gru(vocab)
-    # hashes first, so that only the drawn texts travel
-    hashed = docs.select(F.xxhash64("text", F.lit(1)).alias("_h"), "text")
-    drawn = hashed.select("_h").orderBy("_h").limit(SAMPLE_TEXTS).distinct()
-    rows = hashed.join(F.broadcast(drawn), "_h").dropDuplicates(["_h"]).orderBy("_h").collect()
-    texts, total = [], 0
-    for r in rows:
-        got = token_ids((r["text"] or "").encode(), vocab, model.rest)[1]
-        if total + len(got) > SAMPLE_TOKENS:
-            continue
-        texts.append(got)
-        total += len(got)
-    return model.fit(texts)
+def refine(docs: DataFrame, vocab: Vocabulary, model: Gru) -> Gru:
+    """``model`` trained on by one pass over every row of ``docs``, in ``SHARE``
+    rounds; an empty table leaves it as it is."""
+    tasks = -(-docs.count() // (SHARE * TASK_TEXTS))
+    hashed = docs.select(F.xxhash64("doc_id", "text").alias("_h"), "text")
+    for k in range(SHARE if tasks else 0):
+        _round(hashed.where(F.pmod("_h", F.lit(SHARE)) == k), tasks, vocab, model)
+    return model
 
 
-def refine(docs: DataFrame, vocab: Vocabulary, model: Gru) -> Gru:
-    """``model`` trained on by one pass over a fixed share of the distinct
-    training texts. Each task starts from the given weights, walks its texts in
-    hash order in parts of bounded size, and returns its weights; their mean by
-    tokens is the result, so the driver gets at most ``REFINERS`` of them."""
-    spark = docs.sparkSession
-    known = spark.sparkContext.broadcast((vocab, model))
-    tasks = int(np.clip(vocab.head.get(END.encode(), 0) // (SHARE * REFINE_TEXTS), 1, REFINERS))
+def _round(rows: DataFrame, tasks: int, vocab: Vocabulary, model: Gru) -> None:
+    """Train ``model`` on all of ``rows``. They are dealt evenly to ``tasks``,
+    so no group of copies makes a task large; each task starts from the given
+    weights, walks its texts in hash order, and returns its weights. Their mean
+    by tokens becomes the model's, summed in groups of tasks first, so that the
+    driver gets some square root of their number, one at a time."""
+    known = rows.sparkSession.sparkContext.broadcast((vocab, model.p))
+    groups = max(1, round(tasks**0.5))
+    keys = sorted(model.p)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         vocab, start = known.value
-        own = Gru(vocab, start.hidden)
-        own.p = {k: v.copy() for k, v in start.p.items()}
+        own = Gru(vocab, start["u"].shape[0])
+        own.p = {k: v.copy() for k, v in start.items()}
         held: list[np.ndarray] = []
         seen, waiting = 0, 0
+
+        def learn() -> None:
+            nonlocal seen, waiting
+            own.fit(held, epochs=1, rate=RATE)
+            seen, waiting = seen + waiting, 0
+            held.clear()
+
         for _, texts in slices(batches):
             for t in texts:
                 ids = token_ids(t, vocab, own.rest)[1]
-                for at in range(0, len(ids), REFINE_TOKENS):
-                    held.append(ids[at : at + REFINE_TOKENS])
+                for at in range(0, len(ids), FIT_TOKENS):
+                    held.append(ids[at : at + FIT_TOKENS])
                     waiting += len(held[-1])
-                    if waiting >= REFINE_TOKENS:
-                        own.fit(held, epochs=1, rate=0.003)
-                        seen, waiting = seen + waiting, 0
-                        held.clear()
-        own.fit(held, epochs=1, rate=0.003)
-        if seen + waiting:
-            flat = np.concatenate([own.p[k].ravel() for k in sorted(own.p)]).astype("<f4").tobytes()
-            yield pa.RecordBatch.from_arrays([pa.array([seen + waiting], pa.int64()), pa.array([flat], pa.binary())], names=["n", "w"])
-
-    hashed = docs.select(F.xxhash64("text", F.lit(2)).alias("_h"), "text").where(F.pmod("_h", F.lit(SHARE)) == 0)
-    share = hashed.dropDuplicates(["_h"]).repartition(tasks, "_h").sortWithinPartitions("_h")
-    got = share.select("text").mapInArrow(run, "n long, w binary").collect()
-    if not got:
-        return model
-    total = sum(r["n"] for r in got)
-    mean = sum(np.frombuffer(r["w"], dtype="<f4").astype(np.float64) * (r["n"] / total) for r in got)
+                    if waiting >= FIT_TOKENS:
+                        learn()
+        if waiting:
+            learn()
+        if seen:
+            flat = np.concatenate([own.p[k].ravel() for k in keys]).astype("<f4").tobytes()
+            part = TaskContext.get().partitionId()
+            yield pa.RecordBatch.from_arrays([pa.array([part % groups], pa.int32()), pa.array([part], pa.int32()), pa.array([seen], pa.int64()), pa.array([flat], pa.binary())], names=["g", "part", "n", "w"])
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums: dict[int, tuple[int, np.ndarray]] = {}
+        for batch in batches:
+            for r in range(batch.num_rows):
+                g, _, n, w = (c[r].as_py() for c in batch.columns)
+                had, total = sums.get(g, (0, 0.0))
+                sums[g] = had + n, total + np.frombuffer(w, dtype="<f4").astype(np.float64) * n
+        for g, (n, total) in sums.items():
+            yield pa.RecordBatch.from_arrays([pa.array([g], pa.int32()), pa.array([n], pa.int64()), pa.array([total.astype("<f8").tobytes()], pa.binary())], names=["g", "n", "w"])
+
+    dealt = rows.repartition(tasks).sortWithinPartitions("_h").select("text")
+    # kept as files: reading the groups one by one must not train again
+    learnt = dealt.mapInArrow(run, "g int, part int, n long, w binary").repartition(groups, "g").sortWithinPartitions("g", "part")
+    sums = materialize(learnt.mapInArrow(add, "g int, n long, w binary"), "weights")
+    n, total = 0, 0.0
+    for r in sums.orderBy("g").toLocalIterator():
+        n, total = n + r["n"], total + np.frombuffer(r["w"], dtype="<f8")
+    drop(sums)
+    if not n:
+        return
     at = 0
-    for k in sorted(model.p):
+    for k in keys:
         size = model.p[k].size
-        model.p[k] = mean[at : at + size].reshape(model.p[k].shape).astype(np.float32)
+        model.p[k] = (total[at : at + size] / n).reshape(model.p[k].shape).astype(np.float32)
         at += size
-    return model
 
 
 def score_texts(docs: DataFrame, counts: DataFrame, vocab: Vocabulary, model: Gru) -> DataFrame:
@@ -406,7 +422,7 @@ def lm_scores(docs: DataFrame, head_words: int = HEAD_WORDS) -> DataFrame:
     training = rows.where(~F.col("held_out"))
     counts = materialize(count_words(training).where("c > 0"), "token-counts")
     vocab = Vocabulary.of(counts, head_words)
-    return score_texts(rows, counts, vocab, refine(training, vocab, train(training, vocab)))
+    return score_texts(rows, counts, vocab, refine(training, vocab, Gru(vocab)))
 
 
 def op9_language_model(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -197,6 +197,16 @@ def test_op9_refining_helps(spark, monkeypatch):
     assert language_model.refine(docs.limit(0), vocab, again) is again
 
 
+def test_op9_every_training_text_reaches_the_weights(spark):
+    texts = [f"w{i} " * 40 + f"and w{i + 1} w{i + 2}" for i in range(12)]
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string").coalesce(1)
+    vocab = language_model.Vocabulary.of(language_model.count_words(docs))
+    weights = lambda d: language_model.refine(d, vocab, language_model.Gru(vocab)).p["x"]
+    whole = weights(docs)
+    for gone in (0, 5, 11):
+        assert not np.array_equal(whole, weights(docs.where(f"doc_id <> {gone}")))
+
+
 def test_op9_model_is_a_distribution_and_lanes_agree():
     head = {b"": 50, **{f"w{i}".encode(): 100 - i for i in range(90)}}
     vocab = language_model.Vocabulary(head, {w: i for i, w in enumerate(head)}, sum(head.values()) + 40, len(head) + 30)
