@@ -15,7 +15,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.llm.common import map_texts, materialize, pick
@@ -149,14 +149,15 @@ def _signed(x: int) -> int:
     return x - (1 << 64) if x >> 63 else x
 
 
-def fingerprints(docs: DataFrame) -> DataFrame:
-    """``doc_id, fp`` (the fingerprint's bits as a signed long) per row."""
+def fingerprints(docs: DataFrame, *longs: str) -> DataFrame:
+    """``doc_id, fp`` (the fingerprint's bits as a signed long) per row, and
+    the named columns of longs."""
 
     def rows(part: pa.RecordBatch, texts: list[bytes | None]) -> pa.RecordBatch:
         fps = np.array([fingerprint(t.lower().split()) if t else 0 for t in texts], dtype="<u8").view("<i8")
-        return pa.RecordBatch.from_arrays([part.column(0).cast(pa.int64()), pa.array(fps)], names=["doc_id", "fp"])
+        return pa.RecordBatch.from_arrays([part.column(0).cast(pa.int64()), pa.array(fps), *part.columns[2:]], names=["doc_id", "fp", *longs])
 
-    return map_texts(pick(docs, "doc_id", "text"), rows, "doc_id long, fp long")
+    return map_texts(pick(docs, "doc_id", "text", *longs), rows, ", ".join(f"{c} long" for c in ("doc_id", "fp", *longs)))
 
 
 def links(fps: DataFrame, radius: int = RADIUS) -> DataFrame:
@@ -228,6 +229,14 @@ def components(edges: DataFrame) -> DataFrame:
         edges = after
 
 
+def _roots(rows: DataFrame, radius: int) -> DataFrame:
+    """``fp, least, root``: each fingerprint's least id and its component."""
+    distinct = rows.groupBy("fp").agg(F.min("doc_id").alias("least"))
+    roots = components(links(distinct.select("fp"), radius))
+    named = distinct.join(roots.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
+    return materialize(named, "roots")
+
+
 def near_duplicates(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
     """``doc_id, fp, component_id`` per row of ``docs``.
 
@@ -236,25 +245,26 @@ def near_duplicates(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
     Repeated rows are rows of their own. An empty table gives no rows.
     """
     rows = materialize(fingerprints(docs), "fingerprints")
-    distinct = rows.groupBy("fp").agg(F.min("doc_id").alias("least"))
-    roots = components(links(distinct.select("fp"), radius))
-    named = distinct.join(roots.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
-    named = materialize(named, "roots")
+    named = _roots(rows, radius)
     ids = named.groupBy("root").agg(F.min("least").alias("component_id"))
     of = named.select("fp", "root").join(ids, "root").select("fp", "component_id")
     return rows.join(of, "fp").select("doc_id", "fp", "component_id")
 
 
 def keep_one(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
-    """``docs`` with one row of each component: the one with its id (of rows
-    that repeat this id, the first by text hash). A component of null ids
-    keeps one row likewise."""
-    found = near_duplicates(docs, radius).where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select("doc_id", "fp").distinct()
-    first = docs.withColumn("_h", F.xxhash64(*[c for c in docs.columns if c != "_h"]))
-    keep = found.select(F.col("doc_id").alias("_id")).distinct()
-    rows = first.join(keep, first["doc_id"].eqNullSafe(keep["_id"])).drop("_id")
-    pick_one = F.row_number().over(Window.partitionBy("doc_id").orderBy("_h"))
-    return rows.withColumn("_n", pick_one).where("_n = 1").select(*[rows[c] for c in docs.columns])
+    """``docs`` with one row of each component: that of the least id (nulls
+    last), and of these the first by hash of the whole row."""
+    h = "_h"
+    while h in {c.lower() for c in docs.columns}:
+        h += "_"
+    hashed = docs.withColumn(h, F.xxhash64(*docs.columns))
+    rows = materialize(fingerprints(hashed, h), "fingerprints")
+    roots = _roots(rows, radius).select("fp", "root")
+    # rows that agree in the hash are alike, so they share a component
+    order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", F.col(h).alias("h"))
+    best = rows.join(roots, "fp").groupBy("root").agg(F.min(order).alias("k")).select(F.col("k.doc_id").alias("_id"), F.col("k.h").alias("_key"))
+    found = hashed.join(best, (hashed[h] == best["_key"]) & hashed["doc_id"].eqNullSafe(best["_id"]), "left_semi")
+    return found.dropDuplicates([h]).select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -109,6 +109,15 @@ def test_op6_odd(spark, odd_docs, no_docs):
     assert simhash.keep_one(odd_docs).columns == odd_docs.columns
 
 
+def test_keep_one_keeps_a_row_of_each_component(spark):
+    texts = [" ".join(f"{k}{i}" for i in range(60)) for k in "pqrst"]
+    docs = [(None, texts[0]), (None, texts[1]), (None, texts[1]), (None, texts[2]), (7, texts[3]), (7, texts[4]), (9, texts[4])]
+    df = spark.createDataFrame([(i, t, n) for n, (i, t) in enumerate(docs)], "doc_id long, text string, _h int")
+    got = rows(simhash.keep_one(df), "doc_id", "text", "_h")
+    assert Counter((i, t) for i, t, _ in got) == Counter([(None, texts[0]), (None, texts[1]), (None, texts[2]), (7, texts[3]), (7, texts[4])])
+    assert all(docs[n] == (i, t) for i, t, n in got)
+
+
 @pytest.mark.parametrize("spread", [3, 8, 64])
 def test_op6_links_are_whole(spark, spread):
     r = np.random.default_rng(spread)
