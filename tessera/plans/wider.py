@@ -87,12 +87,8 @@ def _parts(s: SparkSession, d: str) -> DataFrame:
     return table(s, d, "volume_chunks").select(F.col("volume_id").alias("upload_id"), (F.col("position") + 1).alias("part_number"), "chunk_id", F.md5(F.col("chunk_id").cast("binary")).alias("etag"), (F.col("position") + 100).alias("size"))
 
 
-def _few(s: SparkSession, d: str) -> DataFrame:
-    return table(s, d, "nodes").where("node_no < 60")
-
-
 def _shard_places(s: SparkSession, d: str, n: int) -> DataFrame:
-    return placement.place(table(s, d, "shards").select(F.col("chunk_id").alias("key")).distinct(), _few(s, d), n)
+    return placement.place(table(s, d, "shards").select(F.col("chunk_id").alias("key")).distinct(), table(s, d, "nodes"), n)
 
 
 def _blocks(s: SparkSession, d: str) -> DataFrame:
@@ -214,9 +210,9 @@ def _frames() -> dict[str, tuple[Callable[[SparkSession, str], DataFrame], str |
             duck("", "volume_chunks").rstrip() + f", {_PARTS} SELECT upload_id, cast(sum(size) AS bigint) AS size, concat(md5(string_agg(etag, '' ORDER BY part_number)), '-', count(*)) AS etag, count(*) AS parts, string_agg(chunk_id, ',' ORDER BY part_number) AS chunks FROM parts GROUP BY upload_id",
         ),
         # placement and policy
-        "c1_place_by_domain": (lambda s, d: placement.place_by_domain(t(s, d, "volumes").select(F.col("volume_id").alias("key")), _few(s, d), 3, "zone"), None),
+        "c1_place_by_domain": (lambda s, d: placement.place_by_domain(t(s, d, "volumes").select(F.col("volume_id").alias("key")), table(s, d, "nodes"), 3, "zone"), None),
         "c6_shard_repairs": (lambda s, d: policy.shard_repairs(policy.shard_health(t(s, d, "shards"), None, DATA_SHARDS, PARITY_SHARDS), _shard_places(s, d, SHARDS)), None),
-        "c3_movement": (lambda s, d: placement.moved(*[placement.place(t(s, d, "volumes").select(F.col("volume_id").alias("key")), n, 2) for n in (_few(s, d).where("node_no <> 3"), _few(s, d))]), None),
+        "c3_movement": (lambda s, d: placement.moved(*[placement.place(t(s, d, "volumes").select(F.col("volume_id").alias("key")), n, 2) for n in (table(s, d, "nodes").where("node_no <> 3"), table(s, d, "nodes"))]), None),
         "c7_evaluate_all": (
             lambda s, d: policy.evaluate_all(t(s, d, "placements"), policy.first_policy(t(s, d, "volume_chunks"), t(s, d, "volumes")), FACTOR),
             duck(f"SELECT p.chunk_id, p.n AS replicas, CASE WHEN g.mode IS NULL THEN 'unreferenced' WHEN g.mode = 'erasure_coding' THEN 'by_shards' WHEN p.n < {FACTOR} THEN 'under' WHEN p.n > {FACTOR} THEN 'over' ELSE 'healthy' END AS state FROM (SELECT chunk_id, count(*) AS n FROM placements GROUP BY chunk_id) p LEFT JOIN (SELECT f.chunk_id, v.mode FROM (SELECT chunk_id, min(volume_id) AS volume_id FROM volume_chunks GROUP BY chunk_id) f JOIN volumes v ON f.volume_id = v.volume_id) g ON p.chunk_id = g.chunk_id", "placements", "volume_chunks", "volumes"),

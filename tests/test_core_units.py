@@ -1,5 +1,6 @@
 """Literal cases and properties of the core operators."""
 
+import hashlib
 import math
 import random
 
@@ -9,6 +10,7 @@ from pyspark.sql import functions as F
 from tessera.functions import exprs
 from tessera.functions.udfs import ReedSolomon, crc32c, crc32c_bytes, fnv1a, node_hashes
 from tessera.operators import chunks, compliance, listing, namespace, placement, policy, ranges, refs
+from tessera.plans import registry
 from tessera.sources.fixtures import table
 from tessera.streaming import folds
 
@@ -275,3 +277,33 @@ def test_profiles(spark):
     got = [r[0] for r in df.select(exprs.profile_error(*[F.col(c) for c in "mfqdp"])).collect()]
     assert [g is None for g in got] == [True, False, False, False, False, False, False, True, False]
     assert [r[0] for r in df.select(exprs.target_replicas(*[F.col(c) for c in "mfdp"])).collect()] == [3, 9, 3, 3, 1, 2, 4, 6, 1]
+
+
+SMALL = "/root/testdata/sf0.01"
+
+
+def test_placements_see_every_node(spark):
+    nodes = [(r["node_id"], r["weight"]) for r in table(spark, SMALL, "nodes").where("status <> 'offline' AND weight > 0").collect()]
+    got = {(r["key"], r["replica"]): r["node_id"] for r in registry.queries()["c2_placement"](spark, SMALL).where(F.crc32(F.col("key").cast("binary")) % 100 == 0).collect()}
+    assert len(got) > 100
+    for key in {k for k, _ in got}:
+        taken = []
+        for r in range(3):
+            draw = lambda n: (math.log((int(hashlib.sha256(f"{key}:{n[0]}:{r}".encode()).hexdigest()[:8], 16) + 0.5) / 2**32) / n[1], n[0])  # noqa: B023, E731
+            taken.append(max((n for n in nodes if n[0] not in taken), key=draw)[0])
+            assert got[key, r] == taken[r]
+
+
+@pytest.mark.parametrize("name, column", [("c1_place_by_domain", "node_id"), ("c3_movement", "new_node"), ("c6_shard_repairs", None), ("b14_shard_nodes", None)])
+def test_placed_on_high_nodes(spark, name, column):
+    found = registry.queries()[name](spark, SMALL)
+    column = F.col(column) if column else F.concat_ws(" ", *[F.col(c).cast("string") for c in found.columns])
+    assert found.where(column.rlike("node-([6-9][0-9]|100)( |$)")).take(1)
+
+
+def test_scrub_checks_every_document(spark, sf_dir):
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text").collect()
+    parts = {r["doc_id"]: -(-len((r["text"] or "").encode()) // 4096) for r in docs}
+    got = registry.queries()["ag20_scrub"](spark, sf_dir).first()
+    assert (got["checked"], got["errors"]) == (sum(parts.values()), sum(n for i, n in parts.items() if i % 50 == 7))
+    assert 0 < got["errors"] < got["checked"]
