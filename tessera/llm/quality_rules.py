@@ -15,20 +15,19 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tessera.llm.common import map_texts, materialize, pick, slices, small_batches
 
-#: A word is common in a language from this share of its words on, so that a
-#: language has at most 2000 of them, and a language has references of its own
-#: from this share of all words on, so that there are at most 1000.
+#: A language has references of its own from this many words on, which keep
+#: its histogram of ``COMPARED_WORDS`` stable, whatever its share of the corpus.
+#: Others have none, and only the base rules judge their documents.
+LANGUAGE_WORDS = 10_000
+#: A word is common in a language from this share of its words on.
 COMMON_SHARE = 1 / 2000
-LANGUAGE_SHARE = 1 / 1000
 #: Common words compared one by one; the others count together.
 COMPARED_WORDS = 40
-#: Name of the reference over all languages.
-POOLED = "*"
 PARTIAL_WORDS = 300_000
 #: Resolution of a document's class shares.
 SHARE_BINS = 4096
@@ -106,46 +105,33 @@ def _partial_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatc
     yield flush()
 
 
-def _medians(bins: list[tuple[int, int, int]]) -> np.ndarray:
-    """Median share of each class from ``(class, bin, documents)``."""
-    out = np.zeros(len(CLASSES))
-    for k in range(len(CLASSES)):
-        own = sorted((b, n) for c, b, n in bins if c == k)
-        half, seen = sum(n for _, n in own) / 2, 0
-        for b, n in own:
-            seen += n
-            if seen >= half:
-                out[k] = (b + 0.5) / SHARE_BINS if b else 0.0
-                break
-    return out
-
-
 def language_references(docs: DataFrame) -> dict[str, Reference]:
-    """References per language over all of ``docs`` (``text``, ``lang``). What
-    reaches the driver is bounded by the two shares and ``SHARE_BINS``."""
+    """References over all of ``docs`` (``text``, ``lang``) of every language
+    with ``LANGUAGE_WORDS`` words. They are made by groups and joins; a language
+    sends its compared words and a median share of each class to the driver."""
     small_batches(docs.sparkSession)
     counts = pick(docs, "text", "lang").mapInArrow(_partial_counts, "lang string, word string, cls int, bin int, n long")
     summed = materialize(counts.groupBy("lang", "word", "cls", "bin").agg(F.sum("n").alias("n")), "word-counts")
     words = summed.where("word is not null")
-    total = words.agg(F.sum("n")).first()[0] or 0
-    if not total:
-        return {}
-    totals = {r["lang"]: r["n"] for r in words.groupBy("lang").agg(F.sum("n").alias("n")).where(F.col("n") >= total * LANGUAGE_SHARE).collect()}
-    totals[POOLED] = total
-    own = words.where(F.col("lang").isin([k for k in totals if k != POOLED]))
-    pooled = words.groupBy("word").agg(F.sum("n").alias("n")).select(F.lit(POOLED).alias("lang"), "word", "n")
-    least = F.create_map(*[x for k, n in totals.items() for x in (F.lit(k), F.lit(n * COMMON_SHARE))])
-    common: dict[str, list[tuple[int, bytes]]] = {k: [] for k in totals}
-    for r in own.select("lang", "word", "n").unionByName(pooled).where(F.col("n") >= F.element_at(least, F.col("lang"))).collect():
-        common[r["lang"]].append((-r["n"], r["word"].encode()))
-    bins: dict[str, list[tuple[int, int, int]]] = {}
-    for r in summed.where("word is null").where(F.col("lang").isin(list(totals))).collect():
-        bins.setdefault(r["lang"], []).append((r["cls"], r["bin"], r["n"]))
-    chars = {k: _medians(b) for k, b in bins.items()}
-    chars[POOLED] = sum(totals[k] * chars[k] for k in chars) / sum(totals[k] for k in chars) if chars else np.ones(len(CLASSES))
+    totals = materialize(words.groupBy("lang").agg(F.sum("n").alias("total")).where(F.col("total") >= LANGUAGE_WORDS), "language-words")
+    # a language has at most 1 / COMMON_SHARE common words
+    common = words.join(totals, "lang").where(F.col("n") >= F.col("total") * COMMON_SHARE)
+    rank = F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("n"), "word"))
+    common = common.withColumn("rank", rank).where(F.col("rank") <= COMPARED_WORDS)
+    # and at most SHARE_BINS bins of each class
+    of = Window.partitionBy("lang", "cls")
+    bins = summed.where("word is null").join(totals.select("lang"), "lang")
+    bins = bins.withColumn("seen", F.sum("n").over(of.orderBy("bin"))).withColumn("docs", F.sum("n").over(of))
+    medians = bins.where(F.col("seen") >= F.col("docs") / 2).groupBy("lang", "cls").agg(F.min("bin").alias("bin"))
+    chars: dict[str, np.ndarray] = {}
+    for r in medians.collect():
+        chars.setdefault(r["lang"], np.zeros(len(CLASSES)))[r["cls"]] = (r["bin"] + 0.5) / SHARE_BINS if r["bin"] else 0.0
+    tops: dict[str, list[tuple[int, bytes]]] = {}
+    for r in common.select("lang", "word", "n").collect():
+        tops.setdefault(r["lang"], []).append((-r["n"], r["word"].encode()))
     out = {}
-    for lang, n in totals.items():
-        top = sorted(common[lang])[:COMPARED_WORDS]
+    for lang, n in totals.collect():
+        top = sorted(tops.get(lang, []))
         hist = np.array([-c for c, _ in top] + [n + sum(c for c, _ in top)], dtype=float)
         out[lang] = Reference(chars[lang] + 1e-9, {w: i for i, (_, w) in enumerate(top)}, hist)
     return out
@@ -195,7 +181,7 @@ def judge(text: bytes | None, lang: str | None, refs: dict[str, Reference], limi
     symbols = sum(text.count(bytes([c])) for c in SYMBOLS)
     repeated = repeat_words(words)
     failed = n < limits.base_words or 100 * repeated > 50 * n
-    ref = refs.get(lang or "", refs.get(POOLED))
+    ref = refs.get(lang or "")
     by_chars = by_words = None
     if ref is not None and n >= limits.char_min_words:
         by_chars = js_distance(class_counts(text).astype(float), ref.chars)
@@ -213,9 +199,8 @@ def judge(text: bytes | None, lang: str | None, refs: dict[str, Reference], limi
 def quality_rules(docs: DataFrame, refs: dict[str, Reference], limits: Limits = Limits()) -> DataFrame:
     """One verdict per row of ``docs`` (``doc_id, text, lang``).
 
-    A null text has no words and fails the base rules. A null or rare language
-    is compared with the pooled reference; without any reference only the base
-    rules apply. Repeated rows get equal verdicts; extra columns are ignored;
+    A null text has no words and fails the base rules. Rows of a null language
+    are a language of their own; without a reference only the base rules apply. Repeated rows get equal verdicts; extra columns are ignored;
     an empty table gives no rows.
     """
 

@@ -47,6 +47,20 @@ def test_op2_odd(spark, odd_docs, no_docs):
     assert quality_rules.quality_rules(no_docs, {}).collect() == []
 
 
+def test_op2_small_languages_are_judged_by_their_own(spark):
+    r = np.random.default_rng(4)
+    share = 1 / np.arange(1, 301)
+    text = lambda k, n: " ".join(f"{k}{w}" for w in r.choice(300, n, p=share / share.sum()))
+    big = [("big", text("b", 60_000)) for _ in range(220)]
+    own, tiny = [("own", text("o", 400)) for _ in range(30)], [("tiny", text("t", 400))]
+    docs = spark.createDataFrame([(i, t, g) for i, (g, t) in enumerate(big + own + tiny)], "doc_id long, text string, lang string")
+    refs = quality_rules.language_references(docs)
+    assert set(refs) == {"big", "own"} and all(w.startswith(b"o") for w in refs["own"].slots)
+    for lang, x in own + tiny:
+        got = quality_rules.judge(x.encode(), lang, refs, quality_rules.Limits())
+        assert got[6] == (not got[5]) and (got[8] is None) == (lang == "tiny")
+
+
 def test_js_distance():
     assert quality_rules.js_distance(np.array([1.0, 0]), np.array([0, 1.0])) == 1
     assert quality_rules.js_distance(np.array([2.0, 2]), np.array([1.0, 1])) == 0
