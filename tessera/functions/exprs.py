@@ -52,8 +52,39 @@ def offset_in_sub_block(offset: Column) -> Column:
     return offset % SUB_BLOCK_BYTES
 
 
-def bitmap_set(bits: Column, index: int) -> Column:
-    return bits.bitwiseOR(F.shiftleft(F.lit(1).cast("long"), index))
+def backend_offset(base: Column, sub_block: Column) -> Column:
+    """Byte of a sub-block on its backend, whose chunk begins at ``base``."""
+    return base + sub_block.cast("long") * SUB_BLOCK_BYTES
+
+
+def _bit(index: Column) -> Column:
+    return F.call_function("shiftleft", F.lit(1).cast("long"), index.cast("int"))
+
+
+def bitmap_set(bits: Column, index: Column) -> Column:
+    return bits.bitwiseOR(_bit(index))
+
+
+def bitmap_unset(bits: Column, index: Column) -> Column:
+    return bits.bitwiseAND(F.bitwise_not(_bit(index)))
+
+
+def bitmap_test(bits: Column, index: Column) -> Column:
+    return F.bit_get(bits, index.cast("int")) == 1
+
+
+def bitmap_full(bits: Column) -> Column:
+    return bits == F.lit(-1).cast("long")
+
+
+def array_add(values: Column, value: Column) -> Column:
+    """``values`` with ``value`` at the end, unless it is there."""
+    return F.when(F.array_contains(values, value), values).otherwise(F.array_append(values, value))
+
+
+def array_drop(values: Column, value: Column) -> Column:
+    """``values`` without ``value``, whether or not it was there."""
+    return F.array_remove(values, value)
 
 
 def bitmap_clear(bits: Column, kept: Column) -> Column:

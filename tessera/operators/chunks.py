@@ -41,9 +41,15 @@ def read_range(chunks: DataFrame, size: int, offset: int, length: int) -> DataFr
     return part.select("file_id", F.substring("data", offset - first * size + 1, length).alias("data"))
 
 
+def corrupted(chunks: DataFrame, stored: str = "crc") -> DataFrame:
+    """The chunks whose bytes do not have their stored CRC-32C."""
+    return chunks.where(~crc32c("data").eqNullSafe(F.col(stored)))
+
+
 def scrub(chunks: DataFrame, stored: str = "crc") -> DataFrame:
-    """Chunks checked against their stored CRC-32C, and errors."""
-    return chunks.withColumn("now", crc32c("data")).agg(F.count("*").alias("checked"), F.count(F.when(F.col("now") != F.col(stored), 1)).alias("errors"))
+    """Chunks checked against their stored CRC-32C, and errors; ``corrupted``
+    lists them."""
+    return chunks.withColumn("now", crc32c("data")).agg(F.count("*").alias("checked"), F.count(F.when(~F.col("now").eqNullSafe(F.col(stored)), 1)).alias("errors"))
 
 
 def erasure_encode(chunks: DataFrame, data: int, parity: int) -> DataFrame:

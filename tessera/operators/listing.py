@@ -21,6 +21,21 @@ def list_objects(objects: DataFrame, bucket: str, prefix: str = "", delimiter: s
     return rows.orderBy("name").limit(limit) if limit else rows
 
 
+def listing_rows(objects: DataFrame, bucket: str, prefix: str, delimiter: str, limit: int) -> DataFrame:
+    """Rows of a listing response in order: ``position, element, name, size,
+    keys``. Keys that share a part up to the delimiter stand as one prefix; the
+    limit counts keys and prefixes alike."""
+    rest = F.substring(F.col("key"), len(prefix) + 1, 1 << 30)
+    at = F.instr(rest, delimiter)
+    name = F.when(at > 0, F.concat(F.lit(prefix), F.substring(rest, F.lit(1), at + len(delimiter) - 1))).otherwise(F.col("key"))
+    rows = objects.where((F.col("bucket") == bucket) & F.col("key").startswith(prefix)).select(name.alias("name"), (at > 0).alias("rolled"), "size")
+    rolled = rows.groupBy("name", "rolled").agg(F.max(F.when(~F.col("rolled"), F.col("size"))).alias("size"), F.count("*").alias("keys"))
+    page = rolled.orderBy("name").limit(limit)
+    # a page of at most `limit` rows
+    listed = page.agg(F.array_sort(F.collect_list(F.struct("name", "rolled", "size", "keys"))).alias("l")).select(F.posexplode("l"))
+    return listed.select((F.col("pos") + 1).cast("long").alias("position"), F.when(F.col("col.rolled"), "CommonPrefixes").otherwise("Contents").alias("element"), "col.name", "col.size", "col.keys")
+
+
 def latest_versions(versions: DataFrame) -> DataFrame:
     """The highest turn per key; an aggregate, so no key is sorted in one task."""
     top = F.max_by(F.struct("turn", "role", "size"), "turn")

@@ -6,9 +6,11 @@ updated in place and each key folds by itself.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tessera.operators.ordering import ranked
+
 #: Inode of the root, and the first that is given out.
 ROOT, FIRST_INO = 1, 3
 
@@ -56,12 +58,36 @@ def read_directory(entries: DataFrame, ino: int, cookie: int, limit: int) -> Dat
     return own.unionByName(listed).where((F.col("cookie") > cookie) & (F.col("cookie") <= cookie + limit))
 
 
-def allocate_inodes(entries: DataFrame) -> DataFrame:
-    """Ids of new inodes by order of arrival within each parent; ids of
-    different parents are apart by the parent's own range, so that none
-    depends on all others."""
-    n = F.row_number().over(Window.partitionBy("parent").orderBy("idx"))
-    return entries.withColumn("new_ino", n + FIRST_INO - 1)
+def allocate_inodes(commands: DataFrame, block: int = 65_536) -> DataFrame:
+    """``commands`` with ``new_ino``: numbers from ``FIRST_INO`` on in order of
+    arrival, over all parents."""
+    return ranked(commands, [F.expr(f"idx div {block}")], ["idx"], "new_ino").withColumn("new_ino", F.col("new_ino") + FIRST_INO - 1)
+
+
+#: Inode type and first link count of each command.
+CREATED = {"create": ("file", 1), "mkdir": ("dir", 2), "symlink": ("symlink", 1), "mknod": ("special", 1)}
+
+
+def created_inodes(commands: DataFrame) -> DataFrame:
+    """Change-log rows of ``create``, ``mkdir``, ``symlink`` and ``mknod``
+    commands (``idx, op, parent, name``): the new inode with its type and link
+    count, and the entry that names it."""
+    kind, links = (F.coalesce(*[F.when(F.col("op") == op, F.lit(v[i])) for op, v in CREATED.items()]) for i in (0, 1))
+    return allocate_inodes(commands.where(F.col("op").isin(*CREATED))).select("idx", "parent", "name", F.col("new_ino").alias("ino"), kind.alias("kind"), links.alias("links"))
+
+
+def link_accounting(log: DataFrame) -> DataFrame:
+    """``ino, links`` after a log of ``create``, ``link`` and ``unlink`` (``idx,
+    op, parent, name, ino``). A new entry displaces the one of its name, whose
+    inode loses a link if it is another one; an entry linked to its own inode
+    again counts once more, as nothing is taken away. Inodes without a link are
+    left out."""
+    w = Window.partitionBy("parent", "name").orderBy("idx")
+    put = F.col("op") != "unlink"
+    last = log.withColumn("now", F.when(put, F.col("ino"))).withColumn("was", F.lag("now").over(w))
+    gain = F.when(F.col("now").isNotNull(), F.struct(F.col("now").alias("ino"), F.lit(1).alias("d")))
+    loss = F.when(F.col("was").isNotNull() & ~F.col("was").eqNullSafe(F.col("now")), F.struct(F.col("was").alias("ino"), F.lit(-1).alias("d")))
+    return last.select(F.explode(F.filter(F.array(gain, loss), lambda x: x.isNotNull())).alias("x")).groupBy("x.ino").agg(F.sum("x.d").alias("links")).where("links > 0")
 
 
 def list_versions(versions: DataFrame, prefix: str, marker: str, limit: int) -> DataFrame:
@@ -115,6 +141,63 @@ def delete_cascade(volume_chunks: DataFrame, deleted: DataFrame, *kept: DataFram
     return gone.join(rest, "chunk_id", "left_anti")
 
 
+def object_rows(puts: DataFrame, chunk: int) -> DataFrame:
+    """Rows that putting objects (``idx, bucket, key, op, data``) writes: size,
+    MD5 tag and ids of the body's chunks in order; an empty body has none. A
+    delete carries no body."""
+    n = F.ceil(F.octet_length("data") / F.lit(chunk)).cast("int")
+    ids = F.when(n > 0, F.transform(F.sequence(F.lit(0), n - 1), lambda i: F.sha2(F.substring("data", i * chunk + 1, F.lit(chunk)), 256))).otherwise(F.array().cast("array<string>"))
+    return puts.select("idx", "bucket", "key", "op", F.octet_length("data").cast("long").alias("size"), F.md5("data").alias("etag"), ids.alias("chunks"))
+
+
+def object_state(rows: DataFrame) -> DataFrame:
+    """Objects after the log: the last put of each key that no delete follows."""
+    last = rows.groupBy("bucket", "key").agg(F.max_by(F.struct("op", "size", "etag", "chunks"), "idx").alias("v"))
+    return last.where("v.op = 'put'").select("bucket", "key", "v.size", "v.etag", "v.chunks")
+
+
+#: The encryption algorithms that a bucket may name.
+ALGORITHMS = ("AES256", "aws:kms")
+
+
+def encryption_configs(log: DataFrame, buckets: DataFrame) -> DataFrame:
+    """``idx, bucket, outcome, algorithm``: each request for a bucket's
+    encryption is stored or refused; the last stored one is in force."""
+    known = log.join(buckets.select("bucket").distinct().withColumn("known", F.lit(True)), "bucket", "left")
+    outcome = F.when(F.col("known").isNull(), "NoSuchBucket").when((F.col("op") == "put") & ~F.col("algorithm").isin(*ALGORITHMS), "MalformedXML").otherwise("ok")
+    return known.select("idx", "bucket", "op", outcome.alias("outcome"), "algorithm")
+
+
+def encryption_state(outcomes: DataFrame) -> DataFrame:
+    last = outcomes.where("outcome = 'ok'").groupBy("bucket").agg(F.max_by(F.struct("op", "algorithm"), "idx").alias("v"))
+    return last.where("v.op = 'put'").select("bucket", "v.algorithm")
+
+
+def reservations(log: DataFrame, limits: DataFrame, key: str) -> DataFrame:
+    """Usage after reserving and releasing bytes in order (``idx, bytes``;
+    negative: released): a reservation is refused if it would pass the hard
+    limit (zero: none), a release stops at zero. A refusal depends on all
+    before it, so each key's log is folded in order."""
+    events = F.array_sort(F.collect_list(F.struct("idx", F.col("bytes").cast("long").alias("bytes"))))
+    rows = log.groupBy(key).agg(events.alias("e")).join(limits.select(key, F.col("hard").cast("long").alias("hard")), key, "left")
+    zero = F.struct(F.lit(0).cast("long").alias("used"), F.lit(0).cast("long").alias("refused"))
+
+    def step(s: Column, e: Column) -> Column:
+        after = s["used"] + e["bytes"]
+        refuse = (e["bytes"] > 0) & (F.coalesce("hard", F.lit(0)) > 0) & (after > F.col("hard"))
+        return F.struct(F.when(refuse, s["used"]).otherwise(F.greatest(after, F.lit(0).cast("long"))).alias("used"), (s["refused"] + refuse.cast("long")).alias("refused"))
+
+    return rows.select(key, F.aggregate("e", zero, step).alias("s")).select(key, "s.used", "s.refused")
+
+
+def command_rows(commands: DataFrame) -> DataFrame:
+    """Change-log rows of create and delete commands (``idx, verb, bucket, key``
+    and a struct ``value``): a create puts the value as JSON, a delete puts
+    nothing in its place."""
+    made = F.col("verb") == "create"
+    return commands.select("idx", F.when(made, "put").otherwise("delete").alias("op"), "bucket", "key", F.when(made, F.to_json("value")).alias("value"))
+
+
 def quota_phase(usage: DataFrame, limits: DataFrame, key: str) -> DataFrame:
     """``phase`` and ``admit`` of each limited key: active, warning above the
     soft limit, exceeded above the hard one; an addition is admitted while the

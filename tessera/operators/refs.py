@@ -28,3 +28,12 @@ def reconcile(desired: DataFrame, actual: DataFrame, key: str) -> DataFrame:
     a, b = desired.select(key).distinct().withColumn("want", F.lit(True)), actual.select(key).distinct().withColumn("have", F.lit(True))
     action = F.when(F.col("have").isNull(), "create").when(F.col("want").isNull(), "delete").otherwise("keep")
     return a.join(b, key, "full_outer").select(key, action.alias("action"))
+
+
+def collect_garbage(placed: DataFrame, referenced: DataFrame, nodes: DataFrame) -> DataFrame:
+    """One pass over all nodes: ``node_id, deleted, kept`` of each node's local
+    chunks against the chunks that anything references. Fenced nodes
+    (``fenced``) refuse, and are reported with nothing deleted."""
+    marked = placed.select("node_id", "chunk_id").distinct().join(referenced.withColumn("live", F.lit(True)), "chunk_id", "left").join(nodes.select("node_id", "fenced"), "node_id")
+    gone = F.col("live").isNull() & ~F.col("fenced")
+    return marked.groupBy("node_id").agg(F.count(F.when(gone, 1)).alias("deleted"), F.count(F.when(~gone, 1)).alias("kept"), F.bool_or("fenced").alias("refused"))

@@ -12,13 +12,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.functions import exprs
-from tessera.functions.udfs import crc32c
-from tessera.operators import chunks, compliance, listing, placement, ranges, refs
-from tessera.plans import wider
+from tessera.operators import chunks, compliance, listing, ranges, refs
+from tessera.plans import commands, wider
 from tessera.sources.fixtures import DATA_SHARDS, FACTOR, PARITY_SHARDS, T0, duck, query, table
 
 TTL = 60
 NEED = DATA_SHARDS + PARITY_SHARDS
+#: Every table that can hold a reference to a chunk.
+SOURCES = ("volume_chunks", "object_chunks", "multipart_chunks", "inode_chunks", "snapshot_chunks")
 
 #: name -> (SQL, derived tables it reads)
 BOTH: dict[str, tuple[str, tuple[str, ...]]] = {
@@ -47,13 +48,12 @@ BOTH: dict[str, tuple[str, tuple[str, ...]]] = {
     "j18_task_volumes": ("SELECT t.task_id, v.pool FROM heal_tasks t JOIN volumes v ON t.volume_id = v.volume_id WHERE t.status = 'failed'", ("heal_tasks", "volumes")),
     # aggregates
     "ag1_cluster_status": ("SELECT count(*) AS nodes, count(CASE WHEN status = 'ready' THEN 1 END) AS ready, cast(sum(total_capacity) AS bigint) AS total, cast(sum(available_capacity) AS bigint) AS available FROM nodes", ("nodes",)),
+    "ag2_pool_usage": ("SELECT count(*) AS nodes, count(CASE WHEN status = 'ready' THEN 1 END) AS ready, cast(sum(total_capacity) AS bigint) AS total, cast(sum(available_capacity) AS bigint) AS available, round(CASE WHEN sum(total_capacity) > 0 THEN 100.0 * cast(sum(total_capacity - available_capacity) AS double) / cast(sum(total_capacity) AS double) ELSE 0 END, 6) AS used_pct FROM nodes", ("nodes",)),
     "ag2_zone_usage": ("SELECT zone, cast(sum(total_capacity) AS bigint) AS total, round(CASE WHEN sum(total_capacity) > 0 THEN 100.0 * cast(sum(total_capacity - available_capacity) AS double) / cast(sum(total_capacity) AS double) ELSE 0 END, 6) AS used_pct FROM nodes GROUP BY zone", ("nodes",)),
     "ag9_available_capacity": ("SELECT cast(floor(cast(sum(available_capacity) AS double) / 3) AS bigint) AS available FROM nodes WHERE status <> 'offline' AND available_capacity > 0", ("nodes",)),
     "ag12_rack_weight": ("SELECT rack, cast(sum(weight) AS bigint) AS weight, cast(sum(total_capacity) AS bigint) AS capacity FROM nodes GROUP BY rack", ("nodes",)),
     "ag14_replica_count": ("SELECT replicas, count(*) AS chunks FROM (SELECT chunk_id, count(*) AS replicas FROM placements GROUP BY chunk_id) r GROUP BY replicas", ("placements",)),
     "ag18_active_lock_count": (f"SELECT ino, count(*) AS locks FROM locks WHERE expires_at >= {T0} GROUP BY ino", ("locks",)),
-    "t6_repair_queue_order": ("SELECT task_id, priority, row_number() OVER (ORDER BY priority, created_at, task_id) AS rank FROM heal_tasks WHERE status = 'pending' ORDER BY priority, created_at, task_id LIMIT 50", ("heal_tasks",)),
-    "t9_overflow_drain": ("SELECT volume_id, off FROM writes ORDER BY event_id LIMIT 100", ("writes",)),
     "g11_quota_check": ("SELECT c.name, CASE WHEN coalesce(u.used, 0) > c.hard THEN 'exceeded' WHEN coalesce(u.used, 0) > c.soft THEN 'warning' ELSE 'active' END AS phase FROM quotas c LEFT JOIN (SELECT o_custkey, sum(cast(floor(o_totalprice) AS bigint)) AS used FROM orders GROUP BY o_custkey) u ON c.c_custkey = u.o_custkey", ("quotas",)),
     "g18_since_generation": ("SELECT key, idx, generation FROM change_log WHERE generation > 50", ("change_log",)),
     "st8_owner_generation": ("SELECT key, max(generation) AS generation FROM change_log GROUP BY key", ("change_log",)),
@@ -80,45 +80,22 @@ def _per_volume(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _referenced(spark: SparkSession, d: str) -> DataFrame:
-    return refs.referenced_chunks(*[table(spark, d, t) for t in ("volume_chunks", "object_chunks", "multipart_chunks", "inode_chunks")])
+    return refs.referenced_chunks(*[table(spark, d, t) for t in SOURCES])
 
 
-_REFERENCED = "referenced AS (SELECT chunk_id FROM volume_chunks UNION SELECT chunk_id FROM object_chunks UNION SELECT chunk_id FROM multipart_chunks UNION SELECT chunk_id FROM inode_chunks)"
-_SOURCES = ("volume_chunks", "object_chunks", "multipart_chunks", "inode_chunks")
+_ALL = " UNION ".join(f"SELECT chunk_id FROM {x}" for x in SOURCES)
 
 
 def _files(spark: SparkSession, d: str) -> DataFrame:
     return spark.read.parquet(f"{d}/documents.parquet").select(F.col("doc_id").alias("file_id"), F.encode("text", "UTF-8").alias("data"))
 
 
-def _volume_keys(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "volumes").select(F.col("volume_id").alias("key"))
-
-
 def _offsets(spark: SparkSession, d: str) -> DataFrame:
     o = F.col("o")
     rows = spark.read.parquet(f"{d}/lineitem.parquet").select((F.col("l_orderkey") * 100003 + F.col("l_partkey") * 17).alias("o")).distinct()
     return rows.select("o", exprs.chunk_index(o).alias("chunk"), exprs.sub_block_index(o).alias("block"), exprs.offset_in_sub_block(o).alias("within"))
 
 
-def _stored(cut: DataFrame) -> DataFrame:
-    """Chunks with their stored CRC-32C; one in fifty files has damaged values."""
-    return cut.withColumn("crc", crc32c("data").bitwiseXOR(F.when(F.col("file_id") % 50 == 7, 1).otherwise(0)))
-
-
-def _select_sql(count: int) -> str:
-    """The placement as SQL: one round per replica over the nodes not taken."""
-    out, taken = [], []
-    for r in range(count):
-        skip = " AND ".join(["n.status <> 'offline'", "n.weight > 0"])
-        joins = "".join(f" JOIN r{t} ON r{t}.key = k.key" for t in taken)
-        skip += "".join(f" AND n.node_id <> r{t}.node_id" for t in taken)
-        draw = f"ln((cast(concat('0x', substring(sha256(concat(k.key, ':', n.node_id, ':{r}')), 1, 8)) AS bigint) + 0.5) / 4294967296.0) / n.weight"
-        out.append(f"r{r} AS (SELECT key, node_id FROM (SELECT k.key, n.node_id, row_number() OVER (PARTITION BY k.key ORDER BY {draw} DESC, n.node_id DESC) AS rn FROM keys k{joins}, nodes n WHERE {skip}) x WHERE rn = 1)")
-        taken.append(r)
-    return ", ".join(out)
-
-
 _MERGED = """SELECT file_id, min(start_off) AS start_off, max(end_off) AS end_off, count(*) AS n FROM (
     SELECT *, sum(new) OVER (PARTITION BY file_id ORDER BY start_off, end_off ROWS UNBOUNDED PRECEDING) AS island FROM (
         SELECT *, CASE WHEN start_off <= max(end_off) OVER (PARTITION BY file_id ORDER BY start_off, end_off ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) THEN 0 ELSE 1 END AS new FROM ranges) a) b
@@ -142,8 +119,8 @@ def _frames() -> dict[str, tuple[Callable[[SparkSession, str], DataFrame], str |
             lambda s, d: t(s, d, "objects").select("page_id", exprs.human_bytes(F.col("size")).alias("shown")),
             duck("SELECT page_id, CASE WHEN size >= 1048576 THEN printf('%.1f MiB', size / 1048576.0) WHEN size >= 1024 THEN printf('%.1f KiB', size / 1024.0) ELSE concat(cast(size AS varchar), ' B') END AS shown FROM objects", "objects"),
         ),
-        "u1_referenced": (_referenced, duck(f"SELECT chunk_id FROM ({_REFERENCED.split(' AS ', 1)[1][1:-1]}) r", *_SOURCES)),
-        "j1_orphans": (lambda s, d: refs.orphans(t(s, d, "placements"), _referenced(s, d)).select("chunk_id").distinct(), duck("SELECT DISTINCT chunk_id FROM placements WHERE chunk_id NOT IN (SELECT chunk_id FROM volume_chunks UNION SELECT chunk_id FROM object_chunks UNION SELECT chunk_id FROM multipart_chunks UNION SELECT chunk_id FROM inode_chunks)", "placements", *_SOURCES)),
+        "u1_referenced": (_referenced, duck(_ALL, *SOURCES)),
+        "j1_orphans": (lambda s, d: refs.orphans(t(s, d, "placements"), _referenced(s, d)).select("chunk_id").distinct(), duck(f"SELECT DISTINCT chunk_id FROM placements WHERE chunk_id NOT IN ({_ALL})", "placements", *SOURCES)),
         "ag13_reference_counts": (lambda s, d: refs.reference_counts(t(s, d, "volume_chunks")), duck("SELECT chunk_id, count(DISTINCT volume_id) AS refs FROM volume_chunks GROUP BY chunk_id", "volume_chunks")),
         "j13_reconcile": (
             lambda s, d: refs.reconcile(t(s, d, "volume_chunks"), t(s, d, "placements"), "chunk_id"),
@@ -160,19 +137,19 @@ def _frames() -> dict[str, tuple[Callable[[SparkSession, str], DataFrame], str |
             lambda s, d: compliance.volume_status(t(s, d, "volumes"), _health(s, d), FACTOR),
             f"{duck('', *_BASE).rstrip()}, {_HEALTH} SELECT v.volume_id, CASE WHEN coalesce(x.bad, 0) = 0 THEN 'OK' WHEN x.ok > 0 THEN 'DEGRADED' ELSE 'FAILED' END AS status FROM volumes v LEFT JOIN (SELECT volume_id, count(CASE WHEN live >= {FACTOR} THEN 1 END) AS ok, count(CASE WHEN live < {FACTOR} THEN 1 END) AS bad FROM health GROUP BY volume_id) x ON v.volume_id = x.volume_id",
         ),
-        "c8_repair_queue": (lambda s, d: compliance.repair_queue(_health(s, d), FACTOR), f"{duck('', *_BASE).rstrip()}, {_HEALTH} SELECT chunk_id, min(live) AS priority, {FACTOR} - min(live) AS missing FROM health WHERE live < {FACTOR} GROUP BY chunk_id"),
-        "c10_recovery_plan": (lambda s, d: compliance.recovery_plan(t(s, d, "placements"), "node-4"), duck("SELECT chunk_id, count(CASE WHEN node_id <> 'node-4' THEN 1 END) AS surviving FROM placements WHERE chunk_id IN (SELECT chunk_id FROM placements WHERE node_id = 'node-4') GROUP BY chunk_id", "placements")),
-        "c5_actions": (
-            lambda s, d: compliance.actions(t(s, d, "placements"), FACTOR),
-            duck(f"SELECT chunk_id, CASE WHEN count(*) < {FACTOR} THEN 'under' WHEN count(*) > {FACTOR} THEN 'over' ELSE 'healthy' END AS state, greatest({FACTOR} - count(*), 0) AS needed, coalesce(string_agg(CASE WHEN rn > {FACTOR} THEN node_id END, ',' ORDER BY slot), '') AS remove FROM (SELECT *, row_number() OVER (PARTITION BY chunk_id ORDER BY slot) AS rn FROM placements) p GROUP BY chunk_id", "placements"),
+        "c8_repair_queue": (
+            lambda s, d: compliance.repair_queue(_health(s, d), t(s, d, "volumes"), FACTOR, DATA_SHARDS, PARITY_SHARDS, t(s, d, "corrupted")),
+            f"""{duck('', *_BASE, "corrupted").rstrip()}, {_HEALTH}, due AS (SELECT h.*, v.pool, {_WANTED} AS wanted, c.chunk_id IS NOT NULL AS bad FROM health h JOIN volumes v ON h.volume_id = v.volume_id LEFT JOIN corrupted c ON h.chunk_id = c.chunk_id)
+            SELECT volume_id, pool, chunk_id, CASE WHEN bad THEN 'corrupted' WHEN live >= wanted THEN 'compliant' WHEN live > 0 THEN 'under_replicated' ELSE 'unavailable' END AS status, CASE WHEN bad THEN -1 ELSE live END AS priority, greatest(wanted - live, 0) AS missing FROM due WHERE bad OR live < wanted""",
         ),
-        "c2_placement": (
-            lambda s, d: placement.place(_volume_keys(s, d), t(s, d, "nodes"), 3),
-            duck("", "nodes", "volumes").rstrip().replace("WITH nodes AS (", "WITH all_nodes AS (") + ", nodes AS (SELECT * FROM all_nodes WHERE node_no < 60), keys AS (SELECT volume_id AS key FROM volumes), " + _select_sql(3) + " " + " UNION ALL ".join(f"SELECT key, {r} AS replica, node_id FROM r{r}" for r in range(3)),
+        "c10_surviving": (lambda s, d: compliance.recovery_plan(t(s, d, "placements"), "node-4"), duck("SELECT chunk_id, count(CASE WHEN node_id <> 'node-4' THEN 1 END) AS surviving FROM placements WHERE chunk_id IN (SELECT chunk_id FROM placements WHERE node_id = 'node-4') GROUP BY chunk_id", "placements")),
+        "c4_action_states": (
+            lambda s, d: compliance.action_states(t(s, d, "placements"), FACTOR),
+            duck(f"SELECT chunk_id, CASE WHEN count(*) < {FACTOR} THEN 'under' WHEN count(*) > {FACTOR} THEN 'over' ELSE 'healthy' END AS state, greatest({FACTOR} - count(*), 0) AS needed, coalesce(string_agg(CASE WHEN rn > {FACTOR} THEN node_id END, ',' ORDER BY slot), '') AS remove FROM (SELECT *, row_number() OVER (PARTITION BY chunk_id ORDER BY slot) AS rn FROM placements) p GROUP BY chunk_id", "placements"),
         ),
         "t1_list_objects": (
-            lambda s, d: listing.list_objects(t(s, d, "objects"), "blog.tiontion.example.com", "e", "/"),
-            duck("SELECT DISTINCT CASE WHEN strpos(substring(key, 2), '/') > 0 THEN substring(key, 1, 1 + strpos(substring(key, 2), '/')) ELSE key END AS name, strpos(substring(key, 2), '/') > 0 AS is_prefix FROM objects WHERE bucket = 'blog.tiontion.example.com' AND starts_with(key, 'e')", "objects"),
+            lambda s, d: listing.list_objects(t(s, d, "objects"), "bucket-3", "e", "/"),
+            duck("SELECT DISTINCT CASE WHEN strpos(substring(key, 2), '/') > 0 THEN substring(key, 1, 1 + strpos(substring(key, 2), '/')) ELSE key END AS name, strpos(substring(key, 2), '/') > 0 AS is_prefix FROM objects WHERE bucket = 'bucket-3' AND starts_with(key, 'e')", "objects"),
         ),
         "t4_volume_page": (lambda s, d: listing.page_after(t(s, d, "volumes").select("volume_id", "pool"), "volume_id", "vol-3", 40), duck("SELECT volume_id, pool FROM volumes WHERE volume_id > 'vol-3' ORDER BY volume_id LIMIT 40", "volumes")),
         "w1_latest_version": (lambda s, d: listing.latest_versions(t(s, d, "versions")), duck("SELECT key, turn, role, size, versions FROM (SELECT *, row_number() OVER (PARTITION BY key ORDER BY turn DESC) AS rn, count(*) OVER (PARTITION BY key) AS versions FROM versions) v WHERE rn = 1", "versions")),
@@ -195,12 +172,7 @@ def _frames() -> dict[str, tuple[Callable[[SparkSession, str], DataFrame], str |
         "st1_log_fold": (lambda s, d: ranges.fold_log(t(s, d, "change_log")), duck("SELECT key, value, idx FROM (SELECT *, row_number() OVER (PARTITION BY key ORDER BY idx DESC) AS rn FROM change_log) x WHERE rn = 1 AND op = 'put'", "change_log")),
         "st2_highest_generation": (lambda s, d: ranges.highest_generation(t(s, d, "change_log")), duck("SELECT key, generation, idx, value FROM (SELECT *, row_number() OVER (PARTITION BY key ORDER BY generation DESC, idx) AS rn FROM change_log) x WHERE rn = 1", "change_log")),
         "st10_backoff": (lambda s, d: t(s, d, "heal_tasks").where("status = 'failed' AND retry_count < 5").select("task_id", exprs.backoff_seconds(F.col("retry_count")).alias("wait")), duck("SELECT task_id, cast(10 * pow(2, retry_count) AS bigint) AS wait FROM heal_tasks WHERE status = 'failed' AND retry_count < 5", "heal_tasks")),
-        "ag23_latency_average": (lambda s, d: ranges.latency_average(t(s, d, "change_log"), "key", "value", "idx"), None),
-        "b1_chunk_ids": (lambda s, d: chunks.split_chunks(_files(s, d), 4096).select("file_id", "position", "chunk_id"), None),
-        "b4_dedup": (lambda s, d: chunks.deduplicate(chunks.split_chunks(_files(s, d), 512)), None),
         "b5_reassemble": (lambda s, d: chunks.reassemble(chunks.split_chunks(_files(s, d), 1024)).select("file_id", F.sha2("data", 256).alias("sha")), "SELECT doc_id AS file_id, sha256(text) AS sha FROM documents"),
-        "b6_read_range": (lambda s, d: chunks.read_range(chunks.split_chunks(_files(s, d), 256), 256, 300, 40).select("file_id", F.hex("data").alias("bytes")), None),
-        "ag20_scrub": (lambda s, d: chunks.scrub(_stored(chunks.split_chunks(_files(s, d), 4096))), None),
         "b10_erasure_round_trip": (
             lambda s, d: (lambda c: chunks.erasure_decode(chunks.erasure_encode(c, DATA_SHARDS, PARITY_SHARDS).where("shard_index NOT IN (0, 3)"), DATA_SHARDS, PARITY_SHARDS).select("chunk_id", F.sha2("data", 256).alias("sha")))(_files(s, d).select(F.col("file_id").cast("string").alias("chunk_id"), "data")),
             "SELECT cast(doc_id AS varchar) AS chunk_id, sha256(text) AS sha FROM documents",
@@ -210,9 +182,9 @@ def _frames() -> dict[str, tuple[Callable[[SparkSession, str], DataFrame], str |
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     found = {n: (lambda s, d, q=sql, t=names: query(s, d, q, *t, *(["orders"] if "orders" in q else []))) for n, (sql, names) in BOTH.items()}
-    return found | {n: f for n, (f, _) in _frames().items()} | wider.queries()
+    return found | {n: f for n, (f, _) in _frames().items()} | wider.queries() | commands.queries()
 
 
 def oracle_sql() -> dict[str, str]:
     found = {n: duck(sql, *names) for n, (sql, names) in BOTH.items()}
-    return found | {n: sql for n, (_, sql) in _frames().items() if sql} | wider.oracle_sql()
+    return found | {n: sql for n, (_, sql) in _frames().items() if sql} | wider.oracle_sql() | commands.oracle_sql()

@@ -9,7 +9,6 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.functions import exprs
-from tessera.functions.udfs import volume_hash
 from tessera.operators import chunks, compliance, listing, namespace, placement, policy, ranges, refs
 from tessera.sources.fixtures import DATA_SHARDS, FACTOR, PARITY_SHARDS, T0, duck, query, table
 
@@ -22,7 +21,7 @@ BOTH: dict[str, tuple[str, tuple[str, ...]]] = {
     "sc10_volume_ids": ("SELECT volume_id FROM volumes", ("volumes",)),
     "sc11_locations": ("SELECT chunk_id, node_id, slot FROM placements", ("placements",)),
     "sc14_chunk_ids": ("SELECT DISTINCT chunk_id FROM placements", ("placements",)),
-    "f1_bucket_prefix": ("SELECT page_id, key FROM objects WHERE bucket = 'thther.example.com' AND key LIKE 'e%'", ("objects",)),
+    "f1_bucket_prefix": ("SELECT page_id, key FROM objects WHERE bucket = 'bucket-3' AND key LIKE 'e%'", ("objects",)),
     "f2_directory": ("SELECT name, ino FROM dirents WHERE parent = 7", ("dirents",)),
     "f9_shards_of_chunk": ("SELECT shard_index, node_id FROM shards WHERE chunk_id = 'chunk-9'", ("shards",)),
     "f10_keys_after": ("SELECT page_id, key FROM objects WHERE key > 'es'", ("objects",)),
@@ -37,11 +36,7 @@ BOTH: dict[str, tuple[str, tuple[str, ...]]] = {
     "ag5_all_pools": ("SELECT x.pool, count(v.volume_id) AS volumes, coalesce(cast(sum(v.size_bytes) AS bigint), 0) AS bytes FROM (SELECT DISTINCT pool FROM volumes UNION SELECT 'empty' AS pool) x LEFT JOIN volumes v ON x.pool = v.pool GROUP BY x.pool", ("volumes",)),
     "ag10_rack_capacity": ("SELECT rack, cast(sum(total_capacity) AS bigint) AS total, cast(sum(available_capacity) AS bigint) AS available FROM nodes WHERE status = 'ready' GROUP BY rack", ("nodes",)),
     "ag17_replica_totals": ("SELECT volume_id, count(*) AS writes, cast(sum(len) AS bigint) AS bytes, max(event_id) AS latest FROM writes GROUP BY volume_id", ("writes",)),
-    "ag22_source_nodes": ("SELECT chunk_id, count(DISTINCT node_id) AS sources FROM shards GROUP BY chunk_id", ("shards",)),
-    "t7_recovery_order": ("SELECT chunk_id, surviving, row_number() OVER (ORDER BY surviving, chunk_id) AS rank FROM (SELECT chunk_id, count(*) AS surviving FROM placements WHERE node_id <> 'node-4' GROUP BY chunk_id) x ORDER BY surviving, chunk_id LIMIT 50", ("placements",)),
-    "t8_task_order": ("SELECT task_id, priority FROM heal_tasks WHERE status = 'in-progress' ORDER BY priority, created_at LIMIT 30", ("heal_tasks",)),
     "t10_drain_volume": ("SELECT off, max(event_id) AS event_id FROM writes WHERE volume_id = 'vol-3' GROUP BY off", ("writes",)),
-    "st6_lease_holders": (f"SELECT ino, owner, expires_at FROM (SELECT *, row_number() OVER (PARTITION BY ino, owner ORDER BY idx DESC) AS rn FROM leases) l WHERE rn = 1 AND op <> 'release' AND expires_at >= {T0}", ("leases",)),
     "st12_last_write": ("SELECT volume_id, off, max(event_id) AS event_id FROM writes GROUP BY volume_id, off", ("writes",)),
     "g21_bucket_list": ("SELECT bucket, count(*) AS objects, cast(sum(size) AS bigint) AS bytes FROM objects GROUP BY bucket", ("objects",)),
     "g22_node_get": ("SELECT node_id, zone, rack, status FROM nodes WHERE node_id = 'node-2'", ("nodes",)),
@@ -63,6 +58,9 @@ _MERGED = """merged AS (SELECT file_id, min(start_off) AS start_off, max(end_off
     SELECT *, sum(new) OVER (PARTITION BY file_id ORDER BY start_off, end_off ROWS UNBOUNDED PRECEDING) AS island FROM (
         SELECT *, CASE WHEN start_off <= max(end_off) OVER (PARTITION BY file_id ORDER BY start_off, end_off ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) THEN 0 ELSE 1 END AS new FROM ranges) a) b
     GROUP BY file_id, island)"""
+#: Every table that can hold a reference to a chunk.
+SOURCES = ("volume_chunks", "object_chunks", "multipart_chunks", "inode_chunks", "snapshot_chunks")
+_ALL = " UNION ".join(f"SELECT chunk_id FROM {x}" for x in SOURCES)
 _SHARD_HAVE = f"have AS (SELECT chunk_id, count(DISTINCT shard_index) AS present FROM shards WHERE shard_index < {SHARDS} GROUP BY chunk_id)"
 _PARTS = "parts AS (SELECT volume_id AS upload_id, position + 1 AS part_number, chunk_id, md5(chunk_id) AS etag, 100 + position AS size FROM volume_chunks)"
 
@@ -75,6 +73,10 @@ def _health(s: SparkSession, d: str) -> DataFrame:
     return compliance.volume_chunk_health(table(s, d, "volume_chunks"), table(s, d, "placements"), _live(s, d))
 
 
+def _referenced(s: SparkSession, d: str) -> DataFrame:
+    return refs.referenced_chunks(*[table(s, d, x) for x in SOURCES])
+
+
 def _files(s: SparkSession, d: str) -> DataFrame:
     return s.read.parquet(f"{d}/documents.parquet").select(F.col("doc_id").alias("file_id"), F.encode("text", "UTF-8").alias("data"))
 
@@ -87,10 +89,6 @@ def _parts(s: SparkSession, d: str) -> DataFrame:
     return table(s, d, "volume_chunks").select(F.col("volume_id").alias("upload_id"), (F.col("position") + 1).alias("part_number"), "chunk_id", F.md5(F.col("chunk_id").cast("binary")).alias("etag"), (F.col("position") + 100).alias("size"))
 
 
-def _shard_places(s: SparkSession, d: str, n: int) -> DataFrame:
-    return placement.place(table(s, d, "shards").select(F.col("chunk_id").alias("key")).distinct(), table(s, d, "nodes"), n)
-
-
 def _blocks(s: SparkSession, d: str) -> DataFrame:
     return table(s, d, "bitmaps").select((F.col("chunk_index") % 50).alias("map"), F.explode(exprs.bitmap_indices(F.col("live"))).alias("bit"), "chunk_index").select("map", (F.expr("chunk_index div 50") * 64 + F.col("bit")).alias("block")).distinct()
 
@@ -136,9 +134,7 @@ def _frames() -> dict[str, tuple[Callable[[SparkSession, str], DataFrame], str |
             lambda s, d: chunks.frame_chunks(_bytes(s, d)).select("chunk_id", exprs.frame_fields(F.col("framed")).alias("h")).select("chunk_id", "h.magic_ok", "h.version", "h.length"),
             "SELECT cast(doc_id AS varchar) AS chunk_id, true AS magic_ok, 1 AS version, cast(octet_length(encode(text)) AS bigint) AS length FROM documents",
         ),
-        "p9_verify_frames": (lambda s, d: chunks.verify_frames(chunks.frame_chunks(_bytes(s, d))).select("chunk_id", "verdict"), "SELECT cast(doc_id AS varchar) AS chunk_id, 'ok' AS verdict FROM documents"),
         "p16_dirty_indices": (lambda s, d: t(s, d, "bitmaps").select("chunk_index", F.explode(exprs.bitmap_indices(F.col("live"))).alias("bit")).distinct(), duck("SELECT DISTINCT chunk_index, b AS bit FROM bitmaps, (SELECT unnest(range(64)) AS b) r WHERE (live >> b) & 1 = 1", "bitmaps")),
-        "p17_volume_hash": (lambda s, d: t(s, d, "volumes").select("volume_id", volume_hash("volume_id").alias("hash")), None),
         "p18_metadata_shard": (lambda s, d: t(s, d, "volumes").select("volume_id", exprs.metadata_shard(F.sha2("volume_id", 256)).alias("shard")), duck("SELECT volume_id, cast(concat('0x', substring(sha256(volume_id), 1, 2)) AS int) AS shard FROM volumes", "volumes")),
         "p30_capacity_text": (
             lambda s, d: t(s, d, "volumes").select("volume_id", exprs.capacity_text(F.col("size_bytes") * F.col("volume_no")).alias("shown")),
@@ -169,8 +165,8 @@ def _frames() -> dict[str, tuple[Callable[[SparkSession, str], DataFrame], str |
         ),
         # joins
         "j2_local_orphans": (
-            lambda s, d: refs.orphans(t(s, d, "placements").where("node_id = 'node-3'"), refs.referenced_chunks(*[t(s, d, x) for x in ("volume_chunks", "object_chunks", "multipart_chunks", "inode_chunks")])).select("chunk_id", "slot"),
-            duck("SELECT chunk_id, slot FROM placements WHERE node_id = 'node-3' AND chunk_id NOT IN (SELECT chunk_id FROM volume_chunks UNION SELECT chunk_id FROM object_chunks UNION SELECT chunk_id FROM multipart_chunks UNION SELECT chunk_id FROM inode_chunks)", "placements", "volume_chunks", "object_chunks", "multipart_chunks", "inode_chunks"),
+            lambda s, d: refs.orphans(t(s, d, "placements").where("node_id = 'node-3'"), _referenced(s, d)).select("chunk_id", "slot"),
+            duck(f"SELECT chunk_id, slot FROM placements WHERE node_id = 'node-3' AND chunk_id NOT IN ({_ALL})", "placements", *SOURCES),
         ),
         "j6_availability": (
             lambda s, d: policy.availability(t(s, d, "volume_chunks"), t(s, d, "placements"), _live(s, d)),
@@ -210,9 +206,6 @@ def _frames() -> dict[str, tuple[Callable[[SparkSession, str], DataFrame], str |
             duck("", "volume_chunks").rstrip() + f", {_PARTS} SELECT upload_id, cast(sum(size) AS bigint) AS size, concat(md5(string_agg(etag, '' ORDER BY part_number)), '-', count(*)) AS etag, count(*) AS parts, string_agg(chunk_id, ',' ORDER BY part_number) AS chunks FROM parts GROUP BY upload_id",
         ),
         # placement and policy
-        "c1_place_by_domain": (lambda s, d: placement.place_by_domain(t(s, d, "volumes").select(F.col("volume_id").alias("key")), table(s, d, "nodes"), 3, "zone"), None),
-        "c6_shard_repairs": (lambda s, d: policy.shard_repairs(policy.shard_health(t(s, d, "shards"), None, DATA_SHARDS, PARITY_SHARDS), _shard_places(s, d, SHARDS)), None),
-        "c3_movement": (lambda s, d: placement.moved(*[placement.place(t(s, d, "volumes").select(F.col("volume_id").alias("key")), n, 2) for n in (table(s, d, "nodes").where("node_no <> 3"), table(s, d, "nodes"))]), None),
         "c7_evaluate_all": (
             lambda s, d: policy.evaluate_all(t(s, d, "placements"), policy.first_policy(t(s, d, "volume_chunks"), t(s, d, "volumes")), FACTOR),
             duck(f"SELECT p.chunk_id, p.n AS replicas, CASE WHEN g.mode IS NULL THEN 'unreferenced' WHEN g.mode = 'erasure_coding' THEN 'by_shards' WHEN p.n < {FACTOR} THEN 'under' WHEN p.n > {FACTOR} THEN 'over' ELSE 'healthy' END AS state FROM (SELECT chunk_id, count(*) AS n FROM placements GROUP BY chunk_id) p LEFT JOIN (SELECT f.chunk_id, v.mode FROM (SELECT chunk_id, min(volume_id) AS volume_id FROM volume_chunks GROUP BY chunk_id) f JOIN volumes v ON f.volume_id = v.volume_id) g ON p.chunk_id = g.chunk_id", "placements", "volume_chunks", "volumes"),
@@ -277,13 +270,11 @@ def _frames() -> dict[str, tuple[Callable[[SparkSession, str], DataFrame], str |
             lambda s, d: chunks.reassemble(chunks.write_at(chunks.fill_sparse(chunks.split_chunks(_files(s, d), 128), _files(s, d).select("file_id", F.greatest(F.octet_length("data"), (F.col("file_id") % 700).cast("int")).alias("length")), 128), _patches(s, d), 128)).select("file_id", F.octet_length("data").alias("bytes"), (F.expr("substring(data, file_id % 700 + 1, 6 + length(cast(file_id AS string)))") == F.expr("encode(concat('patch-', cast(file_id AS string)), 'UTF-8')")).alias("found")),
             "SELECT doc_id AS file_id, greatest(octet_length(encode(text)), doc_id % 700 + 6 + length(cast(doc_id AS varchar))) AS bytes, true AS found FROM documents",
         ),
-        "b8_truncate": (lambda s, d: chunks.truncate(_files(s, d), 500).select("file_id", F.octet_length("data").alias("bytes"), F.sha2(F.substring("data", 1, 6), 256).alias("head")), None),
         "b9_fill_sparse": (
             lambda s, d: chunks.fill_sparse(chunks.split_chunks(_files(s, d), 64).where("position % 2 = 0"), _files(s, d).select("file_id", F.octet_length("data").alias("length")), 64).groupBy("file_id").agg(F.sum(F.octet_length("data")).alias("bytes"), F.count("*").alias("n")),
             "SELECT doc_id AS file_id, cast(octet_length(encode(text)) AS bigint) AS bytes, cast(ceil(octet_length(encode(text)) / 64.0) AS bigint) AS n FROM documents WHERE octet_length(encode(text)) > 0",
         ),
         "b12_padded_code": (lambda s, d: chunks.padded_decode(chunks.padded_encode(_bytes(s, d), DATA_SHARDS, PARITY_SHARDS).where("shard_index NOT IN (1, 2)"), DATA_SHARDS, PARITY_SHARDS).select("chunk_id", F.sha2("data", 256).alias("sha")), "SELECT cast(doc_id AS varchar) AS chunk_id, sha256(text) AS sha FROM documents"),
-        "b14_shard_nodes": (lambda s, d: chunks.distribute_shards(t(s, d, "shards").select("chunk_id", "shard_index"), _shard_places(s, d, SHARDS)), None),
         "b16_repair_shards": (
             lambda s, d: (lambda sh: chunks.repair_shards(sh.where("shard_index NOT IN (0, 5)"), DATA_SHARDS, PARITY_SHARDS).join(sh.select("chunk_id", "shard_index", F.col("shard").alias("was")), ["chunk_id", "shard_index"]).select("chunk_id", "shard_index", (F.col("shard") == F.col("was")).alias("equal")))(chunks.padded_encode(_bytes(s, d), DATA_SHARDS, PARITY_SHARDS)),
             "SELECT cast(doc_id AS varchar) AS chunk_id, i AS shard_index, true AS equal FROM documents, (SELECT unnest([0, 5]) AS i) r",
@@ -292,7 +283,6 @@ def _frames() -> dict[str, tuple[Callable[[SparkSession, str], DataFrame], str |
         "g5_directory_fold": (lambda s, d: namespace.directory_entries(t(s, d, "fs_log")), duck("", "fs_log").rstrip() + f", {_CHANGES} SELECT * FROM entries"),
         "g3_link_counts": (lambda s, d: namespace.link_counts(namespace.directory_entries(t(s, d, "fs_log"))), duck("", "fs_log").rstrip() + f", {_CHANGES} SELECT ino, count(*) AS links FROM entries GROUP BY ino"),
         "g4_empty_directories": (lambda s, d: namespace.removable_directories(t(s, d, "inodes").where("kind = 'dir'").select("ino"), t(s, d, "dirents").select((F.col("parent") * 18 + 64).alias("parent"))), duck("SELECT ino FROM inodes WHERE kind = 'dir' AND ino NOT IN (SELECT parent * 18 + 64 FROM dirents)", "inodes", "dirents")),
-        "st14_new_inodes": (lambda s, d: namespace.allocate_inodes(t(s, d, "fs_log").where("op = 'create'")).select("idx", "parent", "new_ino"), duck("SELECT idx, parent, row_number() OVER (PARTITION BY parent ORDER BY idx) + 2 AS new_ino FROM fs_log WHERE op = 'create'", "fs_log")),
         "g8_copy_object": (lambda s, d: namespace.copy_object(t(s, d, "volume_chunks").withColumnRenamed("volume_id", "key"), "vol-3", "vol-3-copy").select("key", "chunk_id", "position"), duck("SELECT 'vol-3-copy' AS key, chunk_id, position FROM volume_chunks WHERE volume_id = 'vol-3'", "volume_chunks")),
         "g9_expired_objects": (
             lambda s, d: namespace.expired_objects(t(s, d, "objects").withColumn("modified", T0 - F.col("page_id") % 90 * 86400), t(s, d, "objects").select("bucket").distinct().withColumn("prefix", F.lit("e")).withColumn("days", F.lit(30)), T0),
@@ -308,12 +298,12 @@ def _frames() -> dict[str, tuple[Callable[[SparkSession, str], DataFrame], str |
         ),
         "g16_snapshot": (lambda s, d: namespace.snapshot_volume(t(s, d, "volume_chunks"), t(s, d, "volumes").where("volume_no % 17 = 0")), duck("SELECT concat('snap-of-', c.volume_id) AS snapshot_id, c.chunk_id, c.position FROM volume_chunks c JOIN volumes v ON c.volume_id = v.volume_id WHERE v.volume_no % 17 = 0", "volume_chunks", "volumes")),
         "g17_delete_cascade": (
-            lambda s, d: namespace.delete_cascade(t(s, d, "volume_chunks"), t(s, d, "volumes").where("volume_no % 40 <> 0"), t(s, d, "object_chunks")),
-            duck("SELECT DISTINCT chunk_id FROM volume_chunks WHERE volume_id IN (SELECT volume_id FROM volumes WHERE volume_no % 40 <> 0) AND chunk_id NOT IN (SELECT chunk_id FROM volume_chunks WHERE volume_id NOT IN (SELECT volume_id FROM volumes WHERE volume_no % 40 <> 0)) AND chunk_id NOT IN (SELECT chunk_id FROM object_chunks)", "volume_chunks", "volumes", "object_chunks"),
+            lambda s, d: namespace.delete_cascade(t(s, d, "volume_chunks"), t(s, d, "volumes").where("volume_no % 40 <> 0"), *[t(s, d, x) for x in SOURCES[1:]]),
+            duck(f"SELECT DISTINCT chunk_id FROM volume_chunks WHERE volume_id IN (SELECT volume_id FROM volumes WHERE volume_no % 40 <> 0) AND chunk_id NOT IN (SELECT chunk_id FROM volume_chunks WHERE volume_id NOT IN (SELECT volume_id FROM volumes WHERE volume_no % 40 <> 0)) AND chunk_id NOT IN ({' UNION '.join(f'SELECT chunk_id FROM {x}' for x in SOURCES[1:])})", *SOURCES, "volumes"),
         ),
-        "g19_node_garbage": (lambda s, d: refs.orphans(t(s, d, "placements").where("node_id = 'node-5'"), t(s, d, "volume_chunks").select("chunk_id").distinct()).select("chunk_id"), duck("SELECT chunk_id FROM placements WHERE node_id = 'node-5' AND chunk_id NOT IN (SELECT chunk_id FROM volume_chunks)", "placements", "volume_chunks")),
+        "g19_node_garbage": (lambda s, d: refs.orphans(t(s, d, "placements").where("node_id = 'node-5'"), _referenced(s, d)).select("chunk_id"), duck(f"SELECT chunk_id FROM placements WHERE node_id = 'node-5' AND chunk_id NOT IN ({_ALL})", "placements", *SOURCES)),
         "g1_stat": (lambda s, d: t(s, d, "inodes").where("ino = 109").select("ino", "kind", "size"), duck("SELECT ino, kind, size FROM inodes WHERE ino = 109", "inodes")),
-        "t1_list_page": (lambda s, d: listing.list_objects(t(s, d, "objects"), "thther.example.com", after="d", limit=5), duck("SELECT key AS name, false AS is_prefix FROM objects WHERE bucket = 'thther.example.com' AND key > 'd' ORDER BY key LIMIT 5", "objects")),
+        "t1_list_page": (lambda s, d: listing.list_objects(t(s, d, "objects"), "bucket-3", after="d", limit=5), duck("SELECT key AS name, false AS is_prefix FROM objects WHERE bucket = 'bucket-3' AND key > 'd' ORDER BY key LIMIT 5", "objects")),
     }
 
 

@@ -39,7 +39,7 @@ TABLES: dict[str, str] = {
         CROSS JOIN (SELECT count(*) AS n FROM supplier) c
         WHERE p.p_partkey % 11 <> 0 AND i.i <= p.p_partkey % 5""",
     "objects": """
-        SELECT page_id, split_part(split_part(url, '://', 2), '/', 1) AS bucket,
+        SELECT page_id, concat('bucket-', cast(page_id % 7 AS varchar(20))) AS bucket,
                substring(split_part(url, '://', 2), length(split_part(split_part(url, '://', 2), '/', 1)) + 2) AS key,
                cast(length(html) AS bigint) AS size
         FROM pages""",
@@ -50,12 +50,22 @@ TABLES: dict[str, str] = {
         SELECT concat('chunk-', cast(p_partkey AS varchar(20))) AS chunk_id FROM part WHERE p_partkey % 91 = 0""",
     "multipart_chunks": """
         SELECT concat('chunk-', cast(p_partkey AS varchar(20))) AS chunk_id FROM part WHERE p_partkey % 143 = 0""",
+    "snapshot_chunks": """
+        SELECT DISTINCT concat('snap-', cast(l_orderkey AS varchar(20))) AS snapshot_id, concat('chunk-', cast(l_partkey AS varchar(20))) AS chunk_id FROM lineitem WHERE l_orderkey % 17 = 0""",
+    "backends": """
+        SELECT concat('node-', cast(s.s_suppkey AS varchar(20))) AS node_id, concat('node-', cast(s.s_suppkey AS varchar(20)), '-b', cast(i.i AS varchar(20))) AS backend_id, (s.s_suppkey + i.i) % 4 + 1 AS weight
+        FROM supplier s CROSS JOIN (SELECT 0 AS i UNION ALL SELECT 1 UNION ALL SELECT 2) i WHERE i.i <= s.s_suppkey % 3""",
+    "corrupted": """
+        SELECT concat('chunk-', cast(p_partkey AS varchar(20))) AS chunk_id FROM part WHERE p_partkey % 37 = 0""",
+    "heartbeats": """
+        SELECT concat('node-', cast(user_id % 20 AS varchar(20))) AS node_id, event_id * 2500 AS ms FROM events""",
     "inode_chunks": """
         SELECT concat('chunk-', cast(p_partkey AS varchar(20))) AS chunk_id FROM part WHERE p_partkey % 169 = 0""",
     "locks": f"""
         SELECT concat('lease-', cast(event_id AS varchar(20))) AS lease_id, event_id, user_id % 50 AS ino, concat('owner-', cast(event_id % 7 AS varchar(20))) AS owner,
-               cast(floor(value * 10) AS bigint) AS start_off,
-               CASE WHEN event_id % 19 = 0 THEN cast(-1 AS bigint) ELSE cast(floor(value * 10) AS bigint) + event_id % 40 + 1 END AS end_off,
+               cast(floor(value * 10) AS bigint) + event_id % 5 * 3000000000 AS start_off,
+               CASE WHEN event_id % 19 = 0 THEN cast(-1 AS bigint) WHEN event_id % 101 = 0 THEN cast(floor(value * 10) AS bigint) + 7000000000
+                    ELSE cast(floor(value * 10) AS bigint) + event_id % 5 * 3000000000 + event_id % 40 + 1 END AS end_off,
                CASE WHEN event_id % 3 = 0 THEN 'write' ELSE 'read' END AS kind, {T0} + event_id % 60 - 20 AS expires_at
         FROM events""",
     "heal_tasks": f"""
@@ -97,9 +107,11 @@ TABLES: dict[str, str] = {
         FROM events""",
     "devices": """
         SELECT p_partkey AS device, p_type AS kind, cast(p_size AS bigint) * 1073741824 AS bytes FROM part""",
-    "leases": f"""
-        SELECT event_id AS idx, user_id % 30 AS ino, concat('owner-', cast(event_id % 5 AS varchar(20))) AS owner,
-               CASE event_id % 4 WHEN 0 THEN 'release' WHEN 1 THEN 'renew' ELSE 'acquire' END AS op, {T0} + event_id % 60 - 20 AS expires_at
+    "leases": """
+        SELECT event_id AS idx, user_id % 30 AS ino, concat('owner-', cast(event_id % 5 AS varchar(20))) AS owner, concat('owner-', cast(event_id % 5 AS varchar(20)), '-', cast(event_id % 2 AS varchar(20))) AS lease,
+               CASE event_id % 4 WHEN 0 THEN 'release' WHEN 1 THEN 'renew' ELSE 'acquire' END AS op, event_id % 13 * 1000000000 AS start_off,
+               CASE WHEN event_id % 23 = 0 THEN cast(-1 AS bigint) ELSE event_id % 13 * 1000000000 + 2500000000 END AS end_off,
+               CASE WHEN event_id % 3 = 0 THEN 'write' ELSE 'read' END AS kind, event_id AS moment, event_id + 600 AS expires_at
         FROM events""",
     "usage": """
         SELECT o_custkey AS c_custkey, cast(sum(cast(floor(o_totalprice) AS bigint)) AS bigint) AS used, count(*) AS objects FROM orders GROUP BY o_custkey""",

@@ -68,7 +68,7 @@ def test_delimiter_listing(spark):
 def test_recovery_and_actions(spark):
     p = spark.createDataFrame([("many", n, i) for i, n in enumerate("xabc")] + [("few", n, i) for i, n in enumerate("xa")], "chunk_id string, node_id string, slot int")
     assert rows(compliance.recovery_plan(p, "x")) == [("few", 1), ("many", 3)]
-    assert rows(compliance.actions(p, 3)) == [("few", "under", 1, ""), ("many", "over", 0, "c")]
+    assert rows(compliance.action_states(p, 3)) == [("few", "under", 1, ""), ("many", "over", 0, "c")]
 
 
 def test_half_open_locks(spark):
