@@ -17,14 +17,16 @@ import zlib
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm.common import crc_mod, drop, materialize, pick, slices, small_batches
+from tessera.llm.common import crc_mod, drop, materialize, parts, pick, slices, small_batches
 
 FOLDS = 10
 #: The end token is written as the empty word.
@@ -44,10 +46,11 @@ SHARE = 4
 TASK_TEXTS = 2048
 FIT_TOKENS = 1_000_000
 RATE = 0.01
-PARTIAL_WORDS = 150_000
+#: Text whose words are counted together before they are sent.
+PARTIAL_BYTES = 16 << 20
 #: Rows and bytes scored together in a worker.
-SCORE_ROWS = 1536
-SCORE_BYTES = 5 << 20
+SCORE_ROWS = 4608
+SCORE_BYTES = 15 << 20
 ADD = 0.1
 
 
@@ -55,51 +58,97 @@ def count_words(docs: DataFrame) -> DataFrame:
     """``word, c`` over ``docs``: words with A-Z lower-cased, and one end each."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        found: Counter = Counter()
+        held: list[pa.Array] = []
+        size, ends = 0, 0
 
         def flush() -> pa.RecordBatch:
-            out = pa.RecordBatch.from_arrays([pa.array([w.decode() for w in found], pa.string()), pa.array(list(found.values()), pa.int64())], names=["word", "c"])
-            found.clear()
-            return out
-
-        for _, texts in slices(batches):
-            for t in texts:
-                found.update(t.lower().split() if t else ())
-                found[b""] += 1
-            if len(found) > PARTIAL_WORDS:
+            nonlocal size, ends
+            every = pa.chunked_array(held, pa.string()) if held else pa.array([], pa.string())
+            found = pc.value_counts(every)
+            word, c = found.field("values"), found.field("counts")
+            real = pc.not_equal(word, "")
+            word, c = (pa.concat_arrays([x.filter(real), e]) for x, e in ((word, pa.array([END], pa.string())), (c, pa.array([ends], pa.int64()))))
+            held.clear()
+            size, ends = 0, 0
+            return pa.RecordBatch.from_arrays([word, c], names=["word", "c"])
+
+        for part in parts(batches):
+            text = part.column(0)
+            # white space by the contract's set; runs of it at either end give empty words
+            held.append(pc.ascii_split_whitespace(pc.ascii_lower(pc.fill_null(text, ""))).flatten())
+            size, ends = size + text.nbytes, ends + len(text)
+            if size > PARTIAL_BYTES:
                 yield flush()
         yield flush()
 
+    small_batches(docs.sparkSession)
     return docs.select("text").mapInArrow(run, "word string, c long").groupBy("word").agg(F.sum("c").alias("c"))
 
 
+def most_frequent(counts: DataFrame, most: int, bins: int = 1 << 12) -> DataFrame:
+    """At most ``most`` of the most frequent words, found by histograms, so that
+    no task sends its own candidates to the driver. Counts are cut into grades
+    of some 4 %; all grades that fit are taken whole, and of the next one the
+    words of as many hash bins as still fit."""
+    grade = F.floor(F.log2("c") * 16).cast("int")
+    graded = counts.withColumn("grade", grade)
+    rows = graded.groupBy("grade").agg(F.count("*").alias("n")).orderBy(F.desc("grade")).collect()  # at most 16 * 63
+    left, edge = most, None
+    for r in rows:
+        if r["n"] > left:
+            edge = r["grade"]
+            break
+        left -= r["n"]
+    if edge is None:
+        return counts
+    binned = graded.withColumn("bin", F.pmod(F.xxhash64("word"), F.lit(bins)).cast("int"))
+    upto = 0
+    for r in binned.where(F.col("grade") == edge).groupBy("bin").agg(F.count("*").alias("n")).orderBy("bin").collect():  # at most `bins`
+        if r["n"] > left:
+            break
+        left, upto = left - r["n"], r["bin"] + 1
+    return binned.where((F.col("grade") > edge) | ((F.col("grade") == edge) & (F.col("bin") < upto))).select("word", "c")
+
+
 @dataclass
 class Vocabulary:
-    """Broadcast part of the counts. ``head``: word -> count; ``ids``: word ->
-    model id for the first of them; the id after the last stands for the rest."""
+    """Broadcast part of the counts. ``words`` and their ``counts``, the most
+    frequent first; the first ``known`` of them have a model id each, their
+    place, and the id after the last stands for all other words."""
 
-    head: dict[bytes, int]
-    ids: dict[bytes, int]
+    words: list[bytes]
+    counts: np.ndarray
+    known: int
     tokens: int
     distinct: int
 
     @classmethod
     def of(cls, counts: DataFrame, head_words: int = HEAD_WORDS, model_words: int = CLASSES * CLASS_WORDS) -> Vocabulary:
         n, v = counts.agg(F.sum("c"), F.count("*")).first()
-        top = counts.orderBy(F.desc("c"), "word").limit(head_words).collect()
-        head = {r["word"].encode(): r["c"] for r in top}
-        first = list(head)[: min(model_words, len(head))]
-        return cls(head, {w: i for i, w in enumerate(first)}, n or 0, v or 0)
+        top = sorted(((-r["c"], r["word"].encode()) for r in most_frequent(counts, head_words).collect()))  # at most `head_words`
+        return cls([w for _, w in top], np.array([-c for c, _ in top], dtype=np.int64), min(model_words, len(top)), n or 0, v or 0)
+
+    def index(self) -> dict[bytes, int]:
+        return {w: i for i, w in enumerate(self.words)}
 
     @property
     def rest_mass(self) -> float:
         """Smoothed count of all words without an id, the unseen one included."""
-        return self.tokens - sum(self.head[w] for w in self.ids) + ADD * (self.distinct - len(self.ids) + 1)
+        return self.tokens - int(self.counts[: self.known].sum()) + ADD * (self.distinct - self.known + 1)
 
 
-def softmax_log(z: np.ndarray) -> np.ndarray:
-    z = z - z.max(axis=-1, keepdims=True)
-    return z - np.log(np.exp(z).sum(axis=-1, keepdims=True))
+def exps(z: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """``(e, s, m)``: exponentials of rows less ``m``, and their sums. One
+    maximum serves all rows unless they are too far apart for single precision."""
+    m = z.max() if z.size else np.float32(0)
+    e = np.exp(z - m)
+    s = e @ np.ones(z.shape[-1], dtype=z.dtype)
+    if s.size and s.min() < 1e-25:
+        m = z.max(axis=-1, keepdims=True)
+        e = np.exp(z - m)
+        s = e.sum(axis=-1)
+        m = m[..., 0]
+    return e, s, m
 
 
 def sigmoid(x: np.ndarray) -> np.ndarray:
@@ -111,20 +160,21 @@ class Gru:
 
     def __init__(self, vocab: Vocabulary, hidden: int = HIDDEN, seed: int = 2):
         r = np.random.default_rng(seed)
-        words = len(vocab.ids)
+        words = vocab.known
         self.rest = words  # id of every other word
         classes = -(-words // CLASS_WORDS)
         self.classes = classes + 1  # the last class is the rest
         f = lambda *s: (r.normal(size=s) * 0.1).astype(np.float32)
         self.p = {"x": f(words + 1, 3 * hidden), "u": f(hidden, 3 * hidden), "wc": f(hidden, self.classes) * 0, "bc": np.zeros(self.classes, np.float32), "ww": f(self.classes - 1, hidden, CLASS_WORDS) * 0, "bw": np.full((self.classes - 1, CLASS_WORDS), -1e4, np.float32)}
         mass = np.zeros(self.classes)
-        for w, i in vocab.ids.items():
-            mass[i // CLASS_WORDS] += vocab.head[w] + ADD
-            self.p["bw"][i // CLASS_WORDS, i % CLASS_WORDS] = np.log(vocab.head[w] + ADD)
+        smoothed = vocab.counts[:words] + ADD
+        self.p["bw"].reshape(-1)[:words] = np.log(smoothed)
+        np.add.at(mass, np.arange(words) // CLASS_WORDS, smoothed)
         mass[-1] = vocab.rest_mass
         self.p["bc"] = np.log(np.maximum(mass, 1e-6)).astype(np.float32)
         self.hidden = hidden
-        self.start = vocab.ids.get(b"", self.rest)
+        known = vocab.words[:words]
+        self.start = known.index(b"") if b"" in known else self.rest
 
     def step(self, h: np.ndarray, x: np.ndarray) -> tuple[np.ndarray, ...]:
         """Next state from state and input ids; with what training needs."""
@@ -135,19 +185,26 @@ class Gru:
         n = np.tanh(gi[:, 2 * k :] + r * gh[:, 2 * k :])
         return n + z * (h - n), r, z, n, gh[:, 2 * k :]
 
+    def _by_class(self, y: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Class of each id, and the rows in order of class with its edges."""
+        c = np.minimum(y // CLASS_WORDS, self.classes - 1)
+        c[y == self.rest] = self.classes - 1
+        order = np.argsort(c.astype(np.int16), kind="stable")
+        return c, order, np.searchsorted(c[order], np.arange(self.classes))
+
     def log_probs(self, h: np.ndarray, y: np.ndarray) -> np.ndarray:
         """Natural log of P(class) P(word | class) per row; a word without an
         id stops at its class."""
-        c = np.minimum(y // CLASS_WORDS, self.classes - 1)
-        c[y == self.rest] = self.classes - 1
-        out = softmax_log(h @ self.p["wc"] + self.p["bc"])[np.arange(len(y)), c]
-        order = np.argsort(c, kind="stable")
-        edges = np.searchsorted(c[order], np.arange(self.classes))
+        c, order, edges = self._by_class(y)
+        z = h @ self.p["wc"] + self.p["bc"]
+        _, s, m = exps(z)
+        out = z[np.arange(len(y)), c] - m - np.log(s)
         for k in range(self.classes - 1):
             rows = order[edges[k] : edges[k + 1]]
             if len(rows):
-                lp = softmax_log(h[rows] @ self.p["ww"][k] + self.p["bw"][k])
-                out[rows] += lp[np.arange(len(rows)), y[rows] % CLASS_WORDS]
+                z = h[rows] @ self.p["ww"][k] + self.p["bw"][k]
+                _, s, m = exps(z)
+                out[rows] += z[np.arange(len(rows)), y[rows] % CLASS_WORDS] - m - np.log(s)
         return out
 
     def score(self, texts: list[np.ndarray]) -> np.ndarray:
@@ -172,34 +229,39 @@ class Gru:
         lane_order = np.argsort(-load, kind="stable")
         load = load[lane_order]
         steps = int(load[0])
-        y = np.full((steps, lanes), self.rest, dtype=np.int32)
-        doc = np.zeros((steps, lanes), dtype=np.int32)
-        first = np.zeros((steps, lanes), dtype=bool)
+        # lanes that are alive at each step come first; all steps lie end to end
+        alive = np.searchsorted(-load, -np.arange(steps), side="left")
+        edge = np.concatenate([[0], np.cumsum(alive)])
+        y, doc = np.empty(total, dtype=np.int32), np.empty(total, dtype=np.int32)
+        first = np.zeros(total, dtype=bool)
         for j, i in enumerate(lane_order.tolist()):
             at = 0
             for t in own[i]:
                 if sizes[t]:
-                    y[at : at + sizes[t], j] = texts[t]
-                    doc[at : at + sizes[t], j] = t
-                    first[at, j] = True
+                    where = edge[at : at + sizes[t]] + j
+                    y[where] = texts[t]
+                    doc[where] = t
+                    first[where[0]] = True
                     at += sizes[t]
-        x = np.concatenate([np.full((1, lanes), self.start, dtype=np.int32), y[:-1]])
-        x[first] = self.start
         h = np.zeros((lanes, self.hidden), dtype=np.float32)
+        states = np.empty((BPTT * lanes, self.hidden), dtype=np.float32)
+        edges = edge.tolist()
         for at in range(0, steps, BPTT):
-            live = int(np.searchsorted(-load, -at, side="left"))
             end = min(steps, at + BPTT)
-            states = np.zeros((end - at, live, self.hidden), dtype=np.float32)
-            h = h[:live]
+            base = edges[at]
             for t in range(at, end):
-                new = first[t, :live]
+                lo, hi = edges[t], edges[t + 1]
+                live, new = hi - lo, first[lo:hi]
+                x = y[edges[t - 1] : edges[t - 1] + live] if t else np.full(live, self.start, dtype=np.int32)
+                h = h[:live]
                 if new.any():
+                    x = np.where(new, self.start, x)
                     h = h * ~new[:, None]
-                h = self.step(h, x[t, :live])[0]
-                states[t - at] = h
-            real = np.arange(at, end)[:, None] < load[None, :live]
-            lp = self.log_probs(states[real], y[at:end, :live][real])
-            out += np.bincount(doc[at:end, :live][real], weights=lp, minlength=len(texts))
+                h = self.step(h, x)[0]
+                states[lo - base : hi - base] = h
+            stop = edges[end]
+            lp = self.log_probs(states[: stop - base], y[base:stop])
+            out += np.bincount(doc[base:stop], weights=lp, minlength=len(texts))
         return out
 
     def fit(self, texts: list[np.ndarray], epochs: int = 2, rate: float = 0.01) -> Gru:
@@ -212,13 +274,18 @@ class Gru:
         y = stream[: n * lanes].reshape(lanes, n).T
         x = np.concatenate([np.full((1, lanes), self.start, dtype=y.dtype), y[:-1]])
         k = self.hidden
-        m, v, step = ({a: np.zeros_like(p) for a, p in self.p.items()} for _ in range(2)), None, 0
-        m, v = m
+        # all weights in one vector, so that a step is a few passes over it
+        names = sorted(self.p)
+        edges = np.cumsum([0, *(self.p[a].size for a in names)])
+        flat, grad = np.concatenate([self.p[a].ravel() for a in names]), np.empty(int(edges[-1]), np.float32)
+        views = lambda x: {a: x[i:j].reshape(self.p[a].shape) for a, i, j in zip(names, edges, edges[1:], strict=False)}
+        self.p, g = views(flat), views(grad)
+        first, second, work, step = np.zeros_like(flat), np.zeros_like(flat), np.empty_like(flat), 0
         for _ in range(epochs):
             h = np.zeros((lanes, k), dtype=np.float32)
             for at in range(0, n, BPTT):
                 end = min(n, at + BPTT)
-                g = {a: np.zeros_like(p) for a, p in self.p.items()}
+                grad[:] = 0
                 states, tape = np.empty((end - at + 1, lanes, k), np.float32), []
                 states[0] = h
                 for t in range(at, end):
@@ -241,43 +308,51 @@ class Gru:
                 g["u"] += states[:-1].reshape(-1, k).T @ dg.reshape(-1, 3 * k)
                 ids = x[at:end].reshape(-1)
                 order = np.argsort(ids, kind="stable")
-                own, first = np.unique(ids[order], return_index=True)
-                g["x"][own] += np.add.reduceat(di.reshape(-1, 3 * k)[order], first, axis=0)
+                ids = ids[order]
+                begin = np.flatnonzero(np.concatenate([[True], ids[1:] != ids[:-1]]))
+                g["x"][ids[begin]] += np.add.reduceat(di.reshape(-1, 3 * k)[order], begin, axis=0)
                 step += 1
-                for a, p in self.p.items():
-                    s = g[a] / ((end - at) * lanes)
-                    m[a] += 0.1 * (s - m[a])
-                    v[a] += 0.01 * (s * s - v[a])
-                    p += rate * (m[a] / (1 - 0.9**step)) / (np.sqrt(v[a] / (1 - 0.99**step)) + 1e-6)
+                grad /= np.float32((end - at) * lanes)
+                # means of the gradient and of its square, then the step
+                np.subtract(grad, first, out=work)
+                first += np.multiply(work, np.float32(0.1), out=work)
+                np.multiply(grad, grad, out=work)
+                work -= second
+                second += np.multiply(work, np.float32(0.01), out=work)
+                np.sqrt(np.multiply(second, np.float32(1 / (1 - 0.99**step)), out=work), out=work)
+                work += np.float32(1e-6)
+                np.divide(first, work, out=work)
+                flat += np.multiply(work, np.float32(rate / (1 - 0.9**step)), out=work)
         return self
 
     def _output_grads(self, h: np.ndarray, y: np.ndarray, g: dict[str, np.ndarray]) -> np.ndarray:
         """Adds the output layers' gradients of the log-likelihood; returns
         that of the states."""
-        c = np.where(y == self.rest, self.classes - 1, y // CLASS_WORDS)
-        d = -np.exp(softmax_log(h @ self.p["wc"] + self.p["bc"]))
+        c, order, edges = self._by_class(y)
+        d, total, _ = exps(h @ self.p["wc"] + self.p["bc"])
+        d *= (-1 / total)[:, None]
         d[np.arange(len(y)), c] += 1
         g["wc"] += h.T @ d
-        g["bc"] += d.sum(axis=0)
+        g["bc"] += np.ones(len(d), dtype=d.dtype) @ d
         dh = d @ self.p["wc"].T
-        order = np.argsort(c, kind="stable")
-        edges = np.searchsorted(c[order], np.arange(self.classes))
         for k in np.flatnonzero(np.diff(edges)).tolist():
             rows = order[edges[k] : edges[k + 1]]
-            d = -np.exp(softmax_log(h[rows] @ self.p["ww"][k] + self.p["bw"][k]))
+            own = h[rows]
+            d, total, _ = exps(own @ self.p["ww"][k] + self.p["bw"][k])
+            d *= (-1 / total)[:, None]
             d[np.arange(len(rows)), y[rows] % CLASS_WORDS] += 1
-            g["ww"][k] += h[rows].T @ d
-            g["bw"][k] += d.sum(axis=0)
+            g["ww"][k] += own.T @ d
+            g["bw"][k] += np.ones(len(d), dtype=d.dtype) @ d
             dh[rows] += d @ self.p["ww"][k].T
         return dh
 
 
-def token_ids(text: bytes | None, vocab: Vocabulary, rest: int) -> tuple[list[bytes], np.ndarray]:
-    """Words (the end last, as the empty word) and their model ids."""
+def token_places(text: bytes | None, index: dict[bytes, int]) -> tuple[list[bytes], np.ndarray]:
+    """Words (the end last, as the empty word) and their places in the
+    vocabulary, -1 for words beyond it."""
     words = text.lower().split() if text else []
     words.append(b"")
-    ids = vocab.ids
-    return words, np.fromiter((ids.get(w, rest) for w in words), dtype=np.int32, count=len(words))
+    return words, np.fromiter(map(index.get, words, repeat(-1)), dtype=np.int32, count=len(words))
 
 
 def refine(docs: DataFrame, vocab: Vocabulary, model: Gru) -> Gru:
@@ -302,7 +377,7 @@ def _round(rows: DataFrame, tasks: int, vocab: Vocabulary, model: Gru) -> None:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         vocab, start = known.value
-        own = Gru(vocab, start["u"].shape[0])
+        own, index = Gru(vocab, start["u"].shape[0]), {w: i for i, w in enumerate(vocab.words[: vocab.known])}
         own.p = {k: v.copy() for k, v in start.items()}
         held: list[np.ndarray] = []
         seen, waiting = 0, 0
@@ -315,7 +390,8 @@ def _round(rows: DataFrame, tasks: int, vocab: Vocabulary, model: Gru) -> None:
 
         for _, texts in slices(batches):
             for t in texts:
-                ids = token_ids(t, vocab, own.rest)[1]
+                ids = token_places(t, index)[1]
+                ids[ids < 0] = own.rest
                 for at in range(0, len(ids), FIT_TOKENS):
                     held.append(ids[at : at + FIT_TOKENS])
                     waiting += len(held[-1])
@@ -363,42 +439,48 @@ def score_texts(docs: DataFrame, counts: DataFrame, vocab: Vocabulary, model: Gr
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         vocab, model = known.value
-        base = {w: float(np.log10(c + ADD)) for w, c in vocab.head.items()}
+        index, base = vocab.index(), np.log10(vocab.counts + ADD)
         rid = TaskContext.get().partitionId() << 40
-        waiting: list[tuple[pa.RecordBatch, list[bytes | None]]] = []
+        ids: list[np.ndarray] = []
+        rows: list[list] = []
+        keys: list[pa.RecordBatch] = []
         held = 0
 
+        def add(text: bytes | None) -> None:
+            """Look up a text's words; only places and rare words are kept."""
+            nonlocal rid
+            words, at = token_places(text, index)
+            head, beyond = at[at >= 0], np.flatnonzero(at < 0).tolist()
+            tail = Counter([words[i] for i in beyond])
+            # words with a count that is known here but without an id
+            mid = head[head >= model.rest]
+            rows.append([rid, len(words), len(head), float(base[head].sum()), float(base[mid].sum()) - (len(mid) + len(beyond)) * rest_total, [w.decode() for w in tail], list(tail.values())])
+            at[(at < 0) | (at > model.rest)] = model.rest
+            ids.append(at)
+            rid += 1
+
         def flush() -> pa.RecordBatch:
-            nonlocal rid, held
-            texts = [t for _, ts in waiting for t in ts]
-            parts = [p for p, _ in waiting]
-            tokens = [token_ids(t, vocab, model.rest) for t in texts]
-            scores = model.score([ids for _, ids in tokens]) / np.log(10)
-            rows = []
-            for (words, ids), s in zip(tokens, scores.tolist(), strict=True):
-                got = [base.get(w) for w in words]
-                tail = Counter(w for w, b in zip(words, got, strict=True) if b is None)
-                head = [b for b in got if b is not None]
-                # words with a count that is known here but without an id
-                mid = sum(b for b, i in zip(got, ids.tolist(), strict=True) if i == model.rest and b is not None)
-                n_mid = int((ids == model.rest).sum())
-                rows.append((rid, len(words), len(head), sum(head), s + mid - n_mid * rest_total, [w.decode() for w in tail], list(tail.values())))
-                rid += 1
-            waiting.clear()
-            held = 0
+            nonlocal held
+            for row, s in zip(rows, (model.score(ids) / np.log(10)).tolist(), strict=True):
+                row[4] += s
             cols = list(zip(*rows, strict=True))
             types = [pa.int64()] * 3 + [pa.float64()] * 2 + [pa.list_(pa.string()), pa.list_(pa.int64())]
             arrays = [pa.array(c, t) for c, t in zip(cols, types, strict=True)]
-            ids = pa.concat_arrays([p.column(0).cast(pa.int64()) for p in parts])
-            fold = pa.concat_arrays([p.column(2) for p in parts])
-            return pa.RecordBatch.from_arrays([arrays[0], ids, fold, *arrays[1:]], names=["rid", "doc_id", "held_out", "n_tokens", "n_head", "base_head", "score_head", "tail", "tail_n"])
+            own, fold = (pa.concat_arrays([k.column(i).cast(t) for k in keys]) for i, t in ((0, pa.int64()), (1, pa.bool_())))
+            for x in (ids, rows, keys):
+                x.clear()
+            held = 0
+            return pa.RecordBatch.from_arrays([arrays[0], own, fold, *arrays[1:]], names=["rid", "doc_id", "held_out", "n_tokens", "n_head", "base_head", "score_head", "tail", "tail_n"])
 
         for part, texts in slices(batches):
-            waiting.append((part, texts))
-            held += sum(len(t or b"") for t in texts)
-            if held >= SCORE_BYTES or sum(len(t) for _, t in waiting) >= SCORE_ROWS:
+            # copies, so that the texts can go
+            keys.append(pa.RecordBatch.from_arrays([pa.array(part.column(i).to_pylist(), t) for i, t in ((0, pa.int64()), (2, pa.bool_()))], names=["doc_id", "held_out"]))
+            for t in texts:
+                add(t)
+                held += len(t or b"")
+            if held >= SCORE_BYTES or len(rows) >= SCORE_ROWS:
                 yield flush()
-        if waiting:
+        if rows:
             yield flush()
 
     rows = materialize(docs.mapInArrow(run, "rid long, doc_id long, held_out boolean, n_tokens long, n_head long, base_head double, score_head double, tail array<string>, tail_n array<long>"), "scored")
@@ -414,7 +496,9 @@ def lm_scores(docs: DataFrame, head_words: int = HEAD_WORDS) -> DataFrame:
     """Learn from the training fold and score every row of ``docs``.
 
     A null text is empty: its only token is the end. A null ``doc_id`` trains.
-    Repeated rows count each and score alike. Extra columns are ignored; an
+    Repeated rows count each and score alike. A very long text is learnt in
+    parts of ``FIT_TOKENS`` and scored as one, its state carried through; words
+    of like count are ordered by their bytes. Extra columns are ignored; an
     empty table gives no rows.
     """
     rows = pick(docs, "doc_id", "text").withColumn("held_out", F.coalesce(crc_mod("doc_id", FOLDS) == 0, F.lit(False)))

@@ -197,7 +197,8 @@ def test_op9_refining_helps(spark, monkeypatch):
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text")
     vocab = language_model.Vocabulary.of(language_model.count_words(docs))
     model = language_model.Gru(vocab)
-    texts = [language_model.token_ids((r["text"] or "").encode(), vocab, model.rest)[1] for r in docs.limit(80).collect()]
+    places = [language_model.token_places((r["text"] or "").encode(), vocab.index())[1] for r in docs.limit(80).collect()]
+    texts = [np.where((at >= 0) & (at < model.rest), at, model.rest) for at in places]
     before = model.score(texts).sum()
     model = language_model.refine(docs, vocab, model)
     assert model.score(texts).sum() > before
@@ -216,9 +217,20 @@ def test_op9_every_training_text_reaches_the_weights(spark):
         assert not np.array_equal(whole, weights(docs.where(f"doc_id <> {gone}")))
 
 
+def test_op9_head_of_the_counts(spark):
+    counts = spark.createDataFrame([(f"w{i}", 1000 // (i + 1) + 1) for i in range(900)], "word string, c long")
+    for most in (0, 1, 7, 100, 500, 899, 900, 5000):
+        got = rows(language_model.most_frequent(counts, most, 64), "word", "c")
+        assert len(set(got)) == len(got) <= most
+        least = min((c for _, c in got), default=0)
+        # only words of the least grade or below can be missing
+        assert all(int(r["c"]) <= least * 1.05 + 1 for r in counts.collect() if (r["word"], r["c"]) not in got) or not got
+        assert most < 100 or len(got) > 0.5 * min(most, 900)
+
+
 def test_op9_model_is_a_distribution_and_lanes_agree():
     head = {b"": 50, **{f"w{i}".encode(): 100 - i for i in range(90)}}
-    vocab = language_model.Vocabulary(head, {w: i for i, w in enumerate(head)}, sum(head.values()) + 40, len(head) + 30)
+    vocab = language_model.Vocabulary(list(head), np.array(list(head.values())), len(head), sum(head.values()) + 40, len(head) + 30)
     r = np.random.default_rng(0)
     texts = [r.integers(0, 92, size=n).astype(np.int32) for n in (1, 5, 40, 300, 7)]
     model = language_model.Gru(vocab).fit(texts * 3)
@@ -237,7 +249,7 @@ def test_op9_model_is_a_distribution_and_lanes_agree():
 
 def test_op9_gradients():
     head = {b"": 5, **{f"w{i}".encode(): 9 for i in range(70)}}
-    vocab = language_model.Vocabulary(head, {w: i for i, w in enumerate(head)}, sum(head.values()), len(head))
+    vocab = language_model.Vocabulary(list(head), np.array(list(head.values())), len(head), sum(head.values()), len(head))
     model = language_model.Gru(vocab)
     r = np.random.default_rng(1)
     model.p = {k: (v + r.normal(size=v.shape) * 0.1).astype(np.float64) for k, v in model.p.items()}
