@@ -30,6 +30,8 @@ KEYWORDS = (b"passw", b"secret", b"token", b"api")
 RUN = b"0" * 16
 HEX_RUNS = bytes(48 if c in b"0123456789abcdef" else 32 for c in range(256))
 MIN_VALUE, MIN_ACCESS = 12, 18
+#: Least bytes of what a pattern's span leaves of a span of the field.
+MIN_REST = 8
 
 OUT, BEGIN, INSIDE = 0, 1, 2
 TAGS = 3
@@ -287,23 +289,41 @@ class Tagger:
                 out[-1][1:] = [places[t][1], t]
             else:
                 out.append([places[t][0], places[t][1], t])
-        return [self._trim(text, a, b) for a, b, _ in out]
+        return [self.trim(text, a, b) for a, b, _ in out]
 
     @staticmethod
-    def _trim(text: bytes, a: int, b: int) -> tuple[int, int]:
-        """Without quotes and punctuation around the value."""
+    def trim(text: bytes, a: int, b: int) -> tuple[int, int]:
+        """Without white space, quotes and punctuation around the value."""
         core = text[a:b]
-        left = len(core) - len(core.lstrip(b"\"'([{<,;:"))
-        right = len(core.rstrip(b"\"')]}>,;:.!?"))
+        left = len(core) - len(core.lstrip(b" \t\n\v\f\r\"'([{<,;:"))
+        right = len(core.rstrip(b" \t\n\v\f\r\"')]}>,;:.!?"))
         return (a + left, a + right) if right > left else (a, b)
 
 
+def left_over(text: bytes, found: list[tuple[int, int]], base: list[tuple[int, int, int]]) -> list[tuple[int, int]]:
+    """What the patterns' spans leave of the field's, in one sweep over both.
+    A span may reach over a pattern's span beside it; the rest of it stays, if
+    it has ``MIN_REST`` bytes without the marks around it."""
+    out, walls, i = [], sorted((a, b) for a, b, _ in base), 0
+    for a, b in sorted(found):
+        while i < len(walls) and walls[i][1] <= a:
+            i += 1
+        at, j, cut = a, i, False
+        while j < len(walls) and walls[j][0] < b:
+            if walls[j][0] > at:
+                out.append((*Tagger.trim(text, at, walls[j][0]), True))
+            at, cut = max(at, walls[j][1]), True
+            j += 1
+        if at < b:
+            out.append((*Tagger.trim(text, at, b), cut))
+    return [(a, b) for a, b, cut in out if b - a >= (MIN_REST if cut else 1)]
+
+
 def find_spans(text: bytes, tagger: Tagger) -> list[tuple[int, int, int]]:
-    """All spans in code points, by start and kind; the field's spans are those
-    that touch no span of the patterns."""
+    """All spans in code points, by start and kind; the field's spans are cut
+    where they meet those of the patterns."""
     base = base_spans(text)
-    more = [(a, b, 3) for a, b in tagger.spans(text) if not any(a < d and c < b for c, d, _ in base)]
-    found = sorted(base + more, key=lambda s: (s[0], s[2]))
+    found = sorted(base + [(a, b, 3) for a, b in left_over(text, tagger.spans(text), base)], key=lambda s: (s[0], s[2]))
     if not text.isascii():
         starts = np.cumsum((np.frombuffer(text, dtype=np.uint8) & 0xC0) != 0x80) if found else None
         point = lambda i: int(starts[i - 1]) if i else 0
@@ -320,7 +340,10 @@ def scan(docs: DataFrame, model: Crf | None = None) -> DataFrame:
     redacted`` (the text with every span replaced by ``[SECRET]``).
 
     Null texts are scanned as empty ones and stay null in ``redacted``. Rows
-    are independent; extra columns are ignored; no rows give no rows.
+    are independent; extra columns are ignored; no rows give no rows. A very
+    long text is scanned whole, in time that follows its length and its number
+    of spans. Of paths of equal score the decoder takes outside before begin
+    before inside.
     """
     tagger = Tagger(model or trained())
 
