@@ -30,6 +30,11 @@ JOINED = 30
 MEMO_WORD_BYTES = 64
 
 
+#: Texts that show whether a tokenizer keeps to white space, ignores case, and
+#: takes zeros and stops as tokens of their own.
+PROBES = ("", " ", "One two,  THREE four.\tfive\nsix", "a0b 10 0 007 0.5 x0,y0.", "Été ÉTÉ straße ñandú 日本語 тест", "it's don't x,y. ... ,, end.", "ABCdef GHI.jkl Mixed-Case_word #tag @you 50% $9 a.b.c, A.")
+
+
 class ChunkEncoder:
     """Encodes bytes of UTF-8 text to packed little-endian uint32 ids."""
 
@@ -48,6 +53,10 @@ class ChunkEncoder:
         self.young: dict[bytes, bytes] = {}
         self.old: dict[bytes, bytes] = {}
         self.stops = {x: self._ids(x.decode()).tobytes() for x in STOPS}
+        # what this class takes for granted of the tokenizer; else whole texts are encoded
+        self.whole = False
+        self.whole = any(self.encode([t.encode()])[0] != np.append(self._ids(t), np.uint32(END_ID)).astype("<u4").tobytes() for t in PROBES)
+        self.young, self.old = {}, {}
 
     def _ids(self, text: str) -> np.ndarray:
         return np.array(self.tok.encode(text, add_special_tokens=False).ids, dtype="<u4")
@@ -107,10 +116,18 @@ class ChunkEncoder:
     def encode_column(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """``(ids of all texts, ids per text)``, the end id of each included;
         null is empty."""
-        # the tokenizer lower-cases too
-        lists = pc.ascii_split_whitespace(pc.ascii_lower(pc.fill_null(texts, "")))
+        if self.whole:
+            found = [np.append(self._ids(t or ""), np.uint32(END_ID)) for t in texts.to_pylist()]
+            return (np.concatenate(found) if found else np.zeros(0)).astype("<u4"), np.array([len(f) for f in found], dtype=np.int64)
+        texts = pc.fill_null(texts, "")
+        lowered, sign = pc.ascii_lower(texts), self.sign
+        signed = pc.match_substring(texts, sign.decode()) if sign else pa.array([False] * len(texts))
+        some = bool(pc.any(signed).as_py())
+        # the tokenizer lower-cases too, but knows a special token by its case
+        lists = pc.ascii_split_whitespace(pc.if_else(signed, texts, lowered) if some else lowered)
         words = lists.flatten().dictionary_encode()
-        vals = self._look_up(words.dictionary.cast(pa.binary()).to_pylist())
+        distinct = words.dictionary.cast(pa.binary()).to_pylist()
+        vals = self._look_up([w if sign in w else w.lower() for w in distinct] if some else distinct)
         vals.append(np.array([END_ID], dtype="<u4").tobytes())
         flat, sizes = np.frombuffer(b"".join(vals), dtype="<u4"), np.fromiter(map(len, vals), dtype=np.int64, count=len(vals)) // 4
         counts = pc.list_value_length(lists).to_numpy(zero_copy_only=False).astype(np.int64)
@@ -151,7 +168,7 @@ def default_tokenizer() -> str:
 
 def write_token_files(docs: DataFrame, path: str, tokenizer: str, *, row_group_bytes: int = 16 << 20, page_bytes: int = 64 << 10, delta: bool = True) -> None:
     """Encode whole texts and write them as Parquet in ascending ``doc_id``
-    order (rows of one id by text hash).
+    order (rows of one id by text hash). A very long text is one row.
 
     Columns: ``part`` (number of the file's range), ``local_start`` (ids before
     the row within its range), ``doc_id``, ``n_tokens``, ``ids`` (list of int).
