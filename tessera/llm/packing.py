@@ -162,9 +162,16 @@ def cut_tail(tail: int, cut: int) -> list[int]:
 
 
 def classes(capacity: int) -> list[tuple[int, int, int]]:
-    """(largest length, pieces per unit item, size in units) of each class."""
+    """(largest length, pieces per unit item, size in units) of each class. A
+    capacity between two units has a last class that fills a sequence."""
     tiny = [(length, BUNDLE // length, -(-(BUNDLE // length) * length // UNIT)) for length in range(1, TINY + 1)]
-    return tiny + [(top, 1, top // UNIT) for top in range(TINY + UNIT, capacity + 1, UNIT)]
+    rest = [(top, 1, top // UNIT) for top in range(TINY + UNIT, capacity + 1, UNIT)]
+    return tiny + rest + ([(capacity, 1, capacity // UNIT)] if capacity % UNIT else [])
+
+
+def cuts_of(capacity: int) -> list[int]:
+    """Tail cuts of a capacity, coarsest (none) first."""
+    return [capacity, *(c for c in CUTS if c < capacity)]
 
 
 def class_of(length: int) -> int:
@@ -182,9 +189,7 @@ def plan_packing(tails: dict[int, int], full: int, capacity: int = CAPACITY) ->
     kinds = classes(capacity)
     least = max(1, -(-(sum(n * c for n, c in tails.items()) + full * capacity) // capacity))
     best: tuple[int, int, Plan, np.ndarray] | None = None
-    for cut in CUTS:
-        if cut > capacity:
-            continue
+    for cut in cuts_of(capacity):
         count = np.zeros(len(kinds), dtype=np.int64)
         count[class_of(capacity)] += full
         for tail, c in tails.items():
@@ -230,7 +235,7 @@ def piece_table(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY) -> Da
     """Per document: ``doc_id, doc_tokens``, the crc32 of each full sequence's
     ids, and for each possible cut those of the tail's pieces. Its width
     follows a document's length in sequences, not in ids."""
-    cuts = [c for c in CUTS if c <= capacity]
+    cuts = cuts_of(capacity)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in parts(batches):
@@ -254,10 +259,14 @@ def pack(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY) -> DataFrame
     """Pieces ``doc_id, start, length, ids_crc32, doc_tokens, sequence_id,
     offset`` of all documents.
 
-    Every id lies in one piece; a sequence holds at most ``capacity``. Null and
-    empty texts hold the end id. Repeated rows are packed as documents of their
-    own. Empty tables give no rows.
+    Every id lies in one piece; a sequence holds at most ``capacity`` (64 or
+    more). Null and empty texts hold the end id. Repeated rows are packed as
+    documents of their own; pieces of one class are ranked by id, start and
+    checksum. A very long text fills sequences of its own up to its tail. Extra
+    columns are ignored. Empty tables give no rows.
     """
+    if capacity < BUNDLE:
+        raise ValueError(f"a sequence holds at least {BUNDLE} ids")
     spark = docs.sparkSession
     table = materialize(piece_table(docs, tokenizer, capacity), "pieces")
     # at most `capacity` rows, each a sum
