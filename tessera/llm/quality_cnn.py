@@ -12,7 +12,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tessera.llm.common import crc_mod, map_texts, pick
@@ -22,8 +22,10 @@ WIDTH = 6
 STEP = 512
 FILTERS = 12
 #: Bounds of the labelled sample the network is fitted on: rows of each label,
-#: and bytes in all (longer texts are skipped once it is full).
+#: bytes in all, and bytes of a text (a longer one is no sample, but is scored).
 SAMPLE_ROWS = 1500
+SAMPLE_BYTES = 96 << 20
+SAMPLE_TEXT_BYTES = 4 << 20
 FOLDS = 5
 
 
@@ -125,15 +127,21 @@ def training_sample(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS)
         part = known.where(F.col("quality") == y).select("doc_id", "quality").distinct().orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows)
         ids = part if ids is None else ids.unionByName(part)
     # at most 2 * rows ids
-    found = pick(docs, "doc_id", "text").join(F.broadcast(ids), "doc_id").select("doc_id", "text", "quality").orderBy(F.xxhash64("doc_id"), "text").limit(2 * rows).collect()
-    return [((r["text"] or "").encode(), r["quality"]) for r in found]
+    short = F.coalesce(F.octet_length("text"), F.lit(0)) <= SAMPLE_TEXT_BYTES
+    found = pick(docs, "doc_id", "text").join(F.broadcast(ids), "doc_id").where(short).select("doc_id", "text", "quality").withColumn("_h", F.xxhash64("doc_id")).orderBy("_h", "text").limit(2 * rows)
+    # running bytes over at most 2 * rows lengths
+    upto = F.sum(F.coalesce(F.octet_length("text"), F.lit(0)).cast("long")).over(Window.orderBy("_h", "text").rowsBetween(Window.unboundedPreceding, 0))
+    bounded = found.withColumn("_upto", upto).where(F.col("_upto") <= SAMPLE_BYTES).select("text", "quality", "_upto")
+    return [((r["text"] or "").encode(), r["quality"]) for r in sorted(bounded.collect(), key=lambda r: r["_upto"])]
 
 
 def classify(docs: DataFrame, model: ByteCnn, threshold: float = 0.3) -> DataFrame:
     """``doc_id, held_out, score, predicted`` of every row, from its bytes only.
 
-    Null and empty texts score as a chunk of zeros. Repeated rows score alike;
-    extra columns are ignored; a null ``doc_id`` is not held out.
+    Null and empty texts score as a chunk of zeros; a very long text is walked
+    64 chunks at a time, to its end. Repeated rows score alike, and equal texts
+    under other ids; extra columns are ignored; a null ``doc_id`` is not held
+    out. An empty table gives no rows.
     """
 
     def rows(part: pa.RecordBatch, texts: list[bytes | None]) -> pa.RecordBatch:
