@@ -17,8 +17,9 @@ from tessera.llm.common import materialize, pick
 
 WINDOW = 10
 SHINGLE = 3
-#: Benchmark shingles are broadcast up to this many rows of a long and an int.
-BROADCAST_ROWS = 2_000_000
+#: Benchmark tables are broadcast up to this many bytes, joined by shuffles
+#: beyond; the result is the same.
+BROADCAST_BYTES = 48 << 20
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 SEPARATORS = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 
@@ -49,8 +50,10 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, sh
     row as a struct.
 
     Null texts have no words; items without words have no windows; repeated
-    items count once by id; repeated rows get equal results; extra columns are
-    ignored; an empty benchmark leaves every document clean.
+    items count once by id; repeated rows get equal results; windows that share
+    words may overlap, and count their words once. A text is one row whatever
+    its length, as are its words. Extra columns are ignored; an empty benchmark
+    leaves every document clean; no documents give no rows.
     """
     spark = docs.sparkSession
     windows = materialize(windows_of(benchmark, window), "windows")
@@ -60,8 +63,10 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, sh
     parts = parts.withColumn("all", F.coalesce(*[F.when(F.least(F.col("len"), F.lit(shingle)) == k, _shingles("len", k)) for k in sizes]) if sizes else _shingles("len", shingle))
     grams = materialize(parts.select("win", "len", "items", F.explode("all").alias("g")).select("win", "len", "items", F.col("g.pos").alias("off"), F.col("g.sh").alias("sh")), "window-shingles")
     tokens = grams.select("sh").distinct()
-    small = grams.count() <= BROADCAST_ROWS
-    fit = F.broadcast if small else (lambda df: df)
+    # what a row of windows, of which prefix is a part, and of tokens takes in memory
+    width = F.octet_length("win") + F.aggregate("items", F.lit(96), lambda a, x: a + F.octet_length(x) + 16)
+    size = (windows.agg(F.sum(width)).first()[0] or 0, 32 * grams.count())
+    fit = lambda df, n: F.broadcast(df) if n <= BROADCAST_BYTES else df
 
     # the row's columns travel under numbers, so that none can clash
     own = {c: f"_c{i}" for i, c in enumerate(docs.columns)}
@@ -69,13 +74,13 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, sh
     text = F.col(own["text"])
     split = keyed.select("k0", "k1", words_of(text).alias("words")).withColumn("n", F.size("words"))
     found = split.select("k0", "k1", "n", F.explode(F.concat(*[_shingles("n", k) for k in sizes or [shingle]])).alias("g")).select("k0", "k1", "n", F.col("g.pos").alias("pos"), F.col("g.sh").alias("sh"))
-    found = materialize(found.join(fit(tokens), "sh"), "shingle-hits")
+    found = materialize(found.join(fit(tokens, size[1]), "sh"), "shingle-hits")
 
     # rarity over all documents, then one prefix token for each window
     rarity = found.groupBy("sh").agg(F.count("*").alias("df"))
     ranked = grams.join(rarity, "sh", "left").groupBy("win", "len", "items").agg(F.min(F.struct(F.coalesce("df", F.lit(0)).alias("df"), "sh", "off")).alias("p"))
     prefix = ranked.where("p.df > 0").select("win", "len", "items", F.col("p.sh").alias("sh"), F.col("p.off").alias("off"))
-    near = found.join(fit(prefix), "sh").withColumn("start", F.col("pos") - F.col("off")).where("start >= 0 AND start + len <= n")
+    near = found.join(fit(prefix, size[0]), "sh").withColumn("start", F.col("pos") - F.col("off")).where("start >= 0 AND start + len <= n")
     near = near.groupBy("k0", "k1").agg(F.collect_set(F.struct("start", "len", "win", "items")).alias("near"))
 
     rows = keyed.join(near, ["k0", "k1"], "left").select(F.struct(*[F.col(n).alias(c) for c, n in own.items()]).alias("row"), F.col(own["doc_id"]).alias("doc_id"), words_of(text).alias("words"), "near")
