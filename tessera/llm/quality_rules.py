@@ -200,8 +200,10 @@ def quality_rules(docs: DataFrame, refs: dict[str, Reference], limits: Limits =
     """One verdict per row of ``docs`` (``doc_id, text, lang``).
 
     A null text has no words and fails the base rules. Rows of a null language
-    are a language of their own; without a reference only the base rules apply. Repeated rows get equal verdicts; extra columns are ignored;
-    an empty table gives no rows.
+    are a language of their own; without a reference only the base rules apply.
+    Repeated rows get equal verdicts. A very long text is judged whole; words
+    of equal count are ranked by themselves. Extra columns are ignored; an
+    empty table gives no rows.
     """
 
     def rows(part: pa.RecordBatch, texts: list[bytes | None]) -> pa.RecordBatch:

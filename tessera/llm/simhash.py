@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm.common import map_texts, materialize, pick
+from tessera.llm.common import drop, map_texts, materialize, pick
 
 BITS = 64
 RADIUS = 2
@@ -222,6 +222,8 @@ def components(edges: DataFrame) -> DataFrame:
         lowest = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(lowest, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).union(lowest.select("u", F.col("m").alias("v")))
         after = materialize(small.distinct(), "small-star")
+        drop(edges)
+        drop(large)
         # done once the edges are stars: no node is both a leaf and a centre, and no leaf has two
         leaves = after.groupBy("u").agg(F.count("*").alias("n"))
         if not leaves.where("n > 1").take(1) and not after.select(F.col("v").alias("u")).join(after.select("u"), "u", "left_semi").take(1):
@@ -242,7 +244,9 @@ def near_duplicates(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
 
     Null and empty texts have fingerprint zero, linked like any other. A null
     ``doc_id`` takes part but names no component unless all of its are null.
-    Repeated rows are rows of their own. An empty table gives no rows.
+    Repeated rows are rows of their own. A shingle hash that sets a bit in just
+    half the shingles leaves it unset. A very long text has one fingerprint,
+    counted in parts. Extra columns are ignored. An empty table gives no rows.
     """
     rows = materialize(fingerprints(docs), "fingerprints")
     named = _roots(rows, radius)

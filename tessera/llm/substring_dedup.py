@@ -9,10 +9,11 @@ bits over the words in order) the windows estimated repeated: consecutive ones
 of equal least hash go together as a run, and one by one only where runs
 differ.
 
-The merged sketch is kept as one bit a cell, "counted twice or more". Its size
-is fixed by ``WIDTH_LOG2`` and ``DEPTH`` (two rows of 2^27 cells: 32 MB), which
-bounds what is broadcast. Once there are many more grams than cells, more
-windows go to the second pass; none is lost.
+The merged sketch is kept as one bit a cell, "counted twice or more". It has
+about two cells for each gram that is expected of the texts' bytes, up to
+``MAX_WIDTH_LOG2`` (two rows of 2^29 cells: 128 MB), which bounds what is
+broadcast. Beyond some 30 GB of text the cells fill up, and more windows go to
+the second pass; none is lost at any size.
 """
 
 from __future__ import annotations
@@ -30,7 +31,9 @@ from tessera.llm.common import drop, map_texts, materialize, pick, slices, small
 
 WINDOW = 35
 GRAM = 18
-WIDTH_LOG2 = 27
+MIN_WIDTH_LOG2, MAX_WIDTH_LOG2 = 20, 29
+#: Bytes of text to a least gram, about.
+GRAM_BYTES = 48
 DEPTH = 2
 #: Cells of a sketch row are merged in this many ranges.
 RANGES_LOG2 = 8
@@ -189,8 +192,15 @@ class Sketch:
         return out
 
 
-def build_sketch(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, width: int = WIDTH_LOG2) -> Sketch:
+def sketch_width(docs: DataFrame) -> int:
+    """Log of a sketch row's cells, by the texts' bytes."""
+    size = docs.agg(F.sum(F.octet_length("text").cast("long"))).first()[0] or 0
+    return min(MAX_WIDTH_LOG2, max(MIN_WIDTH_LOG2, (2 * size // GRAM_BYTES).bit_length()))
+
+
+def build_sketch(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, width: int | None = None) -> Sketch:
     """Count-min sketch of all texts. The driver gets ``DEPTH`` bit rows."""
+    width = width or sketch_width(docs)
     parts = docs.select("text").mapInArrow(_sketch_parts(window, gram, width), "row int, range int, steps binary, twice binary")
     merged = parts.repartition("row", "range").sortWithinPartitions("row", "range").mapInArrow(_merge(width), "row int, range int, bits binary")
     return Sketch([(r["row"], r["range"], bytes(r["bits"])) for r in merged.collect()], width)
@@ -254,7 +264,7 @@ def candidate_runs(keyed: DataFrame, sketch, window: int, gram: int) -> DataFram
     return keyed.mapInArrow(run, RUN_SCHEMA)
 
 
-def repeated_windows(keyed: DataFrame, window: int = WINDOW, gram: int = GRAM, width: int = WIDTH_LOG2) -> DataFrame:
+def repeated_windows(keyed: DataFrame, window: int = WINDOW, gram: int = GRAM, width: int | None = None) -> DataFrame:
     """``k0, k1, found``: ranges ``(start, n)`` of windows whose words start
     anywhere else too, by document key (rows that repeat a key count each).
 
@@ -288,12 +298,13 @@ def repeated_windows(keyed: DataFrame, window: int = WINDOW, gram: int = GRAM, w
     return found
 
 
-def remove_repeats(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, width: int = WIDTH_LOG2) -> DataFrame:
+def remove_repeats(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, width: int | None = None) -> DataFrame:
     """Per row: ``doc_id, n_words, n_removed, kept_sha256, kept``.
 
     A null text has no words; a text of fewer than ``window`` words keeps all.
-    Every copy of a repeated passage goes, repeated rows included. Extra
-    columns are ignored; an empty table gives no rows.
+    Every copy of a repeated passage goes, repeated rows included; there is no
+    first one to stay. A very long text is windowed whole. Extra columns are
+    ignored; an empty table gives no rows.
     """
     keyed = pick(docs, "doc_id", "text").withColumns({"k0": F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63))), "k1": F.xxhash64("text")})
     found = repeated_windows(keyed, window, gram, width)

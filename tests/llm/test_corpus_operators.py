@@ -61,6 +61,13 @@ def test_op5_odd(spark, odd_docs, no_docs):
     assert not any(r["contaminated"] for r in decontamination.contaminated(odd_docs, bench.limit(0)).collect())
 
 
+def test_op5_joins_by_shuffle_beyond_the_broadcast(spark, odd_docs, monkeypatch):
+    monkeypatch.setattr(decontamination, "BROADCAST_BYTES", 0)
+    items = [(i, "the lazy dog while SEVEN wizards quietly box with grumpy dwarves near") for i in range(30)] + [(99, "of0 w1 of1")]
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    assert Counter(rows(decontamination.contaminated(odd_docs, bench), *COLS5)) == brute_contamination(rows(odd_docs, "doc_id", "text"), items)
+
+
 def brute_fingerprint(text):
     w = WORD.findall((text or "").translate(LOWER))
     if not w:

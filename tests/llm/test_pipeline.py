@@ -42,8 +42,30 @@ def test_stages(spark, tmp_path):
 
 def test_run_and_odd(spark, sf_dir, odd_docs, no_docs, tmp_path):
     assert corpus_pipeline.run(spark, sf_dir).count() > 0
-    for name, docs in (("odd", odd_docs.drop("words", "k0", "start")), ("none", no_docs)):
+    for name, docs in (("odd", odd_docs), ("none", no_docs)):
         (tmp_path / name).mkdir()
         d = run_stages(spark, docs, sf_dir, tmp_path / name)
         assert d[4].columns == docs.columns
         assert Counter(r["doc_id"] for r in d[4].collect()).most_common(1)[:1] in ([], [(5, 1)])
+
+
+def test_columns_of_any_name_pass_unchanged(spark, sf_dir, tmp_path):
+    """Null ids, ids with several texts, and columns named as the operators'
+    own keep their values in every stage."""
+    docs = [r for r in spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("text", "lang", "n_chars").limit(300).collect()]
+    names = ("_h", "_n", "_id", "_key", "words", "k0", "k1", "start", "row", "near", "fp", "root", "c0", "_c0")
+    rows = [(None if i % 4 == 0 else i // 2, r["text"], r["lang"], r["n_chars"], *(1000 * k + i for k in range(len(names)))) for i, r in enumerate(docs)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string, n_chars long, " + ", ".join(f"{n} long" for n in names))
+    d = run_stages(spark, df, sf_dir, tmp_path)
+    for stage in d[1:5]:
+        assert stage.columns == df.columns
+        for r in stage.collect():
+            i = r["_h"]
+            assert all(r[n] == 1000 * k + i for k, n in enumerate(names)) and r["doc_id"] == rows[i][0] and r["lang"] == rows[i][2]
+    # one row of each component, whatever its id
+    left = [tuple(r) for r in d[1].select("_h", "text").collect()]
+    kept = {r["_h"] for r in d[2].collect()}
+    groups = {}
+    for i, _, c in brute_components([(i, brute_fingerprint(t)) for i, t in left]):
+        groups.setdefault(c, set()).add(i)
+    assert len(groups) < len(left) and all(len(g & kept) == 1 for g in groups.values()) and len(kept) == len(groups)

@@ -92,6 +92,41 @@ def test_pack_odd(spark, odd_docs, no_docs):
     assert packing.pack(no_docs, TOK).collect() == []
 
 
+@pytest.mark.parametrize("capacity", [64, 100, 128, 200, 256, 777, 4096])
+def test_pack_any_capacity(spark, sf_dir, monkeypatch, capacity):
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").where("doc_id < 60")
+    monkeypatch.setattr(packing, "CAPACITY", capacity)
+    got = packing.pack(docs, TOK, capacity).collect()
+    check_pieces(got, [(r["doc_id"], r["text"]) for r in docs.collect()])
+    assert len({p["sequence_id"] for p in got}) <= 1.15 * sum(p["length"] for p in got) / capacity + 3
+
+
+def test_pack_needs_room(spark, odd_docs):
+    with pytest.raises(ValueError):
+        packing.pack(odd_docs, TOK, 63)
+
+
+@pytest.mark.parametrize("text", ["<|endoftext|>", "<|ENDOFTEXT|> x", "a<|EndOfText|>B C", "Ab <|startoftext|>Cd", "A<|b|> <| |> X<|", "A B.c, 10 0"])
+def test_special_tokens_keep_their_case(text):
+    enc = tokens.ChunkEncoder(TOK)
+    assert not enc.whole
+    assert enc.encode([text.encode(), b"Plain WORDS", None]) == [brute_ids(text), brute_ids("Plain WORDS"), brute_ids("")]
+
+
+def test_other_tokenizers_fall_back_to_whole_texts(tmp_path):
+    """One that keeps case and joins over blanks is not cut into words."""
+    from tokenizers import models, pre_tokenizers
+
+    tok = Tokenizer(models.BPE(vocab={c: i for i, c in enumerate(map(chr, range(32, 127)))}, merges=[]))
+    tok.pre_tokenizer = pre_tokenizers.Sequence([])
+    tok.add_special_tokens(["<|x|>"])
+    tok.save(str(tmp_path / "t.json"))
+    enc = tokens.ChunkEncoder(str(tmp_path / "t.json"))
+    assert enc.whole
+    ids = tok.encode("Some Text", add_special_tokens=False).ids
+    assert enc.encode([b"Some Text", None]) == [np.array([*ids, tokens.END_ID], "<u4").tobytes(), np.array([tokens.END_ID], "<u4").tobytes()]
+
+
 def test_sequences_hold_the_ids(spark, sf_dir):
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").where("doc_id < 20")
     pieces = packing.pack(docs, TOK)
