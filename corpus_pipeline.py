@@ -15,7 +15,7 @@ from tessera.llm.decontamination import clean_documents
 from tessera.llm.packing import pack
 from tessera.llm.quality_rules import keep_good, language_references
 from tessera.llm.secret_scan import redact_documents
-from tessera.llm.simhash import keep_one
+from tessera.llm.simhash import keep_one_similar
 from tessera.llm.tokens import default_tokenizer
 
 ORACLE_SQL = None
@@ -27,8 +27,9 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each near-duplicate group."""
-    return keep_one(docs)
+    """One document of each group of near copies: 0.8 of the five-word shingles
+    alike, as SimHash estimates it."""
+    return keep_one_similar(docs)
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

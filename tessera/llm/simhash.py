@@ -255,20 +255,247 @@ def near_duplicates(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
     return rows.join(of, "fp").select("doc_id", "fp", "component_id")
 
 
-def keep_one(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
+def _one_of_each(docs: DataFrame, prints, roots) -> DataFrame:
     """``docs`` with one row of each component: that of the least id (nulls
-    last), and of these the first by hash of the whole row."""
+    last), and of these the first by hash of the whole row. ``prints(hashed,
+    h)`` gives ``doc_id, node, h`` per row, ``roots(rows)`` ``node, root``. Only
+    rows that are repeated as a whole are gathered to drop all but one."""
     h = "_h"
     while h in {c.lower() for c in docs.columns}:
         h += "_"
     hashed = docs.withColumn(h, F.xxhash64(*docs.columns))
-    rows = materialize(fingerprints(hashed, h), "fingerprints")
-    roots = _roots(rows, radius).select("fp", "root")
+    rows = materialize(prints(hashed, h), "fingerprints")
     # rows that agree in the hash are alike, so they share a component
-    order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", F.col(h).alias("h"))
-    best = rows.join(roots, "fp").groupBy("root").agg(F.min(order).alias("k")).select(F.col("k.doc_id").alias("_id"), F.col("k.h").alias("_key"))
-    found = hashed.join(best, (hashed[h] == best["_key"]) & hashed["doc_id"].eqNullSafe(best["_id"]), "left_semi")
-    return found.dropDuplicates([h]).select(*[F.col(f"`{c}`") for c in docs.columns])
+    order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", F.col("h"))
+    counted = rows.groupBy("node", "doc_id", "h").agg(F.count("*").alias("n"))
+    best = counted.join(roots(rows), "node").groupBy("root").agg(F.min(F.struct(order.alias("o"), "n")).alias("k"))
+    best = materialize(best.select(F.col("k.o.doc_id").alias("_id"), F.col("k.o.h").alias("_key"), F.col("k.n").alias("_times")), "survivors")
+    same = lambda b: (hashed[h] == b["_key"]) & hashed["doc_id"].eqNullSafe(b["_id"])
+    single, repeated = (best.where(c) for c in ("_times = 1", "_times > 1"))
+    found = hashed.join(single, same(single), "left_semi")
+    if repeated.take(1):
+        found = found.unionByName(hashed.join(repeated, same(repeated), "left_semi").dropDuplicates([h]))
+    return found.select(*[F.col(f"`{c}`") for c in docs.columns])
+
+
+def keep_one(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
+    """``docs`` with one row of each component of ``near_duplicates``; all
+    columns, whatever their names, unchanged."""
+    prints = lambda hashed, h: fingerprints(hashed, h).select("doc_id", F.col("fp").alias("node"), F.col(h).alias("h"))
+    return _one_of_each(docs, prints, lambda rows: _roots(rows.select("doc_id", F.col("node").alias("fp")), radius).select(F.col("fp").alias("node"), "root"))
+
+
+# --- similarity of longer shingles -------------------------------------------
+#
+# At 64 bits, texts that share four fifths of their five-word shingles differ in
+# some ten bits, where no exact search is cheap. With four times the bits a
+# distance tells such pairs apart from others, and shards keyed by random bits
+# find them.
+
+WIDE = 256
+SIMILAR, SIMILAR_SHINGLE = 0.8, 5
+#: Share of the pairs at the least similarity whose distance may be too large,
+#: in standard deviations, and that may meet in no shard.
+DEVIATIONS, MISSED = 1.65, 0.03
+#: Shards of up to this many members are compared directly, larger ones by a tree.
+DIRECT = 32
+TREE_MEMBERS = 50_000
+
+
+def wide_fingerprint(words: list[bytes], k: int = SIMILAR_SHINGLE) -> np.ndarray:
+    """Majority bits, four words of 64, over hashes of the k-word shingles."""
+    from xxhash import xxh64_intdigest
+
+    out = np.zeros(WIDE // 64, dtype=np.uint64)
+    if not words:
+        return out
+    n = max(1, len(words) - k + 1)
+    joined = [b" ".join(words)] if len(words) < k else map(b" ".join, zip(*(words[i : i + n] for i in range(k)), strict=True))
+    h = np.fromiter((xxh64_intdigest(s, 42) for s in joined), dtype=np.uint64, count=n)
+    for j in range(len(out)):
+        x = (h ^ (h >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9 + 2 * j)
+        x = (x ^ (x >> np.uint64(32))) * np.uint64(0x94D049BB133111EB)
+        x = (x ^ (x >> np.uint64(29))).astype("<u8")
+        ones = np.zeros(64, dtype=np.int64)
+        for at in range(0, n, 1 << 14):
+            ones += np.unpackbits(x[at : at + (1 << 14)].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+        out[j] = np.packbits(2 * ones > n, bitorder="little").view("<u8")[0]
+    return out
+
+
+def flip_share(similarity: float) -> float:
+    """Share of the bits in which texts differ whose shingle sets have this
+    Jaccard similarity: their angle by its cosine."""
+    return float(np.arccos(2 * similarity / (1 + similarity)) / np.pi)
+
+
+def wide_radius(similarity: float) -> int:
+    p = flip_share(similarity)
+    return int(np.ceil(WIDE * p + DEVIATIONS * np.sqrt(WIDE * p * (1 - p))))
+
+
+def shard_bits(members: int, similarity: float) -> list[np.ndarray]:
+    """Bit positions that key each family of shards: as many bits that a shard
+    holds a few unrelated members, and as many families that all but ``MISSED``
+    of the pairs at the least similarity meet, at any number of members."""
+    bits = max(8, int(members).bit_length() - 2)
+    meet = (1 - flip_share(similarity)) ** bits
+    families = int(np.ceil(np.log(MISSED) / np.log1p(-meet)))
+    draw, out = np.random.default_rng(17), []
+    while len(out) < families:
+        order = draw.permutation(WIDE)
+        out += [np.sort(order[i : i + bits]) for i in range(0, WIDE - bits + 1, bits)]
+    return out[:families]
+
+
+def _far(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    return np.bitwise_count(a ^ b).sum(axis=-1, dtype=np.int64)
+
+
+class WideTree:
+    """BK-tree of wide fingerprints; children keyed by the integer distance."""
+
+    def __init__(self, values: np.ndarray):
+        self.values = values
+        plain = [int.from_bytes(v.astype("<u8").tobytes(), "little") for v in values]
+        child: list[dict[int, int]] = [{} for _ in plain]
+        for i in range(1, len(plain)):
+            at = 0
+            while (d := (plain[at] ^ plain[i]).bit_count()) in child[at]:
+                at = child[at][d]
+            child[at][d] = i
+        # edges by parent, in order of distance
+        self.first = np.concatenate([[0], np.cumsum([len(c) for c in child])])
+        pairs = [sorted(c.items()) for c in child]
+        self.edge = np.array([d for c in pairs for d, _ in c], dtype=np.int64)
+        self.kid = np.array([k for c in pairs for _, k in c], dtype=np.int64)
+
+    def near(self, queries: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
+        """Index pairs (query, member) within ``radius``: from a node at
+        distance d only edges from d - radius to d + radius are followed."""
+        q, node, out = np.arange(len(queries)), np.zeros(len(queries), dtype=np.int64), []
+        while len(q):
+            d = _far(queries[q], self.values[node])
+            hit = d <= radius
+            out.append((q[hit], node[hit]))
+            n = self.first[node + 1] - self.first[node]
+            own = np.repeat(np.arange(len(q)), n)
+            edges = np.repeat(self.first[node] - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))
+            go = np.abs(self.edge[edges] - d[own]) <= radius
+            q, node = q[own[go]], self.kid[edges[go]]
+        return tuple(np.concatenate(x) for x in zip(*out, strict=True))
+
+
+def link_wide(values: np.ndarray, radius: int) -> list[tuple[int, int]]:
+    """Index pairs that join the same components as all pairs within
+    ``radius``. Members near one pivot are joined to it; only what is left asks
+    the trees, so that a shard full of near copies costs one pass."""
+    centre = 2 * np.unpackbits(values.view(np.uint8).reshape(len(values), -1), axis=1).sum(axis=0, dtype=np.int64) > len(values)
+    pivot = int(_far(values, np.packbits(centre).view(values.dtype)).argmin())
+    close = _far(values, values[pivot]) <= radius
+    out = [(pivot, i) for i in np.flatnonzero(close).tolist() if i != pivot]
+    rest = np.flatnonzero(~close)
+    for at in range(0, len(values), TREE_MEMBERS):
+        if not len(rest):
+            break
+        tree = WideTree(values[at : at + TREE_MEMBERS])
+        step = max(1, FRONTIER // len(tree.values))
+        for lo in range(0, len(rest), step):
+            q, node = tree.near(values[rest[lo : lo + step]], radius)
+            a, b = rest[lo + q], node + at
+            # of a query's partners in the pivot's ball one is enough
+            ball = np.flatnonzero(close[b])
+            one = ball[np.unique(a[ball], return_index=True)[1]]
+            keep = np.concatenate([one, np.flatnonzero(~close[b] & (a < b))])
+            out += zip(a[keep].tolist(), b[keep].tolist(), strict=True)
+    return out
+
+
+def wide_links(prints: DataFrame, similarity: float) -> DataFrame:
+    """Links ``a, b`` between nodes of ``prints`` (``node, f0 .. f3``, distinct)
+    whose fingerprints are within the radius of ``similarity`` and meet in a
+    shard."""
+    radius, words = wide_radius(similarity), [f"f{j}" for j in range(WIDE // 64)]
+    families = shard_bits(prints.count(), similarity)
+
+    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            if not b.num_rows:
+                continue
+            cols = [c.to_numpy() for c in b.columns]
+            bits = np.unpackbits(np.stack(cols[1:], axis=1).astype("<i8").view(np.uint8), axis=1, bitorder="little")
+            keys = np.concatenate([(np.int64(i) << 40) | (bits[:, at].astype(np.int64) << np.arange(len(at))).sum(axis=1) for i, at in enumerate(families)])
+            yield pa.RecordBatch.from_arrays([pa.array(keys), *(pa.array(np.tile(c, len(families))) for c in cols)], names=["shard", "node", *words])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[list[np.ndarray]] = []
+
+        def close(last: bool) -> Iterator[pa.RecordBatch]:
+            """Link all shards that are whole; the last one may go on."""
+            key, node, *f = (np.concatenate(c) for c in zip(*held, strict=True))
+            held.clear()
+            stop = len(key) if last else int(np.searchsorted(key, key[-1]))
+            if stop < len(key):
+                held.append([key[stop:], node[stop:], *(x[stop:] for x in f)])
+            key, node, values = key[:stop], node[:stop], np.stack(f, axis=1)[:stop].view(np.uint64)
+            begin = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]])) if stop else np.zeros(0, dtype=np.int64)
+            size = np.diff(np.append(begin, stop))
+            of = np.repeat(size, size)
+            pairs = []
+            for lag in range(1, DIRECT):
+                i = np.flatnonzero((key[lag:] == key[:-lag]) & (of[:-lag] <= DIRECT)) if stop > lag else np.zeros(0, dtype=np.int64)
+                if not len(i):
+                    break
+                i = i[_far(values[i], values[i + lag]) <= radius]
+                pairs.append((i, i + lag))
+            for lo, n in zip(begin[size > DIRECT].tolist(), size[size > DIRECT].tolist(), strict=True):
+                found = np.array(link_wide(np.ascontiguousarray(values[lo : lo + n]), radius), dtype=np.int64).reshape(-1, 2) + lo
+                pairs.append((found[:, 0], found[:, 1]))
+            a, b = (np.concatenate([p[k] for p in pairs]) if pairs else np.zeros(0, dtype=np.int64) for k in (0, 1))
+            if len(a):
+                yield pa.RecordBatch.from_arrays([pa.array(np.minimum(node[a], node[b])), pa.array(np.maximum(node[a], node[b]))], names=["a", "b"])
+
+        for b in batches:
+            if b.num_rows:
+                held.append([c.to_numpy() for c in b.columns])
+                # only once more than one shard is there
+                if sum(len(x[0]) for x in held) > 20_000 and held[0][0][0] != held[-1][0][-1]:
+                    yield from close(False)
+        if held:
+            yield from close(True)
+
+    shape = ", ".join(f"{w} long" for w in ("node", *words))
+    dealt = prints.select("node", *words).mapInArrow(deal, f"shard long, {shape}").repartition("shard").sortWithinPartitions("shard", "node")
+    return dealt.mapInArrow(run, "a long, b long").distinct()
+
+
+def keep_one_similar(docs: DataFrame, similarity: float = SIMILAR, k: int = SIMILAR_SHINGLE) -> DataFrame:
+    """``docs`` with one row of each group of texts whose sets of ``k``-word
+    shingles are ``similarity`` alike or more, as SimHash estimates it; groups
+    are the components of such links.
+
+    The least id of a group stays (nulls last). Null and empty texts form a
+    group, texts of fewer than ``k`` words are one shingle. Rows that agree in
+    all columns are one. A fingerprint stands for its text, so equal texts cost
+    one. Columns of any name pass unchanged. An empty table gives no rows.
+    """
+    words = [f"f{j}" for j in range(WIDE // 64)]
+
+    def prints(hashed: DataFrame, h: str) -> DataFrame:
+        def rows(part: pa.RecordBatch, texts: list[bytes | None]) -> pa.RecordBatch:
+            fps = np.array([wide_fingerprint(t.lower().split(), k) if t else np.zeros(len(words), np.uint64) for t in texts], dtype=np.uint64).reshape(-1, len(words)).view(np.int64)
+            return pa.RecordBatch.from_arrays([part.column(0).cast(pa.int64()), part.column(2), *(pa.array(np.ascontiguousarray(fps[:, j])) for j in range(len(words)))], names=["doc_id", "h", *words])
+
+        wide = map_texts(pick(hashed, "doc_id", "text", h), rows, "doc_id long, h long, " + ", ".join(f"{w} long" for w in words))
+        return wide.withColumn("node", F.xxhash64(*words))
+
+    def roots(rows: DataFrame) -> DataFrame:
+        distinct = materialize(rows.select("node", *words).dropDuplicates(["node"]), "wide-prints")
+        named = components(wide_links(distinct, similarity))
+        out = distinct.select("node").join(named, "node", "left").select("node", F.coalesce("root", "node").alias("root"))
+        return materialize(out, "wide-roots")
+
+    return _one_of_each(docs, prints, roots)
 
 
 def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:

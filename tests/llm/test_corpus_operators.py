@@ -125,6 +125,97 @@ def test_keep_one_keeps_a_row_of_each_component(spark):
     assert all(docs[n] == (i, t) for i, t, n in got)
 
 
+def brute_similar(texts):
+    """Components of all pairs of wide fingerprints within the radius."""
+    fps = [simhash.wide_fingerprint((t or "").translate(LOWER).encode().split()) for t in texts]
+    root = list(range(len(fps)))
+
+    def find(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    for i in range(1, len(fps)):
+        for j in np.flatnonzero(simhash._far(np.stack(fps[:i]), fps[i]) <= simhash.wide_radius(0.8)).tolist():
+            root[find(i)] = find(j)
+    return [find(i) for i in range(len(fps))]
+
+
+def near_copies(r, n, copies):
+    """Texts with copies in which some words are others: Jaccard 0.8 to 1 over
+    five-word shingles."""
+    out = []
+    for i in range(n):
+        words = [f"w{r.integers(5000)}" for _ in range(int(r.integers(100, 300)))]
+        out.append((i, words))
+        for _ in range(copies):
+            other = list(words)
+            for at in r.choice(len(words), max(1, len(words) // 50), replace=False):
+                other[at] = "changed"
+            out.append((i, other))
+    return out
+
+
+def jaccard(a, b):
+    s, t = ({tuple(x[i : i + 5]) for i in range(len(x) - 4)} for x in (a, b))
+    return len(s & t) / len(s | t)
+
+
+def test_similar_texts_are_found(spark):
+    """Pairs of a similarity of 0.8 or more end in one group, at least nine in
+    ten; unrelated texts never do."""
+    texts = near_copies(np.random.default_rng(4), 150, 2)
+    docs = spark.createDataFrame([(i, " ".join(w)) for i, (_, w) in enumerate(texts)], "doc_id long, text string")
+    kept = {r["doc_id"] for r in simhash.keep_one_similar(docs).collect()}
+    assert {texts[i][0] for i in kept} == set(range(150))
+    pairs = [(a, b) for a in range(len(texts)) for b in range(a) if texts[a][0] == texts[b][0] and jaccard(texts[a][1], texts[b][1]) >= 0.8]
+    assert len(pairs) > 300 and sum(not {a, b} <= kept for a, b in pairs) >= 0.9 * len(pairs)
+
+
+def test_similar_odd(spark, odd_docs, no_docs):
+    got = simhash.keep_one_similar(odd_docs)
+    assert got.columns == odd_docs.columns and simhash.keep_one_similar(no_docs).collect() == []
+    texts = [r["text"] for r in odd_docs.collect()]
+    assert got.count() == len(set(brute_similar(texts)))
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_large_shards_lose_no_link(seed, monkeypatch):
+    """Chains and balls of fingerprints against all pairs."""
+    monkeypatch.setattr(simhash, "TREE_MEMBERS", 60)
+    r, radius = np.random.default_rng(seed), 20
+    values = [r.integers(0, 1 << 63, 4).astype(np.uint64) for _ in range(3)]
+    while len(values) < 200:
+        v = values[int(r.integers(len(values)))].copy()
+        for b in r.choice(256, int(r.integers(1, 30)), replace=False).tolist():
+            v[b // 64] ^= np.uint64(1 << (b % 64))
+        values.append(v)
+    values = np.stack(values)
+
+    def components(pairs):
+        root = list(range(len(values)))
+
+        def find(i):
+            while root[i] != i:
+                i = root[i]
+            return i
+
+        for a, b in pairs:
+            root[find(a)] = find(b)
+        return {frozenset(i for i in range(len(values)) if find(i) == c) for c in map(find, range(len(values)))}
+
+    near = [(i, j) for i in range(len(values)) for j in range(i) if simhash._far(values[i], values[j]) <= radius]
+    found = simhash.link_wide(values, radius)
+    assert components(found) == components(near) and all(simhash._far(values[a], values[b]) <= radius for a, b in found)
+
+
+def test_shards_adapt_to_the_number_of_members():
+    for n in (1, 1000, 10**6, 10**9):
+        families = simhash.shard_bits(n, 0.8)
+        meet = (1 - simhash.flip_share(0.8)) ** len(families[0])
+        assert 1 - (1 - meet) ** len(families) >= 0.97 and len(families) < 1000
+
+
 @pytest.mark.parametrize("spread", [3, 8, 64])
 def test_op6_links_are_whole(spark, spread):
     r = np.random.default_rng(spread)

@@ -3,7 +3,7 @@
 from collections import Counter
 
 import corpus_pipeline
-from test_corpus_operators import brute_components, brute_contamination, brute_fingerprint
+from test_corpus_operators import brute_contamination, brute_similar
 from test_text_operators import plain_spans
 from test_tokens_packing import check_pieces
 
@@ -18,6 +18,16 @@ def run_stages(spark, docs, sf_dir, tmp_path):
     return out
 
 
+def check_groups(docs, kept):
+    """The least id of each group of near copies stays; of the links that all
+    pairs have, next to none is missed."""
+    groups = {}
+    for (i, _), c in zip(docs, brute_similar([t for _, t in docs]), strict=True):
+        groups.setdefault(c, set()).add(i)
+    assert all(min(g) in kept for g in groups.values()) and kept <= {i for i, _ in docs}
+    assert 0 < len(docs) - len(groups) and len(kept) - len(groups) <= 0.1 * (len(docs) - len(groups))
+
+
 def test_stages(spark, tmp_path):
     sf_dir = "/root/testdata/sf0.01"
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
@@ -28,8 +38,7 @@ def test_stages(spark, tmp_path):
     texts = {k: {r["doc_id"]: r["text"] for r in x.collect()} for k, x in enumerate(d[:5])}
     good = {r["doc_id"] for r in docs.collect() if quality_rules.judge(r["text"].encode(), r["lang"], refs, quality_rules.Limits())[6]}
     assert set(texts[1]) == good and 0 < len(good) < len(texts[0])
-    groups = brute_components([(i, brute_fingerprint(t)) for i, t in texts[1].items()])
-    assert set(texts[2]) == {c for _, _, c in groups}
+    check_groups(sorted(texts[1].items()), set(texts[2]))
     items = [tuple(r) for r in spark.read.parquet(f"{sf_dir}/benchmark.parquet").select("item_id", "text").collect()]
     dirty = {k[0] for k in brute_contamination(list(texts[2].items()), items) if k[-1]}
     assert set(texts[3]) == set(texts[2]) - dirty and dirty
@@ -66,6 +75,6 @@ def test_columns_of_any_name_pass_unchanged(spark, sf_dir, tmp_path):
     left = [tuple(r) for r in d[1].select("_h", "text").collect()]
     kept = {r["_h"] for r in d[2].collect()}
     groups = {}
-    for i, _, c in brute_components([(i, brute_fingerprint(t)) for i, t in left]):
+    for (i, _), c in zip(left, brute_similar([t for _, t in left]), strict=True):
         groups.setdefault(c, set()).add(i)
-    assert len(groups) < len(left) and all(len(g & kept) == 1 for g in groups.values()) and len(kept) == len(groups)
+    assert len(groups) < len(left) and all(g & kept for g in groups.values()) and len(kept) <= len(groups) + 0.1 * (len(left) - len(groups))
