@@ -206,20 +206,21 @@ def build_sketch(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, width:
     return Sketch([(r["row"], r["range"], bytes(r["bits"])) for r in merged.collect()], width)
 
 
-RUN_SCHEMA = "rid long, k0 long, k1 long, start int, n int, v long, a long, b long, self array<int>, hashes array<long>"
+RUN_SCHEMA = "rid long, k0 long, k1 long, start int, n int, v long, a long, b long, self array<int>, again array<long>, hashes array<long>"
 
 
 def candidate_runs(keyed: DataFrame, sketch, window: int, gram: int) -> DataFrame:
     """Runs of consecutive windows with one least gram hash ``v`` that is
     estimated repeated: first window, number, 128-bit hash (``a, b``) of all
-    the run's words, windows that repeat inside the run, and a hash of each
-    window."""
+    the run's words, windows that repeat inside the run (``self``) with their
+    distinct hashes (``again``), and a hash of each other window, null for the
+    former: a run of one word has one hash, however long it is."""
     memo = WordHashes()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known, rid = sketch.value, TaskContext.get().partitionId() << 40
         for part, texts in slices(batches):
-            rows, cols, inner, hashes, sizes = [], [[] for _ in range(5)], [], [], []
+            rows, cols, inner, twice, hashes, masks, sizes = [], [[] for _ in range(5)], [], [], [], [], []
             for i, t in enumerate(texts):
                 words = t.split() if t else []
                 if len(words) < window:
@@ -245,21 +246,27 @@ def candidate_runs(keyed: DataFrame, sketch, window: int, gram: int) -> DataFram
                     out.append(x)
                 hashes.append(w)
                 sizes.append(size)
+                mask = np.zeros(len(w), dtype=bool)
+                masks.append(mask)
                 found: list = [None] * len(edge)
+                more: list = [None] * len(edge)
                 if len(np.unique(w)) < len(w):
                     for j, (lo, k) in enumerate(zip((np.cumsum(size) - size).tolist(), size.tolist(), strict=True)):
-                        _, where, count = np.unique(w[lo : lo + k], return_inverse=True, return_counts=True)
+                        own, where, count = np.unique(w[lo : lo + k], return_inverse=True, return_counts=True)
                         if len(count) < k:
-                            found[j] = (edge[j] + np.flatnonzero(count[where] > 1)).tolist()
+                            mask[lo : lo + k] = count[where] > 1
+                            found[j] = (edge[j] + np.flatnonzero(mask[lo : lo + k])).tolist()
+                            more[j] = own[count > 1].view(np.int64).tolist()
                 inner += found
+                twice += more
             if rows:
                 take = pa.array(np.concatenate(rows))
                 k0, k1 = (part.column(part.schema.get_field_index(k)).take(take) for k in ("k0", "k1"))
                 start, n, v, a, b = (np.concatenate(c) for c in cols)
-                listed = pa.ListArray.from_arrays(np.concatenate([[0], np.cumsum(np.concatenate(sizes))]).astype(np.int32), pa.array(np.concatenate(hashes).view(np.int64)))
+                listed = pa.ListArray.from_arrays(np.concatenate([[0], np.cumsum(np.concatenate(sizes))]).astype(np.int32), pa.array(np.concatenate(hashes).view(np.int64), mask=np.concatenate(masks)))
                 ids = pa.array(np.arange(rid, rid + len(start)))
                 rid += len(start)
-                yield pa.RecordBatch.from_arrays([ids, k0, k1, pa.array(start.astype(np.int32)), pa.array(n.astype(np.int32)), *(pa.array(x.view(np.int64)) for x in (v, a, b)), pa.array(inner, pa.list_(pa.int32())), listed], names=["rid", "k0", "k1", "start", "n", "v", "a", "b", "self", "hashes"])
+                yield pa.RecordBatch.from_arrays([ids, k0, k1, pa.array(start.astype(np.int32)), pa.array(n.astype(np.int32)), *(pa.array(x.view(np.int64)) for x in (v, a, b)), pa.array(inner, pa.list_(pa.int32())), pa.array(twice, pa.list_(pa.int64())), listed], names=["rid", "k0", "k1", "start", "n", "v", "a", "b", "self", "again", "hashes"])
 
     return keyed.mapInArrow(run, RUN_SCHEMA)
 
@@ -286,8 +293,11 @@ def repeated_windows(keyed: DataFrame, window: int = WINDOW, gram: int = GRAM, w
 
     mixed = kinds.groupBy("v").agg(F.count("*").alias("d")).where("d > 1").select("v")
     chosen = kinds.select("rid", "m", "v").join(mixed, "v").select("rid", F.least("m", F.lit(2)).cast("int").alias("m"))
-    shown = runs.select("rid", "v", "hashes").join(chosen, "rid")
-    single = materialize(shown.select("rid", "m", "v", F.posexplode("hashes").alias("i", "h")), "single-windows", compression="zstd")
+    shown = runs.select("rid", "v", "again", "hashes").join(chosen, "rid")
+    each = shown.select("rid", "m", "v", F.posexplode("hashes").alias("i", "h")).where("h IS NOT NULL")
+    # windows that repeat inside their run need no place, but count for others
+    known = shown.select("rid", F.lit(2).alias("m"), "v", F.lit(-1).alias("i"), F.explode("again").alias("h"))
+    single = materialize(each.unionByName(known), "single-windows", compression="zstd")
     twice = single.groupBy("v", "h").agg(F.sum("m").alias("c")).where("c > 1").select("v", "h")
     lone = single.where("m = 1").select("rid", "i", "v", "h").join(twice, ["v", "h"]).groupBy("rid").agg(F.collect_set("i").alias("at"))
     lone = runs.select("rid", "k0", "k1", "start").join(lone, "rid").select("k0", "k1", F.explode(F.expr("transform(at, i -> start + i)")).alias("start"), F.lit(1).alias("n"))
