@@ -32,7 +32,8 @@ BOTH: dict[str, tuple[str, tuple[str, ...]]] = {
     "p1_content_id": ("SELECT doc_id, sha256(text) AS id FROM documents", ("documents",)),
     "p4_etag": ("SELECT doc_id, md5(text) AS etag FROM documents", ("documents",)),
     "p7_is_shard": ("SELECT chunk_id, chunk_id LIKE '%:shard:%' AS is_shard FROM placements", ("placements",)),
-    "j16_owner_node": (f"SELECT l.ino, n.node_id, n.rack FROM (SELECT ino, max(node_no) AS node_no FROM (SELECT ino, event_id % 10 AS node_no FROM locks WHERE expires_at >= {T0}) a GROUP BY ino) l JOIN nodes n ON l.node_no = n.node_no", ("locks", "nodes")),
+    "j16_owner_node": ("SELECT o.ino, o.address, min(n.node_id) AS node_id FROM (SELECT DISTINCT user_id % 50 AS ino, concat('10.0.0.', cast(user_id % 40 AS varchar(20))) AS address FROM events) o JOIN (SELECT node_id, concat('10.0.0.', cast(node_no % 25 AS varchar(20))) AS address FROM nodes) n ON o.address = n.address GROUP BY o.ino, o.address", ("events", "nodes")),
+    "ag12_node_weight": ("SELECT node_id, cast(sum(weight) AS bigint) AS weight, count(*) AS backends FROM backends GROUP BY node_id", ("backends",)),
     "ag5_all_pools": ("SELECT x.pool, count(v.volume_id) AS volumes, coalesce(cast(sum(v.size_bytes) AS bigint), 0) AS bytes FROM (SELECT DISTINCT pool FROM volumes UNION SELECT 'empty' AS pool) x LEFT JOIN volumes v ON x.pool = v.pool GROUP BY x.pool", ("volumes",)),
     "ag10_rack_capacity": ("SELECT rack, cast(sum(total_capacity) AS bigint) AS total, cast(sum(available_capacity) AS bigint) AS available FROM nodes WHERE status = 'ready' GROUP BY rack", ("nodes",)),
     "ag17_replica_totals": ("SELECT volume_id, count(*) AS writes, cast(sum(len) AS bigint) AS bytes, max(event_id) AS latest FROM writes GROUP BY volume_id", ("writes",)),

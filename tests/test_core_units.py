@@ -124,14 +124,32 @@ def test_placement_properties(spark):
     assert 0 < moved < 1250
 
 
-def test_stream_fold_equals_batch(spark, sf_dir, tmp_path):
+@pytest.mark.parametrize("compact", [2, 16])
+def test_stream_fold_equals_batch(spark, sf_dir, tmp_path, compact):
     log = table(spark, sf_dir, "change_log")
-    log.repartitionByRange(4, "idx").write.parquet(f"file://{tmp_path}/log")
-    stream = folds.read_log(spark, f"file://{tmp_path}/log", log.schema, files_per_trigger=2)
-    run = folds.upsert_fold(stream, f"file://{tmp_path}/state", f"file://{tmp_path}/ck")
+    log.repartitionByRange(5, "idx").write.parquet(f"file://{tmp_path}/log")
+    stream = folds.read_log(spark, f"file://{tmp_path}/log", log.schema)
+    run = folds.upsert_fold(stream, f"file://{tmp_path}/state", f"file://{tmp_path}/ck", compact)
     run.awaitTermination(120)
-    epochs = len([p for p in (tmp_path / "state").iterdir() if p.name.startswith("v")])
-    assert rows(folds.current(spark, f"file://{tmp_path}/state", epochs - 1)) == rows(ranges.fold_log(log))
+    assert rows(folds.current(spark, f"file://{tmp_path}/state")) == rows(ranges.fold_log(log))
+    names = {p.name for p in (tmp_path / "state").iterdir()}
+    assert {f"delta-{i}" for i in range(5)} <= names and ({"base-1", "base-3"} <= names) == (compact == 2)
+
+
+def test_generations_on_a_stream(spark, tmp_path):
+    """Only generations above all that a key has shown are let through."""
+    log = [(i, f"k{i % 3}", (i * 37) % 50) for i in range(90)]
+    top, want = {}, []
+    for i, k, g in log:
+        if g > top.get(k, -1):
+            top[k] = g
+            want.append((k, i, g))
+    for at in range(0, 90, 30):
+        spark.createDataFrame(log[at : at + 30], "idx long, key string, generation long").coalesce(1).write.mode("append").parquet(f"file://{tmp_path}/log")
+    seen = folds.generation_watch(folds.read_log(spark, f"file://{tmp_path}/log", "idx long, key string, generation long"))
+    run = seen.writeStream.format("memory").queryName("generations").option("checkpointLocation", f"file://{tmp_path}/ck").outputMode("append").trigger(availableNow=True).start()
+    run.awaitTermination(120)
+    assert rows(spark.table("generations")) == sorted(want)
 
 
 def fnv_hash(key: str, node: str) -> int:
