@@ -62,29 +62,25 @@ class ChunkEncoder:
         return np.array(self.tok.encode(text, add_special_tokens=False).ids, dtype="<u4")
 
     def _apart(self, words: list[bytes], mark: int, between: str) -> dict[bytes, bytes]:
-        """Ids of words, ``JOINED`` to a string, told apart by the id ``mark``
+        """Ids of words, ``JOINED`` to a string, each ended by the id ``mark``
         that ``between`` stands for and no word holds."""
-        groups = [words[at : at + JOINED] for at in range(0, len(words), JOINED)]
-        got = {}
-        for part, enc in zip(groups, self.tok.encode_batch_fast([between.join([w.decode() for w in g]) for g in groups], add_special_tokens=False), strict=True):
-            ids = np.array(enc.ids, dtype="<u4")
-            ends = np.flatnonzero(ids == mark)
-            starts = [0, *(ends + 1).tolist()]
-            raw, ends = ids.tobytes(), [*ends.tolist(), len(ids)]
-            got.update({w: raw[4 * a : 4 * b] for w, a, b in zip(part, starts, ends, strict=True)})
-        return got
+        if not words:
+            return {}
+        texts = [w.decode() for w in words]
+        joined = [between.join([*texts[at : at + JOINED], ""]) for at in range(0, len(texts), JOINED)]
+        ids = np.concatenate([np.array(enc.ids, dtype="<u4") for enc in self.tok.encode_batch_fast(joined, add_special_tokens=False)])
+        ends = np.flatnonzero(ids == mark)
+        raw, stops = ids.tobytes(), (4 * ends).tolist()
+        return {w: raw[a:b] for w, a, b in zip(words, [0, *(4 * ends[:-1] + 4).tolist()], stops, strict=True)}
 
     def _learn(self, words: list[bytes]) -> dict[bytes, bytes]:
         """A zero is a token of its own, and so parts words without zeros; a
         special token parts others."""
-        plain, zeros, got, sign = [], [], {}, self.sign
-        for w in words:
-            if sign in w:
-                got[w] = self._ids(w.decode()).tobytes()
-            elif b"0" in w:
-                zeros.append(w)
-            else:
-                plain.append(w)
+        sign = self.sign
+        plain = [w for w in words if b"0" not in w and sign not in w]
+        other = [w for w in words if b"0" in w or sign in w] if len(plain) < len(words) else []
+        got = {w: self._ids(w.decode()).tobytes() for w in other if sign in w}
+        zeros = [w for w in other if sign not in w]
         got |= self._apart(plain, self.zero, " 0 ")
         got |= self._apart(zeros, self.mark, self.mark_text)
         return got
@@ -97,7 +93,10 @@ class ChunkEncoder:
         a word is looked up without it.
         """
         young, old = self.young, self.old
-        cores = [w[:-1] if w.endswith(STOPS) and w[-2:-1].isalpha() else w for w in words]
+        cut = [i for i, w in enumerate(words) if w.endswith(STOPS) and w[-2:-1].isalpha()]
+        cores = words.copy()
+        for i in cut:
+            cores[i] = words[i][:-1]
         out = list(map(young.get, cores))
         new = [i for i, v in enumerate(out) if v is None]
         if new:
@@ -106,12 +105,14 @@ class ChunkEncoder:
             if len(young) + len(fresh) > MEMO_WORDS:
                 self.old, self.young = young, {}
             self.young.update(fresh)
-            for c in [c for c in fresh if len(c) > MEMO_WORD_BYTES]:
-                del self.young[c]
+            if max(map(len, fresh)) > MEMO_WORD_BYTES:
+                for c in [c for c in fresh if len(c) > MEMO_WORD_BYTES]:
+                    del self.young[c]
             for i in new:
                 out[i] = fresh[cores[i]]
-        stops = self.stops
-        return [v if len(c) == len(w) else v + stops[w[-1:]] for v, c, w in zip(out, cores, words, strict=True)]
+        for i in cut:
+            out[i] += self.stops[words[i][-1:]]
+        return out
 
     def encode_column(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """``(ids of all texts, ids per text)``, the end id of each included;
