@@ -56,13 +56,13 @@ def _shard_places(s: SparkSession, d: str) -> DataFrame:
 
 _SHARD_KEYS = "keys AS (SELECT DISTINCT chunk_id AS key FROM shards)"
 #: FNV-1a over a text from a state, and the finaliser, in 128-bit arithmetic.
-_FNV = "list_reduce(list_transform(range(1, length({text}) + 1), lambda i: ascii(substring({text}, cast(i AS int), 1))::uhugeint), lambda h, b: (xor(h, b) * 1099511628211::uhugeint) % 18446744073709551616::uhugeint, {state})"
-_KEY_STATE = "((xor(" + _FNV.format(text="volume_id", state="14695981039346656037::uhugeint") + ", 255::uhugeint) * 1099511628211::uhugeint) % 18446744073709551616::uhugeint)"
+_FNV = "list_reduce(list_transform(range(1, length({text}) + 1), lambda i: ascii(substring({text}, cast(i AS int), 1))::uhugeint), lambda h, b: (xor(h, b) * 1099511628211::uhugeint) & 18446744073709551615::uhugeint, {state})"
+_KEY_STATE = "((xor(" + _FNV.format(text="volume_id", state="14695981039346656037::uhugeint") + ", 255::uhugeint) * 1099511628211::uhugeint) & 18446744073709551615::uhugeint)"
 
 
 def _finaliser(h: str) -> str:
     """Steps as nested selects over column ``h``."""
-    step = "SELECT * EXCLUDE (h), (xor(h, h >> 33) * {m}::uhugeint) % 18446744073709551616::uhugeint AS h FROM ({q}) x"
+    step = "SELECT * EXCLUDE (h), (xor(h, h >> 33) * {m}::uhugeint) & 18446744073709551615::uhugeint AS h FROM ({q}) x"
     for m in (18397679294719823053, 14181476777654086739):
         h = step.format(m=m, q=h)
     return f"SELECT * EXCLUDE (h), xor(h, h >> 33) AS h FROM ({h}) y"
