@@ -6,7 +6,9 @@ shards whose members share some 35 of 64 bits. A shard holds distinct
 fingerprints only. Its BK-tree (children keyed by Hamming distance to the
 parent) is built and asked in one task; edges outside the radius are never
 followed. A shard gives a forest of links, not pairs. Components come from
-distributed star contraction.
+distributed star contraction. Trees are not broadcast: together they hold every
+fingerprint, and so have no bound, while a shard's members meet in its task
+without them.
 """
 
 from __future__ import annotations
