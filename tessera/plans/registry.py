@@ -165,6 +165,10 @@ def _frames() -> dict[str, tuple[Callable[[SparkSession, str], DataFrame], str |
             lambda s, d: ranges.lock_conflicts(t(s, d, "locks"), T0),
             duck(f"SELECT a.ino, a.lease_id AS lease_a, b.lease_id AS lease_b FROM locks a JOIN locks b ON a.ino = b.ino AND a.event_id < b.event_id AND a.owner <> b.owner AND NOT (a.kind = 'read' AND b.kind = 'read') AND a.expires_at >= {T0} AND b.expires_at >= {T0} AND (b.end_off = -1 OR a.start_off < b.end_off) AND (a.end_off = -1 OR b.start_off < a.end_off)", "locks"),
         ),
+        "j15_conflict_counts": (
+            lambda s, d: ranges.lock_conflict_counts(t(s, d, "locks"), T0),
+            duck(f"SELECT a.lease_id, a.ino, count(b.lease_id) AS conflicts FROM locks a LEFT JOIN locks b ON a.ino = b.ino AND a.event_id <> b.event_id AND a.owner <> b.owner AND NOT (a.kind = 'read' AND b.kind = 'read') AND b.expires_at >= {T0} AND (b.end_off = -1 OR a.start_off < b.end_off) AND (a.end_off = -1 OR b.start_off < a.end_off) WHERE a.expires_at >= {T0} GROUP BY a.lease_id, a.ino", "locks"),
+        ),
         "ag19_clamped_usage": (
             lambda s, d: ranges.clamped_usage(t(s, d, "usage_log"), "name_no"),
             duck("SELECT name_no, cast(max_by(s, event_id) - least(min(s), 0) AS bigint) AS used, count(*) AS changes FROM (SELECT name_no, event_id, sum(delta) OVER (PARTITION BY name_no ORDER BY event_id ROWS UNBOUNDED PRECEDING) AS s FROM usage_log) x GROUP BY name_no", "usage_log"),

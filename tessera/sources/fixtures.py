@@ -64,7 +64,7 @@ TABLES: dict[str, str] = {
     "locks": f"""
         SELECT concat('lease-', cast(event_id AS varchar(20))) AS lease_id, event_id, user_id % 50 AS ino, concat('owner-', cast(event_id % 7 AS varchar(20))) AS owner,
                cast(floor(value * 10) AS bigint) + event_id % 5 * 3000000000 AS start_off,
-               CASE WHEN event_id % 19 = 0 THEN cast(-1 AS bigint) WHEN event_id % 101 = 0 THEN cast(floor(value * 10) AS bigint) + 7000000000
+               CASE WHEN event_id % 19 = 0 THEN cast(-1 AS bigint) WHEN event_id % 101 = 0 THEN cast(floor(value * 10) AS bigint) + 20000000000
                     ELSE cast(floor(value * 10) AS bigint) + event_id % 5 * 3000000000 + event_id % 40 + 1 END AS end_off,
                CASE WHEN event_id % 3 = 0 THEN 'write' ELSE 'read' END AS kind, {T0} + event_id % 60 - 20 AS expires_at
         FROM events""",

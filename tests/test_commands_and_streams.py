@@ -48,7 +48,10 @@ def test_locks_against_all_pairs(spark, seed):
         locks.append((f"l{i:03}", i, r.randrange(3), f"o{r.randrange(4)}", s, r.choice((-1, s, min((1 << 63) - 1, s + r.randrange(1, 90)), min((1 << 63) - 1, s + r.randrange(1, 1 << 45)))), r.choice(("read", "write")), r.randrange(10)))
     top = lambda e: (1 << 63) - 1 if e == -1 else e
     want = sorted((a[2], a[0], b[0]) for a in locks for b in locks if a[1] < b[1] and a[2] == b[2] and a[3] != b[3] and "write" in (a[6], b[6]) and min(a[7], b[7]) >= 5 and a[4] < top(b[5]) and b[4] < top(a[5]))
-    assert want and rows(ranges.lock_conflicts(spark.createDataFrame(locks, LOCK), 5)) == want
+    df = spark.createDataFrame(locks, LOCK)
+    assert want and rows(ranges.lock_conflicts(df, 5)) == want
+    count = {a[0]: sum(a[0] in pair[1:] for pair in want) for a in locks if a[7] >= 5}
+    assert {r["lease_id"]: r["conflicts"] for r in ranges.lock_conflict_counts(df, 5).collect()} == count
 
 
 def test_lease_fold(spark):
