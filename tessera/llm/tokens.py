@@ -52,7 +52,7 @@ class ChunkEncoder:
         self.zero = int(self._ids("0")[-1])
         self.young: dict[bytes, bytes] = {}
         self.old: dict[bytes, bytes] = {}
-        self.stops = {x: self._ids(x.decode()).tobytes() for x in STOPS}
+        self.stops = [self._ids(x.decode()).tobytes() for x in STOPS]
         # what this class takes for granted of the tokenizer; else whole texts are encoded
         self.whole = False
         self.whole = any(self.encode([t.encode()])[0] != np.append(self._ids(t), np.uint32(END_ID)).astype("<u4").tobytes() for t in PROBES)
@@ -61,59 +61,73 @@ class ChunkEncoder:
     def _ids(self, text: str) -> np.ndarray:
         return np.array(self.tok.encode(text, add_special_tokens=False).ids, dtype="<u4")
 
-    def _apart(self, words: list[bytes], mark: int, between: str) -> dict[bytes, bytes]:
+    def _apart(self, words: list[bytes], mark: int, between: str) -> list[bytes]:
         """Ids of words, ``JOINED`` to a string, each ended by the id ``mark``
         that ``between`` stands for and no word holds."""
         if not words:
-            return {}
-        texts = [w.decode() for w in words]
+            return []
+        texts = b"\n".join(words).decode().split("\n")
         joined = [between.join([*texts[at : at + JOINED], ""]) for at in range(0, len(texts), JOINED)]
         ids = np.concatenate([np.array(enc.ids, dtype="<u4") for enc in self.tok.encode_batch_fast(joined, add_special_tokens=False)])
         ends = np.flatnonzero(ids == mark)
         raw, stops = ids.tobytes(), (4 * ends).tolist()
-        return {w: raw[a:b] for w, a, b in zip(words, [0, *(4 * ends[:-1] + 4).tolist()], stops, strict=True)}
+        return [raw[a:b] for a, b in zip([0, *(4 * ends[:-1] + 4).tolist()], stops, strict=True)]
 
     def _learn(self, words: list[bytes]) -> dict[bytes, bytes]:
         """A zero is a token of its own, and so parts words without zeros; a
         special token parts others."""
         sign = self.sign
-        plain = [w for w in words if b"0" not in w and sign not in w]
-        other = [w for w in words if b"0" in w or sign in w] if len(plain) < len(words) else []
-        got = {w: self._ids(w.decode()).tobytes() for w in other if sign in w}
-        zeros = [w for w in other if sign not in w]
-        got |= self._apart(plain, self.zero, " 0 ")
-        got |= self._apart(zeros, self.mark, self.mark_text)
+        signed = [w for w in words if sign in w] if sign in b"\n".join(words) else []
+        if signed:
+            words = [w for w in words if sign not in w]
+        zeros = [w for w in words if b"0" in w]
+        plain = [w for w in words if b"0" not in w] if zeros else words
+        got = dict(zip(plain, self._apart(plain, self.zero, " 0 "), strict=True))
+        got.update(zip(zeros, self._apart(zeros, self.mark, self.mark_text), strict=True))
+        got.update((w, self._ids(w.decode()).tobytes()) for w in signed)
         return got
 
     def _look_up(self, words: list[bytes]) -> list[bytes]:
         """Ids of distinct words in lower case. The memo has two generations:
-        what has not been used since the last change is dropped.
-
-        The tokenizer splits a full stop or comma from the letter before it; so
-        a word is looked up without it.
-        """
-        young, old = self.young, self.old
-        cut = [i for i, w in enumerate(words) if w.endswith(STOPS) and w[-2:-1].isalpha()]
-        cores = words.copy()
-        for i in cut:
-            cores[i] = words[i][:-1]
-        out = list(map(young.get, cores))
+        what has not been used since the last change is dropped."""
+        out = list(map(self.young.get, words))
         new = [i for i, v in enumerate(out) if v is None]
         if new:
-            fresh = {c: old.get(c) for c in [cores[i] for i in new]}
-            fresh |= self._learn([c for c, v in fresh.items() if v is None])
-            if len(young) + len(fresh) > MEMO_WORDS:
-                self.old, self.young = young, {}
+            missing = [words[i] for i in new]
+            fresh = dict(zip(missing, map(self.old.get, missing), strict=True))
+            fresh |= self._learn([w for w, v in fresh.items() if v is None])
+            for i, v in zip(new, fresh.values(), strict=True):
+                out[i] = v
+            if len(self.young) + len(fresh) > MEMO_WORDS:
+                self.old, self.young = self.young, {}
             self.young.update(fresh)
-            if max(map(len, fresh)) > MEMO_WORD_BYTES:
-                for c in [c for c in fresh if len(c) > MEMO_WORD_BYTES]:
-                    del self.young[c]
-            for i in new:
-                out[i] = fresh[cores[i]]
-        for i in cut:
-            out[i] += self.stops[words[i][-1:]]
+            if max(map(len, missing)) > MEMO_WORD_BYTES:
+                for w in [w for w in missing if len(w) > MEMO_WORD_BYTES]:
+                    del self.young[w]
         return out
 
+    def _without_stops(self, words: pa.Array) -> tuple[list[bytes], np.ndarray, np.ndarray]:
+        """Distinct words as they are looked up, the place of each of ``words``
+        among them, and the stop cut from it (an index into ``STOPS``, or -1).
+        The tokenizer splits a full stop or comma from the letter before it."""
+        _, offsets, data = words.buffers()
+        edges = np.frombuffer(offsets, dtype="<i4")[words.offset : words.offset + len(words) + 1].astype(np.int64)
+        data = np.frombuffer(data, dtype=np.uint8) if data else np.zeros(0, dtype=np.uint8)
+        begin, end = edges[:-1], edges[1:]
+        stop = np.full(len(words), -1, dtype=np.int8)
+        two = np.flatnonzero(end - begin > 1)
+        before, last = data[end[two] - 2] | 32, data[end[two] - 1]
+        letter = (before >= 97) & (before <= 122)
+        for k, s in enumerate(STOPS):
+            stop[two[letter & (last == s[0])]] = k
+        cut = stop >= 0
+        size = end - begin - cut
+        keep = np.ones(len(data), dtype=bool)
+        keep[end[cut] - 1] = False
+        kept = data[edges[0] : edges[-1]][keep[edges[0] : edges[-1]]] if len(words) else data
+        cores = pa.BinaryArray.from_buffers(pa.binary(), len(words), [None, pa.py_buffer(np.concatenate([[0], np.cumsum(size)]).astype("<i4")), pa.py_buffer(kept)]).dictionary_encode()
+        return cores.dictionary.to_pylist(), cores.indices.to_numpy(zero_copy_only=False), stop
+
     def encode_column(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """``(ids of all texts, ids per text)``, the end id of each included;
         null is empty."""
@@ -127,8 +141,14 @@ class ChunkEncoder:
         # the tokenizer lower-cases too, but knows a special token by its case
         lists = pc.ascii_split_whitespace(pc.if_else(signed, texts, lowered) if some else lowered)
         words = lists.flatten().dictionary_encode()
-        distinct = words.dictionary.cast(pa.binary()).to_pylist()
-        vals = self._look_up([w if sign in w else w.lower() for w in distinct] if some else distinct)
+        distinct = words.dictionary.cast(pa.binary())
+        if some:
+            distinct = pa.array([w if sign in w else w.lower() for w in distinct.to_pylist()], pa.binary())
+        cores, place, stop = self._without_stops(distinct)
+        known = self._look_up(cores)
+        vals = [known[i] for i in place.tolist()]
+        for i in np.flatnonzero(stop >= 0).tolist():
+            vals[i] += self.stops[stop[i]]
         vals.append(np.array([END_ID], dtype="<u4").tobytes())
         flat, sizes = np.frombuffer(b"".join(vals), dtype="<u4"), np.fromiter(map(len, vals), dtype=np.int64, count=len(vals)) // 4
         counts = pc.list_value_length(lists).to_numpy(zero_copy_only=False).astype(np.int64)
