@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tessera.llm.common import map_texts, materialize, parts, pick, small_batches
-from tessera.llm.tokens import default_tokenizer, encoder
+from tessera.llm.tokens import PART_BYTES, default_tokenizer, encoder
 
 CAPACITY = 2048
 #: Length classes are multiples of this many tokens.
@@ -238,7 +238,7 @@ def piece_table(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY) -> Da
     cuts = cuts_of(capacity)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in parts(batches):
+        for part in parts(batches, size=PART_BYTES):
             ids, sizes = encoder(tokenizer).encode_column(part.column(1))
             raw = memoryview(np.ascontiguousarray(ids, dtype="<u4")).cast("B")
             full, tails, at = [], [[] for _ in cuts], 0

@@ -28,6 +28,9 @@ STOPS = (b".", b",")
 #: Words encoded in one string.
 JOINED = 30
 MEMO_WORD_BYTES = 64
+#: Bytes of text encoded together: more repeats are found in larger parts, at
+#: the cost of a worker's memory.
+PART_BYTES = 3 << 20
 
 
 #: Texts that show whether a tokenizer keeps to white space, ignores case, and
@@ -202,7 +205,7 @@ def write_token_files(docs: DataFrame, path: str, tokenizer: str, *, row_group_b
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc, part, start = encoder(tokenizer), TaskContext.get().partitionId(), 0
-        for batch in parts(batches):
+        for batch in parts(batches, size=PART_BYTES):
             flat, sizes = enc.encode_column(batch.column(1))
             starts = start + np.cumsum(sizes) - sizes
             start += int(sizes.sum())

@@ -152,3 +152,14 @@ def test_plan_is_tight(lengths):
     assert {k: -(-c // kinds[k][1]) for k, c in need.items()} == dict(placed)
     seqs = 1 + max(s[4] + (s[6] + s[2] - s[1] - 1) // s[3] for s in slots)
     assert seqs <= 1.02 * (sum(t * c for t, c in tails.items()) / 2048 + 3) + 2
+
+
+def test_encoder_odd_words():
+    """Stops, zeros, special tokens and rare white space, joined at random."""
+    pieces = ["a", "B", "z", "0", "10", ".", ",", "..", " ", "\t", "\n", "é", "日", "<|endoftext|>", "<|ENDOFTEXT|>", "<|", "it's", "x.", "X,", "@", "\x1c", "\x85", "\xa0", "a0."]
+    draw, enc = random.Random(5), tokens.encoder(TOK)
+    assert not enc.whole
+    for _ in range(300):
+        texts = ["".join(draw.choices(pieces, k=draw.randint(0, 14))) for _ in range(draw.randint(1, 6))]
+        assert enc.encode([t.encode() for t in texts]) == [brute_ids(t) for t in texts]
+    assert enc.encode([None, b""]) == [brute_ids("")] * 2
