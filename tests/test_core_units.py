@@ -4,6 +4,7 @@ import hashlib
 import math
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -325,3 +326,36 @@ def test_scrub_checks_every_document(spark, sf_dir):
     got = registry.queries()["ag20_scrub"](spark, sf_dir).first()
     assert (got["checked"], got["errors"]) == (sum(parts.values()), sum(n for i, n in parts.items() if i % 50 == 7))
     assert 0 < got["errors"] < got["checked"]
+
+
+def drawn(keys, weights, count):
+    """``key, replica, node_id`` by one digest at a time."""
+    out = []
+    for key in keys:
+        taken = []
+        for r in range(count):
+            draw = lambda n: (math.log((int(hashlib.sha256(f"{key}:{n}:{r}".encode()).hexdigest()[:8], 16) + 0.5) / 2**32) / weights[n], n)  # noqa: B023, E731
+            taken.append(max((n for n in weights if n not in taken), key=draw))
+            out.append((key, r, taken[r]))
+    return sorted(out)
+
+
+def test_placement_over_many_nodes(spark):
+    weights = {f"node-{i}": i % 4 + 1 for i in range(12_000)}
+    nodes = spark.createDataFrame([(n, w, "ready") for n, w in weights.items()], "node_id string, weight int, status string")
+    keys = ["k", "chunk-12", "vol-123456", ""]
+    got = placement.place(spark.createDataFrame([(k,) for k in keys], "key string"), nodes, 3)
+    assert rows(got) == drawn(keys, weights, 3)
+
+
+def test_placement_of_short_lists_and_long_names(spark):
+    """Every length of a key around a block of SHA-256, fewer nodes than
+    replicas, and a weight that outdoes all shares."""
+    keys = ["x" * n for n in range(70)] + ["é" * 9]
+    for weights in ({"a": 1, "b": 1e9, "é" * 20: 0.5}, {f"n{i}": 1 for i in range(300)} | {"y" * 60: 2}):
+        nodes = spark.createDataFrame([(n, float(w), "ready") for n, w in weights.items()], "node_id string, weight double, status string")
+        frame = spark.createDataFrame([(k,) for k in keys], "key string")
+        got = rows(placement.place(frame, nodes, 4))
+        assert got == drawn(keys, weights, min(4, len(weights)))
+        names = sorted(weights)
+        assert rows(placement.place_singly(frame.withColumn("_count", F.lit(min(4, len(names)))), names, np.array([float(weights[n]) for n in names]))) == got
