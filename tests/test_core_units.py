@@ -359,3 +359,14 @@ def test_placement_of_short_lists_and_long_names(spark):
         assert got == drawn(keys, weights, min(4, len(weights)))
         names = sorted(weights)
         assert rows(placement.place_singly(frame.withColumn("_count", F.lit(min(4, len(names)))), names, np.array([float(weights[n]) for n in names]))) == got
+
+
+def test_human_bytes_rounds_as_printf(spark):
+    sizes = [0, 1023, 1024, 1280, 1331, 1792, 2304, 2432, 9472, 1048575, 1310720, 1 << 20, 5 * (1 << 28), (1 << 40) * 7 // 4, (1 << 53) + 1] + [1024 + 51 * i for i in range(300)]
+    units = ("B", "KiB", "MiB", "GiB", "TiB")
+    want = []
+    for n in sizes:
+        p = max(i for i in range(5) if i == 0 or n >= 1 << (10 * i))
+        want.append((n, f"{n} B" if not p else f"{n / 2 ** (10 * p):.1f} {units[p]}"))
+    got = spark.createDataFrame([(n,) for n in sizes], "n long").select("n", exprs.human_bytes(F.col("n")))
+    assert rows(got) == sorted(want) and (2304, "2.2 KiB") in want and (1792, "1.8 KiB") in want
