@@ -370,3 +370,16 @@ def test_human_bytes_rounds_as_printf(spark):
         want.append((n, f"{n} B" if not p else f"{n / 2 ** (10 * p):.1f} {units[p]}"))
     got = spark.createDataFrame([(n,) for n in sizes], "n long").select("n", exprs.human_bytes(F.col("n")))
     assert rows(got) == sorted(want) and (2304, "2.2 KiB") in want and (1792, "1.8 KiB") in want
+
+
+def many(spark, count=10_500):
+    weights = {f"node-{i}": i % 4 + 1 for i in range(count)}
+    return weights, spark.createDataFrame([(n, w, "ready", f"z{int(n[5:]) % 5}") for n, w in weights.items()], "node_id string, weight int, status string, zone string")
+
+
+def test_domains_over_many_nodes(spark):
+    weights, nodes = many(spark)
+    got = rows(placement.place_by_domain(spark.createDataFrame([("k",)], "key string"), nodes, 3, "zone"))
+    draw = {n: -math.log(float(v | 1) / float(2**64 - 1)) / weights[n] for n, v in zip(weights, node_hashes(["k"], list(weights))[0].tolist(), strict=True)}
+    best = sorted((min((draw[n], n) for n in weights if int(n[5:]) % 5 == z) for z in range(5)))[:3]
+    assert got == [("k", i, n) for i, (_, n) in enumerate(best)]
