@@ -383,3 +383,14 @@ def test_domains_over_many_nodes(spark):
     draw = {n: -math.log(float(v | 1) / float(2**64 - 1)) / weights[n] for n, v in zip(weights, node_hashes(["k"], list(weights))[0].tolist(), strict=True)}
     best = sorted((min((draw[n], n) for n in weights if int(n[5:]) % 5 == z) for z in range(5)))[:3]
     assert got == [("k", i, n) for i, (_, n) in enumerate(best)]
+
+
+def test_movement_is_what_moved_between_placements(spark):
+    before = spark.createDataFrame([(f"n{i}", i % 3, "ready" if i % 5 else "offline") for i in range(1, 40)], "node_id string, weight int, status string")
+    after = spark.createDataFrame([(f"n{i}", i % 4, "ready" if i % 7 else "offline") for i in range(5, 45)], "node_id string, weight int, status string")
+    keys = spark.createDataFrame([(f"k{i}",) for i in range(200)] + [(None,)], "key string")
+    for count in (0, 1, 3):
+        want = rows(placement.moved(placement.place(keys, before, count), placement.place(keys, after, count)).select("key", "replica", "node_id", "new_node"))
+        assert rows(placement.movement(keys, before, after, count)) == want and bool(want) == bool(count)
+    got = placement.movement(keys, before, after, 3)
+    assert got._jdf.queryExecution().optimizedPlan().toString().count("tessera_straw_") == 1
