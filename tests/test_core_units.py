@@ -394,3 +394,13 @@ def test_movement_is_what_moved_between_placements(spark):
         assert rows(placement.movement(keys, before, after, count)) == want and bool(want) == bool(count)
     got = placement.movement(keys, before, after, 3)
     assert got._jdf.queryExecution().optimizedPlan().toString().count("tessera_straw_") == 1
+
+
+def test_shard_repairs_over_many_nodes(spark):
+    weights, nodes = many(spark)
+    shards = spark.createDataFrame([("c", i, "node-1") for i in (0, 2, 3, 5)], "chunk_id string, shard_index int, node_id string")
+    health = policy.shard_health(shards, None, 4, 2)
+    placed = placement.place(health.selectExpr("chunk_id AS key", "array_max(missing) + 1 AS wanted"), nodes, 6, F.col("wanted"))
+    want = drawn(["c"], weights, 5)
+    assert rows(placed) == want
+    assert rows(policy.shard_repairs(health, placed)) == [("c", 1, want[1][2]), ("c", 4, want[4][2])]
