@@ -404,3 +404,11 @@ def test_shard_repairs_over_many_nodes(spark):
     want = drawn(["c"], weights, 5)
     assert rows(placed) == want
     assert rows(policy.shard_repairs(health, placed)) == [("c", 1, want[1][2]), ("c", 4, want[4][2])]
+
+
+def test_misplaced_over_many_nodes(spark):
+    weights, nodes = many(spark)
+    held = spark.createDataFrame([("v", 0, 3), ("v", 1, 2)], "volume_id string, position int, wanted int")
+    want = {i: [n for _, _, n in drawn([f"v:{i}"], weights, w)] for i, w in ((0, 3), (1, 2))}
+    assert rows(placement.misplaced(held, nodes, "none")) == [("v", i, want[i][0]) for i in (0, 1)]
+    assert rows(placement.misplaced(held, nodes, want[0][2])) == [("v", 1, want[1][0])]
