@@ -412,3 +412,12 @@ def test_misplaced_over_many_nodes(spark):
     want = {i: [n for _, _, n in drawn([f"v:{i}"], weights, w)] for i, w in ((0, 3), (1, 2))}
     assert rows(placement.misplaced(held, nodes, "none")) == [("v", i, want[i][0]) for i in (0, 1)]
     assert rows(placement.misplaced(held, nodes, want[0][2])) == [("v", 1, want[1][0])]
+
+
+def test_recovery_over_many_nodes(spark):
+    weights, nodes = many(spark)
+    ring = sorted(set(weights) - {"node-4"})
+    held = spark.createDataFrame([("c1", "node-4", 0), ("c1", ring[0], 1), ("c2", ring[2], 0), ("c2", "node-4", 1), ("c3", "node-4", 0)], "chunk_id string, node_id string, slot int")
+    moves = compliance.recover_node(held, "node-4", nodes)
+    assert rows(moves) == [("c1", ring[0], ring[1], 1), ("c2", ring[2], ring[3], 1)]
+    assert rows(compliance.update_placements(held, moves, "node-4")) == [("c1", f"{ring[1]},{ring[0]}"), ("c2", f"{ring[2]},{ring[3]}"), ("c3", "node-4")]
