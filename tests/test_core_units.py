@@ -421,3 +421,10 @@ def test_recovery_over_many_nodes(spark):
     moves = compliance.recover_node(held, "node-4", nodes)
     assert rows(moves) == [("c1", ring[0], ring[1], 1), ("c2", ring[2], ring[3], 1)]
     assert rows(compliance.update_placements(held, moves, "node-4")) == [("c1", f"{ring[1]},{ring[0]}"), ("c2", f"{ring[2]},{ring[3]}"), ("c3", "node-4")]
+
+
+def test_actions_over_many_nodes(spark):
+    weights, nodes = many(spark)
+    held = spark.createDataFrame([("c", "node-9999", 0)], "chunk_id string, node_id string, slot int")
+    targets = [n for _, _, n in drawn(["c"], weights, 3) if n != "node-9999"][:2]
+    assert rows(compliance.actions(held, nodes, 3)) == sorted(("c", "replicate", "node-9999", n) for n in targets)
