@@ -428,3 +428,11 @@ def test_actions_over_many_nodes(spark):
     held = spark.createDataFrame([("c", "node-9999", 0)], "chunk_id string, node_id string, slot int")
     targets = [n for _, _, n in drawn(["c"], weights, 3) if n != "node-9999"][:2]
     assert rows(compliance.actions(held, nodes, 3)) == sorted(("c", "replicate", "node-9999", n) for n in targets)
+
+
+def test_backends_over_many_nodes(spark):
+    weights = {f"node-{i}": i % 4 + 1 for i in range(10_500)}
+    nodes = spark.createDataFrame([(n, w, "ready") for n, w in weights.items()], "node_id string, weight int, status string")
+    backends = nodes.select("node_id", F.concat("node_id", F.lit("-b")).alias("backend_id"), "weight")
+    got = placement.pick_backend(placement.place(spark.createDataFrame([("a",), ("b",)], "key string"), nodes, 2), backends)
+    assert rows(got.select("key", "replica", "backend_id")) == [(k, r, f"{n}-b") for k, r, n in drawn(["a", "b"], weights, 2)]
