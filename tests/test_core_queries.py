@@ -46,7 +46,7 @@ def wide_dir(spark, sf_dir, tmp_path_factory):
     return path
 
 
-@pytest.mark.parametrize("name", ["c11_update_placements"])
+@pytest.mark.parametrize("name", ["c11_update_placements", "j11_destinations"])
 def test_query_over_many_nodes_matches_sql(spark, wide_dir, name):
     con = duckdb.connect()
     for b in ("supplier", "part", "nation", "region"):
