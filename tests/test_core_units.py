@@ -385,6 +385,28 @@ def test_domains_over_many_nodes(spark):
     assert got == [("k", i, n) for i, (_, n) in enumerate(best)]
 
 
+def test_domains_are_drawn_as_singly(spark):
+    """Ids of all shapes, copies of ids, weights that draw alike, domains of one
+    node to all nodes; the hashes are taken in the JVM, not by a Python worker."""
+    keys = spark.createDataFrame([(f"vol-{i}",) for i in range(120)] + [("",), ("é" * 9,), (None,)], "key string")
+    weights = [1.0, 2.0, 2.1, 0.0, -1.0, 3.5, math.inf, 1e-300, 1e300, 7.0]
+    lists = (
+        [(f"node-{i}", i % 4 + 1.0, f"z{i % 5}") for i in range(1300)],
+        [(n, weights[i % 10], f"z{i % 3}") for i, n in enumerate(["", "", "a", "a", "ab", "abc", "b", "é", "日本", "x" * 60] * 3)],
+        [(f"n{i}", 0.0, "z") for i in range(6)], [("one", 1.0, None)],
+    )
+    for nodes in lists:
+        frame = spark.createDataFrame(nodes, "node_id string, weight double, zone string")
+        for domain, count in (("zone", 3), ("zone", 0), ("zone", 7), ("node_id", 4)):
+            found = placement.place_by_domain(keys, frame, count, domain)
+            assert "MapInPandas" not in found._jdf.queryExecution().toString()
+            listed = placement.listed(frame.select("node_id", "weight", F.col(domain).alias("domain")))
+            names = [r["node_id"] for r in listed]
+            codes = np.unique([str(r["domain"]) for r in listed], return_inverse=True)[1]
+            singly = placement.by_domain_singly(keys.where("key IS NOT NULL"), names, np.array([r["weight"] for r in listed]), codes, count)
+            assert rows(found) == rows(singly) and (len(rows(found)) > 0) == (count > 0)
+
+
 def test_movement_is_what_moved_between_placements(spark):
     before = spark.createDataFrame([(f"n{i}", i % 3, "ready" if i % 5 else "offline") for i in range(1, 40)], "node_id string, weight int, status string")
     after = spark.createDataFrame([(f"n{i}", i % 4, "ready" if i % 7 else "offline") for i in range(5, 45)], "node_id string, weight int, status string")
