@@ -8,7 +8,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from tessera.functions import exprs
+from tessera.functions import exprs, straw
 from tessera.functions.udfs import ReedSolomon, crc32c, crc32c_bytes, fnv1a, node_hashes
 from tessera.operators import chunks, compliance, listing, namespace, placement, policy, ranges, refs
 from tessera.plans import registry
@@ -361,6 +361,21 @@ def test_placement_of_short_lists_and_long_names(spark):
         assert rows(placement.place_singly(frame.withColumn("_count", F.lit(min(4, len(names)))), names, np.array([float(weights[n]) for n in names]))) == got
 
 
+def test_placement_by_blocks_and_by_vectors(spark):
+    """Draws alternate between the two ways at first; the JVM's block function
+    can be reached, and both give the same."""
+    weights = {f"node-{i}": float(i % 4 + 1) for i in range(600)}
+    nodes = spark.createDataFrame([(n, w, "ready") for n, w in weights.items()], "node_id string, weight double, status string")
+    frame = spark.createDataFrame([(f"vol-{i}",) for i in range(300)], "key string").coalesce(1)
+    loader = straw._load(spark, "Straw").getClassLoader()
+    direct = spark._jvm.java.lang.Class.forName("tessera.Straw$Direct", True, loader).getDeclaredMethod("open", None)
+    direct.setAccessible(True)
+    assert direct.invoke(None, None) is not None
+    names = sorted(weights)
+    singly = placement.place_singly(frame.withColumn("_count", F.lit(3)), names, np.array([weights[n] for n in names]))
+    assert rows(placement.place(frame, nodes, 3)) == rows(singly)
+
+
 def test_human_bytes_rounds_as_printf(spark):
     sizes = [0, 1023, 1024, 1280, 1331, 1792, 2304, 2432, 9472, 1048575, 1310720, 1 << 20, 5 * (1 << 28), (1 << 40) * 7 // 4, (1 << 53) + 1] + [1024 + 51 * i for i in range(300)]
     units = ("B", "KiB", "MiB", "GiB", "TiB")
