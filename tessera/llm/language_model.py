@@ -46,11 +46,13 @@ SHARE = 4
 TASK_TEXTS = 2048
 FIT_TOKENS = 1_000_000
 RATE = 0.01
+#: Weights that an optimizer step handles at once, so that they stay in cache.
+PASS = 16_384
 #: Text whose words are counted together before they are sent.
 PARTIAL_BYTES = 16 << 20
 #: Rows and bytes scored together in a worker.
-SCORE_ROWS = 4608
-SCORE_BYTES = 15 << 20
+SCORE_ROWS = 9216
+SCORE_BYTES = 30 << 20
 ADD = 0.1
 
 
@@ -152,7 +154,9 @@ def exps(z: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 
 
 def sigmoid(x: np.ndarray) -> np.ndarray:
-    return np.tanh(x * np.float32(0.5)) * np.float32(0.5) + np.float32(0.5)
+    e = np.exp(np.minimum(-x, np.float32(80)))
+    e += 1
+    return np.reciprocal(e, out=e)
 
 
 class Gru:
@@ -179,11 +183,16 @@ class Gru:
     def step(self, h: np.ndarray, x: np.ndarray) -> tuple[np.ndarray, ...]:
         """Next state from state and input ids; with what training needs."""
         k = self.hidden
-        gi, gh = self.p["x"][x], h @ self.p["u"]
+        gi, gh = self.p["x"].take(x, axis=0), h @ self.p["u"]
         rz = sigmoid(gi[:, : 2 * k] + gh[:, : 2 * k])
         r, z = rz[:, :k], rz[:, k:]
-        n = np.tanh(gi[:, 2 * k :] + r * gh[:, 2 * k :])
-        return n + z * (h - n), r, z, n, gh[:, 2 * k :]
+        n = r * gh[:, 2 * k :]
+        n += gi[:, 2 * k :]
+        np.tanh(n, out=n)
+        out = h - n
+        out *= z
+        out += n
+        return out, r, z, n, gh[:, 2 * k :]
 
     def _by_class(self, y: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Class of each id, and the rows in order of class with its edges."""
@@ -198,13 +207,17 @@ class Gru:
         c, order, edges = self._by_class(y)
         z = h @ self.p["wc"] + self.p["bc"]
         _, s, m = exps(z)
-        out = z[np.arange(len(y)), c] - m - np.log(s)
-        for k in range(self.classes - 1):
-            rows = order[edges[k] : edges[k + 1]]
-            if len(rows):
-                z = h[rows] @ self.p["ww"][k] + self.p["bw"][k]
-                _, s, m = exps(z)
-                out[rows] += z[np.arange(len(rows)), y[rows] % CLASS_WORDS] - m - np.log(s)
+        at = np.arange(len(y))
+        out = z[at, c] - m - np.log(s)
+        # rows in order of class, so that those of a class are a slice
+        h, y, within = h.take(order, axis=0), y.take(order) % CLASS_WORDS, np.zeros_like(out)
+        for k in np.flatnonzero(np.diff(edges)).tolist():
+            i, j = int(edges[k]), int(edges[k + 1])
+            z = h[i:j] @ self.p["ww"][k]
+            z += self.p["bw"][k]
+            _, s, m = exps(z)
+            within[i:j] = z[at[: j - i], y[i:j]] - m - np.log(s)
+        out[order] += within
         return out
 
     def score(self, texts: list[np.ndarray]) -> np.ndarray:
@@ -246,9 +259,11 @@ class Gru:
         h = np.zeros((lanes, self.hidden), dtype=np.float32)
         states = np.empty((BPTT * lanes, self.hidden), dtype=np.float32)
         edges = edge.tolist()
-        for at in range(0, steps, BPTT):
-            end = min(steps, at + BPTT)
-            base = edges[at]
+        end = 0
+        while end < steps:
+            # as many steps as fill the states: the fewer lanes are alive, the more
+            at, base = end, edges[end]
+            end = int(np.searchsorted(edge, base + len(states), side="right")) - 1
             for t in range(at, end):
                 lo, hi = edges[t], edges[t + 1]
                 live, new = hi - lo, first[lo:hi]
@@ -280,7 +295,7 @@ class Gru:
         flat, grad = np.concatenate([self.p[a].ravel() for a in names]), np.empty(int(edges[-1]), np.float32)
         views = lambda x: {a: x[i:j].reshape(self.p[a].shape) for a, i, j in zip(names, edges, edges[1:], strict=False)}
         self.p, g = views(flat), views(grad)
-        first, second, work, step = np.zeros_like(flat), np.zeros_like(flat), np.empty_like(flat), 0
+        first, second, work, step = np.zeros_like(flat), np.zeros_like(flat), np.empty(PASS, np.float32), 0
         for _ in range(epochs):
             h = np.zeros((lanes, k), dtype=np.float32)
             for at in range(0, n, BPTT):
@@ -307,22 +322,30 @@ class Gru:
                     carry = d * z + dg[t] @ self.p["u"].T
                 g["u"] += states[:-1].reshape(-1, k).T @ dg.reshape(-1, 3 * k)
                 ids = x[at:end].reshape(-1)
-                order = np.argsort(ids, kind="stable")
+                # a radix sort where the ids have two bytes
+                order = np.argsort(ids.astype(np.uint16) if self.rest < 1 << 16 else ids, kind="stable")
                 ids = ids[order]
                 begin = np.flatnonzero(np.concatenate([[True], ids[1:] != ids[:-1]]))
-                g["x"][ids[begin]] += np.add.reduceat(di.reshape(-1, 3 * k)[order], begin, axis=0)
+                g["x"][ids[begin]] = np.add.reduceat(di.reshape(-1, 3 * k).take(order, axis=0), begin, axis=0)
                 step += 1
-                grad /= np.float32((end - at) * lanes)
-                # means of the gradient and of its square, then the step
-                np.subtract(grad, first, out=work)
-                first += np.multiply(work, np.float32(0.1), out=work)
-                np.multiply(grad, grad, out=work)
-                work -= second
-                second += np.multiply(work, np.float32(0.01), out=work)
-                np.sqrt(np.multiply(second, np.float32(1 / (1 - 0.99**step)), out=work), out=work)
-                work += np.float32(1e-6)
-                np.divide(first, work, out=work)
-                flat += np.multiply(work, np.float32(rate / (1 - 0.9**step)), out=work)
+                scale, by1, by2 = np.float32(1 / ((end - at) * lanes)), np.float32(rate / (1 - 0.9**step)), np.float32(1 / (1 - 0.99**step))
+                for i in range(0, len(flat), PASS):
+                    part, m, v, w = grad[i : i + PASS], first[i : i + PASS], second[i : i + PASS], flat[i : i + PASS]
+                    part *= scale
+                    # means of the gradient and of its square, then the step
+                    d = np.subtract(part, m, out=work[: len(part)])
+                    d *= np.float32(0.1)
+                    m += d
+                    np.multiply(part, part, out=d)
+                    d -= v
+                    d *= np.float32(0.01)
+                    v += d
+                    np.multiply(v, by2, out=d)
+                    np.sqrt(d, out=d)
+                    d += np.float32(1e-6)
+                    np.divide(m, d, out=d)
+                    d *= by1
+                    w += d
         return self
 
     def _output_grads(self, h: np.ndarray, y: np.ndarray, g: dict[str, np.ndarray]) -> np.ndarray:
@@ -335,15 +358,21 @@ class Gru:
         g["wc"] += h.T @ d
         g["bc"] += np.ones(len(d), dtype=d.dtype) @ d
         dh = d @ self.p["wc"].T
+        # rows in order of class, so that those of a class are a slice
+        at, h, y = np.arange(len(y)), h.take(order, axis=0), y.take(order) % CLASS_WORDS
+        within = np.zeros_like(dh)
         for k in np.flatnonzero(np.diff(edges)).tolist():
-            rows = order[edges[k] : edges[k + 1]]
-            own = h[rows]
-            d, total, _ = exps(own @ self.p["ww"][k] + self.p["bw"][k])
+            i, j = int(edges[k]), int(edges[k + 1])
+            own = h[i:j]
+            z = own @ self.p["ww"][k]
+            z += self.p["bw"][k]
+            d, total, _ = exps(z)
             d *= (-1 / total)[:, None]
-            d[np.arange(len(rows)), y[rows] % CLASS_WORDS] += 1
+            d[at[: j - i], y[i:j]] += 1
             g["ww"][k] += own.T @ d
             g["bw"][k] += np.ones(len(d), dtype=d.dtype) @ d
-            dh[rows] += d @ self.p["ww"][k].T
+            np.matmul(d, self.p["ww"][k].T, out=within[i:j])
+        dh[order] += within
         return dh
 
 

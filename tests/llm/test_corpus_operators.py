@@ -345,6 +345,26 @@ def test_op9_model_is_a_distribution_and_lanes_agree():
         assert np.allclose(together[i :: len(texts)], lp, rtol=1e-3)
 
 
+def test_op9_long_texts_take_few_windows(monkeypatch):
+    """One text far longer than the others: its steps alone fill whole windows,
+    and its score is that of one token after another."""
+    head = {b"": 50, **{f"w{i}".encode(): 100 - i for i in range(90)}}
+    vocab = language_model.Vocabulary(list(head), np.array(list(head.values())), len(head), sum(head.values()) + 40, len(head) + 30)
+    r = np.random.default_rng(3)
+    texts = [r.integers(0, 92, size=n).astype(np.int32) for n in (5000, *[20] * 800)]
+    model = language_model.Gru(vocab).fit(texts, epochs=1)
+    calls, plain = [], model.log_probs
+    monkeypatch.setattr(model, "log_probs", lambda h, y: calls.append(len(y)) or plain(h, y))
+    got = model.score(texts)
+    assert sum(calls) == 21_000 and len(calls) < 50
+    state, x, lp = np.zeros((1, model.hidden), np.float32), model.start, 0.0
+    for y in texts[0].tolist():
+        state = model.step(state, np.array([x]))[0]
+        lp += plain(state, np.array([y]))[0]
+        x = y
+    assert np.isclose(got[0], lp, rtol=1e-3)
+
+
 def test_op9_gradients():
     head = {b"": 5, **{f"w{i}".encode(): 9 for i in range(70)}}
     vocab = language_model.Vocabulary(list(head), np.array(list(head.values())), len(head), sum(head.values()), len(head))
