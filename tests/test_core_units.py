@@ -376,6 +376,23 @@ def test_placement_by_blocks_and_by_vectors(spark):
     assert rows(placement.place(frame, nodes, 3)) == rows(singly)
 
 
+def test_blocks_are_written_ahead_of_their_digests(spark):
+    """Each block of a ring has a state of its own; node lists that end before,
+    at and behind the ring's end are drawn whole, at every alignment of a key."""
+    kind = spark._jvm.java.lang.Class.forName("tessera.Straw$Direct", True, straw._load(spark, "Straw").getClassLoader())
+    opener, states = kind.getDeclaredMethod("open", None), kind.getDeclaredField("words")
+    opener.setAccessible(True)
+    states.setAccessible(True)
+    ring = states.get(opener.invoke(None, None))
+    assert len(ring) == 32 and all(len(x) == 8 for x in ring)
+    keys = ["x" * n for n in range(20)]
+    frame = spark.createDataFrame([(k,) for k in keys], "key string").coalesce(1)
+    for n in (31, 32, 33, 65):
+        weights = {f"node-{i}": float(i % 4 + 1) for i in range(n)}
+        nodes = spark.createDataFrame([(x, w, "ready") for x, w in weights.items()], "node_id string, weight double, status string")
+        assert rows(placement.place(frame, nodes, 2)) == drawn(keys, weights, 2)
+
+
 def test_human_bytes_rounds_as_printf(spark):
     sizes = [0, 1023, 1024, 1280, 1331, 1792, 2304, 2432, 9472, 1048575, 1310720, 1 << 20, 5 * (1 << 28), (1 << 40) * 7 // 4, (1 << 53) + 1] + [1024 + 51 * i for i in range(300)]
     units = ("B", "KiB", "MiB", "GiB", "TiB")
