@@ -484,6 +484,27 @@ def test_actions_over_many_nodes(spark):
     assert rows(compliance.actions(held, nodes, 3)) == sorted(("c", "replicate", "node-9999", n) for n in targets)
 
 
+def test_short_chunks_are_placed_to_their_last_target(spark):
+    """A chunk that lacks one replica costs one round of draws, unless its holder
+    is drawn first; both ways of drawing end there, and the actions are those of
+    whole placements."""
+    weights = {f"node-{i}": float(i % 4 + 1) for i in range(5)}
+    names = sorted(weights)
+    nodes = spark.createDataFrame([(n, w, "ready") for n, w in weights.items()], "node_id string, weight double, status string")
+    held = {f"c{i}": names[i % 5 :][: 1 + i // 5 % 2] for i in range(60)}
+    whole = {k: [n for _, _, n in drawn([k], weights, 3)] for k in held}
+    want = {k: next(r for r in range(4) if r == 3 or sum(n not in h for n in whole[k][:r]) == 3 - len(h)) for k, h in held.items()}
+    assert {want[k] for k in held if len(held[k]) == 1} == {2, 3} and {1, 2} <= {want[k] for k in held if len(held[k]) == 2}
+    frame = spark.createDataFrame([(k, h, 3 - len(h)) for k, h in held.items()], "key string, held array<string>, lack int")
+    got = rows(placement.place(frame, nodes, 3, F.col("lack"), F.col("held")))
+    assert got == sorted((k, r, whole[k][r]) for k in held for r in range(want[k]))
+    dealt = frame.select("key", F.lit(3).alias("_count"), F.col("held").alias("_held"), F.col("lack").alias("_others"))
+    assert rows(placement.place_singly(dealt, names, np.array([weights[n] for n in names]))) == got
+    listed = spark.createDataFrame([(k, n, i) for k, h in held.items() for i, n in enumerate(h)], "chunk_id string, node_id string, slot int")
+    targets = {k: [n for n in whole[k] if n not in h][: 3 - len(h)] for k, h in held.items()}
+    assert rows(compliance.actions(listed, nodes, 3)) == sorted((k, "replicate", held[k][0], n) for k in held for n in targets[k])
+
+
 def test_backends_over_many_nodes(spark):
     weights = {f"node-{i}": i % 4 + 1 for i in range(10_500)}
     nodes = spark.createDataFrame([(n, w, "ready") for n, w in weights.items()], "node_id string, weight int, status string")
