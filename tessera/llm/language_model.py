@@ -140,12 +140,13 @@ class Vocabulary:
 
 
 def exps(z: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """``(e, s, m)``: exponentials of rows less ``m``, and their sums. One
-    maximum serves all rows unless they are too far apart for single precision."""
-    m = z.max() if z.size else np.float32(0)
-    e = np.exp(z - m)
-    s = e @ np.ones(z.shape[-1], dtype=z.dtype)
-    if s.size and s.min() < 1e-25:
+    """``(e, s, m)``: exponentials of rows less ``m``, and their sums. ``m`` is
+    zero unless a row's sum is then beyond single precision."""
+    with np.errstate(over="ignore"):
+        e = np.exp(z)
+        s = e @ np.ones(z.shape[-1], dtype=z.dtype)
+    m = np.float32(0)
+    if s.size and not (s.min() > 1e-25 and s.max() < 1e30):
         m = z.max(axis=-1, keepdims=True)
         e = np.exp(z - m)
         s = e.sum(axis=-1)
@@ -154,9 +155,19 @@ def exps(z: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 
 
 def sigmoid(x: np.ndarray) -> np.ndarray:
-    e = np.exp(np.minimum(-x, np.float32(80)))
-    e += 1
-    return np.reciprocal(e, out=e)
+    """In place."""
+    np.negative(x, out=x)
+    np.minimum(x, np.float32(80), out=x)
+    np.exp(x, out=x)
+    x += 1
+    return np.reciprocal(x, out=x)
+
+
+def with_ones(h: np.ndarray) -> np.ndarray:
+    """Rows with a last column of ones, so that a product adds the bias too."""
+    out = np.ones((len(h), h.shape[1] + 1), dtype=h.dtype)
+    out[:, :-1] = h
+    return out
 
 
 class Gru:
@@ -180,19 +191,29 @@ class Gru:
         known = vocab.words[:words]
         self.start = known.index(b"") if b"" in known else self.rest
 
-    def step(self, h: np.ndarray, x: np.ndarray) -> tuple[np.ndarray, ...]:
-        """Next state from state and input ids; with what training needs."""
+    def gates(self, gi: np.ndarray, h: np.ndarray, gh: np.ndarray | None = None, rz: np.ndarray | None = None, n: np.ndarray | None = None, out: np.ndarray | None = None) -> tuple[np.ndarray, ...]:
+        """Next state from inputs and state, with what training needs, into the
+        arrays given. A column is a lane, so that a gate is whole rows, which
+        numpy passes over several times as fast as parts of rows."""
         k = self.hidden
-        gi, gh = self.p["x"].take(x, axis=0), h @ self.p["u"]
-        rz = sigmoid(gi[:, : 2 * k] + gh[:, : 2 * k])
-        r, z = rz[:, :k], rz[:, k:]
-        n = r * gh[:, 2 * k :]
-        n += gi[:, 2 * k :]
+        gh = np.matmul(self.p["u"].T, h, out=gh)
+        rz = sigmoid(np.add(gi[: 2 * k], gh[: 2 * k], out=rz))
+        r, z = rz[:k], rz[k:]
+        n = np.multiply(r, gh[2 * k :], out=n)
+        n += gi[2 * k :]
         np.tanh(n, out=n)
-        out = h - n
+        out = np.subtract(h, n, out=out)
         out *= z
         out += n
-        return out, r, z, n, gh[:, 2 * k :]
+        return out, r, z, n, gh[2 * k :]
+
+    def step(self, h: np.ndarray, x: np.ndarray) -> tuple[np.ndarray, ...]:
+        """``gates`` for input ids, with a row a lane."""
+        return tuple(a.T for a in self.gates(self.p["x"].take(x, axis=0).T, h.T))
+
+    def _outputs(self) -> tuple[np.ndarray, np.ndarray]:
+        """Output weights of the classes and of their words, biases as last rows."""
+        return np.concatenate([self.p["wc"], self.p["bc"][None]]), np.concatenate([self.p["ww"], self.p["bw"][:, None]], axis=1)
 
     def _by_class(self, y: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Class of each id, and the rows in order of class with its edges."""
@@ -201,22 +222,31 @@ class Gru:
         order = np.argsort(c.astype(np.int16), kind="stable")
         return c, order, np.searchsorted(c[order], np.arange(self.classes))
 
+    def _words(self, h: np.ndarray, ww: np.ndarray, edges: np.ndarray) -> np.ndarray:
+        """Outputs of the words of each row's class; rows are in order of class
+        and those of the last class have none."""
+        z = np.empty((int(edges[-1]), CLASS_WORDS), dtype=h.dtype)
+        for k in np.flatnonzero(np.diff(edges)).tolist():
+            i, j = int(edges[k]), int(edges[k + 1])
+            np.matmul(h[i:j], ww[k], out=z[i:j])
+        return z
+
     def log_probs(self, h: np.ndarray, y: np.ndarray) -> np.ndarray:
         """Natural log of P(class) P(word | class) per row; a word without an
         id stops at its class."""
         c, order, edges = self._by_class(y)
-        z = h @ self.p["wc"] + self.p["bc"]
+        wc, ww = self._outputs()
+        h = with_ones(h)
+        z = h @ wc
         _, s, m = exps(z)
         at = np.arange(len(y))
         out = z[at, c] - m - np.log(s)
         # rows in order of class, so that those of a class are a slice
         h, y, within = h.take(order, axis=0), y.take(order) % CLASS_WORDS, np.zeros_like(out)
-        for k in np.flatnonzero(np.diff(edges)).tolist():
-            i, j = int(edges[k]), int(edges[k + 1])
-            z = h[i:j] @ self.p["ww"][k]
-            z += self.p["bw"][k]
-            _, s, m = exps(z)
-            within[i:j] = z[at[: j - i], y[i:j]] - m - np.log(s)
+        z = self._words(h, ww, edges)
+        _, s, m = exps(z)
+        n = len(z)
+        within[:n] = z[at[:n], y[:n]] - m - np.log(s)
         out[order] += within
         return out
 
@@ -245,7 +275,7 @@ class Gru:
         # lanes that are alive at each step come first; all steps lie end to end
         alive = np.searchsorted(-load, -np.arange(steps), side="left")
         edge = np.concatenate([[0], np.cumsum(alive)])
-        y, doc = np.empty(total, dtype=np.int32), np.empty(total, dtype=np.int32)
+        x, y, doc = (np.empty(total, dtype=np.int32) for _ in range(3))
         first = np.zeros(total, dtype=bool)
         for j, i in enumerate(lane_order.tolist()):
             at = 0
@@ -253,28 +283,28 @@ class Gru:
                 if sizes[t]:
                     where = edge[at : at + sizes[t]] + j
                     y[where] = texts[t]
+                    x[where[1:]] = texts[t][:-1]
+                    x[where[0]] = self.start
                     doc[where] = t
                     first[where[0]] = True
                     at += sizes[t]
-        h = np.zeros((lanes, self.hidden), dtype=np.float32)
+        h = np.zeros((self.hidden, lanes), dtype=np.float32)
         states = np.empty((BPTT * lanes, self.hidden), dtype=np.float32)
-        edges = edge.tolist()
+        edges, begins = edge.tolist(), (np.add.reduceat(first, edge[:-1]) > 0).tolist()
         end = 0
         while end < steps:
             # as many steps as fill the states: the fewer lanes are alive, the more
             at, base = end, edges[end]
             end = int(np.searchsorted(edge, base + len(states), side="right")) - 1
+            stop = edges[end]
+            given = self.p["x"].take(x[base:stop], axis=0)
             for t in range(at, end):
                 lo, hi = edges[t], edges[t + 1]
-                live, new = hi - lo, first[lo:hi]
-                x = y[edges[t - 1] : edges[t - 1] + live] if t else np.full(live, self.start, dtype=np.int32)
-                h = h[:live]
-                if new.any():
-                    x = np.where(new, self.start, x)
-                    h = h * ~new[:, None]
-                h = self.step(h, x)[0]
-                states[lo - base : hi - base] = h
-            stop = edges[end]
+                h = h[:, : hi - lo]
+                if begins[t]:
+                    h = h * ~first[lo:hi]
+                h = self.gates(np.ascontiguousarray(given[lo - base : hi - base].T), h)[0]
+                states[lo - base : hi - base] = h.T
             lp = self.log_probs(states[: stop - base], y[base:stop])
             out += np.bincount(doc[base:stop], weights=lp, minlength=len(texts))
         return out
@@ -297,38 +327,44 @@ class Gru:
         self.p, g = views(flat), views(grad)
         first, second, work, step = np.zeros_like(flat), np.zeros_like(flat), np.empty(PASS, np.float32), 0
         for _ in range(epochs):
-            h = np.zeros((lanes, k), dtype=np.float32)
+            h = np.zeros((k, lanes), dtype=np.float32)
             for at in range(0, n, BPTT):
                 end = min(n, at + BPTT)
+                many = end - at
                 grad[:] = 0
-                states, tape = np.empty((end - at + 1, lanes, k), np.float32), []
-                states[0] = h
-                for t in range(at, end):
-                    h, *kept = self.step(h, x[t])
-                    tape.append(kept)
-                    states[t - at + 1] = h
-                dh_out = self._output_grads(states[1:].reshape(-1, k), y[at:end].reshape(-1), g).reshape(end - at, lanes, k)
-                carry = np.zeros((lanes, k), dtype=np.float32)
-                di, dg = np.empty((end - at, lanes, 3 * k), np.float32), np.empty((end - at, lanes, 3 * k), np.float32)
-                for t in range(end - at - 1, -1, -1):
-                    before, (r, z, c, gh) = states[t], tape[t]
-                    d = dh_out[t] + carry
-                    dc = d * (1 - z) * (1 - c * c)
-                    di[t, :, :k] = dc * gh * r * (1 - r)
-                    di[t, :, k : 2 * k] = d * (before - c) * z * (1 - z)
-                    di[t, :, 2 * k :] = dc
-                    dg[t] = di[t]
-                    dg[t, :, 2 * k :] *= r
-                    carry = d * z + dg[t] @ self.p["u"].T
-                g["u"] += states[:-1].reshape(-1, k).T @ dg.reshape(-1, 3 * k)
                 ids = x[at:end].reshape(-1)
+                turned = lambda a: np.ascontiguousarray(a.reshape(many, lanes, -1).transpose(0, 2, 1))  # noqa: B023, E731
+                given = turned(self.p["x"].take(ids, axis=0))
+                states, gh, rz, c = (np.empty((m, w, lanes), np.float32) for m, w in ((many + 1, k), (many, 3 * k), (many, 2 * k), (many, k)))
+                states[0] = h
+                for t in range(many):
+                    self.gates(given[t], states[t], gh[t], rz[t], c[t], states[t + 1])
+                h = states[many]
+                dh_out = turned(self._output_grads(states[1:].transpose(0, 2, 1).reshape(-1, k), y[at:end].reshape(-1), g))
+                # derivatives of all steps at once, then the chain through them
+                r, z = rz[:, :k], rz[:, k:]
+                to_c, to_r, to_z = (1 - z) * (1 - c * c), gh[:, 2 * k :] * r * (1 - r), (states[:-1] - c) * z * (1 - z)
+                carry = np.zeros((k, lanes), dtype=np.float32)
+                di, dg = np.empty((many, 3 * k, lanes), np.float32), np.empty((many, 3 * k, lanes), np.float32)
+                for t in range(many - 1, -1, -1):
+                    d = dh_out[t]
+                    d += carry
+                    dc = np.multiply(d, to_c[t], out=di[t, 2 * k :])
+                    np.multiply(dc, to_r[t], out=di[t, :k])
+                    np.multiply(d, to_z[t], out=di[t, k : 2 * k])
+                    dg[t, : 2 * k] = di[t, : 2 * k]
+                    np.multiply(dc, r[t], out=dg[t, 2 * k :])
+                    carry = self.p["u"] @ dg[t]
+                    d *= z[t]
+                    carry += d
+                g["u"] += np.matmul(states[:-1], dg.transpose(0, 2, 1)).sum(axis=0)
                 # a radix sort where the ids have two bytes
                 order = np.argsort(ids.astype(np.uint16) if self.rest < 1 << 16 else ids, kind="stable")
                 ids = ids[order]
                 begin = np.flatnonzero(np.concatenate([[True], ids[1:] != ids[:-1]]))
-                g["x"][ids[begin]] = np.add.reduceat(di.reshape(-1, 3 * k).take(order, axis=0), begin, axis=0)
+                g["x"][ids[begin]] = np.add.reduceat(di.transpose(0, 2, 1).reshape(-1, 3 * k).take(order, axis=0), begin, axis=0)
                 step += 1
-                scale, by1, by2 = np.float32(1 / ((end - at) * lanes)), np.float32(rate / (1 - 0.9**step)), np.float32(1 / (1 - 0.99**step))
+                scale, by1, by2 = np.float32(1 / (many * lanes)), np.float32(rate / (1 - 0.9**step)), np.float32(1 / (1 - 0.99**step))
                 for i in range(0, len(flat), PASS):
                     part, m, v, w = grad[i : i + PASS], first[i : i + PASS], second[i : i + PASS], flat[i : i + PASS]
                     part *= scale
@@ -352,25 +388,27 @@ class Gru:
         """Adds the output layers' gradients of the log-likelihood; returns
         that of the states."""
         c, order, edges = self._by_class(y)
-        d, total, _ = exps(h @ self.p["wc"] + self.p["bc"])
+        wc, ww = self._outputs()
+        h, n = with_ones(h), h.shape[1]
+        d, total, _ = exps(h @ wc)
         d *= (-1 / total)[:, None]
         d[np.arange(len(y)), c] += 1
-        g["wc"] += h.T @ d
-        g["bc"] += np.ones(len(d), dtype=d.dtype) @ d
+        both = h.T @ d
+        g["wc"] += both[:n]
+        g["bc"] += both[n]
         dh = d @ self.p["wc"].T
         # rows in order of class, so that those of a class are a slice
         at, h, y = np.arange(len(y)), h.take(order, axis=0), y.take(order) % CLASS_WORDS
         within = np.zeros_like(dh)
+        every, total, _ = exps(self._words(h, ww, edges))
+        every *= (-1 / total)[:, None]
+        every[at[: len(every)], y[: len(every)]] += 1
         for k in np.flatnonzero(np.diff(edges)).tolist():
             i, j = int(edges[k]), int(edges[k + 1])
-            own = h[i:j]
-            z = own @ self.p["ww"][k]
-            z += self.p["bw"][k]
-            d, total, _ = exps(z)
-            d *= (-1 / total)[:, None]
-            d[at[: j - i], y[i:j]] += 1
-            g["ww"][k] += own.T @ d
-            g["bw"][k] += np.ones(len(d), dtype=d.dtype) @ d
+            d = every[i:j]
+            both = h[i:j].T @ d
+            g["ww"][k] += both[:n]
+            g["bw"][k] += both[n]
             np.matmul(d, self.p["ww"][k].T, out=within[i:j])
         dh[order] += within
         return dh

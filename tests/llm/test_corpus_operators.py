@@ -365,6 +365,25 @@ def test_op9_long_texts_take_few_windows(monkeypatch):
     assert np.isclose(got[0], lp, rtol=1e-3)
 
 
+def test_op9_lanes_are_columns():
+    """``gates`` is the plain formula with a column a lane, whether or not it is
+    given arrays to write to; sums beyond single precision keep their logs."""
+    r = np.random.default_rng(5)
+    head = {b"": 9, b"a": 5, b"b": 3}
+    model = language_model.Gru(language_model.Vocabulary(list(head), np.array(list(head.values())), 3, 17, 3))
+    k = model.hidden
+    gi, h = r.normal(size=(3 * k, 7)).astype("f4"), r.normal(size=(k, 7)).astype("f4")
+    gh = model.p["u"].T.astype("f8") @ h
+    plain = lambda x: 1 / (1 + np.exp(-x))
+    z, c = plain(gi[k : 2 * k] + gh[k : 2 * k]), np.tanh(gi[2 * k :] + plain(gi[:k] + gh[:k]) * gh[2 * k :])
+    given = [np.empty((n * k, 7), np.float32) for n in (3, 2, 1, 1)]
+    for out in (model.gates(gi, h)[0], model.gates(gi, h, *given)[0], given[3]):
+        assert np.abs(out - (c + z * (h - c))).max() < 1e-5
+    far = np.array([[200, 199], [-300, -299], [1, 2]], np.float32)
+    e, s, m = language_model.exps(far)
+    assert np.allclose(np.log(s) + m, np.logaddexp(*far.T)) and np.allclose(e.sum(axis=1), s)
+
+
 def test_op9_gradients():
     head = {b"": 5, **{f"w{i}".encode(): 9 for i in range(70)}}
     vocab = language_model.Vocabulary(list(head), np.array(list(head.values())), len(head), sum(head.values()), len(head))
