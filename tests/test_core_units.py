@@ -393,6 +393,18 @@ def test_blocks_are_written_ahead_of_their_digests(spark):
         assert rows(placement.place(frame, nodes, 2)) == drawn(keys, weights, 2)
 
 
+def test_keys_are_dealt_in_shares(spark):
+    """Each slot gets several tasks of like size, so that a slow core does not
+    hold up the rest; the placement is the same."""
+    weights = {f"node-{i}": i % 3 + 1 for i in range(20)}
+    nodes = spark.createDataFrame([(n, w, "ready") for n, w in weights.items()], "node_id string, weight int, status string")
+    keys = [f"vol-{i}" for i in range(640)]
+    got = placement.place(spark.createDataFrame([(k,) for k in keys], "key string").coalesce(1), nodes, 2)
+    sizes = [r["count"] for r in got.groupBy(F.spark_partition_id()).count().collect()]
+    assert len(sizes) == 8 * 4 and max(sizes) <= 2 * min(sizes)
+    assert rows(got) == drawn(keys, weights, 2)
+
+
 def test_human_bytes_rounds_as_printf(spark):
     sizes = [0, 1023, 1024, 1280, 1331, 1792, 2304, 2432, 9472, 1048575, 1310720, 1 << 20, 5 * (1 << 28), (1 << 40) * 7 // 4, (1 << 53) + 1] + [1024 + 51 * i for i in range(300)]
     units = ("B", "KiB", "MiB", "GiB", "TiB")
