@@ -3,6 +3,7 @@
 import hashlib
 import math
 import random
+import struct
 
 import numpy as np
 import pytest
@@ -462,6 +463,34 @@ def test_movement_is_what_moved_between_placements(spark):
     assert got._jdf.queryExecution().optimizedPlan().toString().count("tessera_straw_") == 1
 
 
+def test_movement_by_the_nodes_that_differ(spark):
+    """One node more, one less, another weight, none, a node that outdoes all;
+    keys within and beyond a block: what moved is as between whole placements."""
+    base = {f"node-{i}": float(i % 4 + 1) for i in range(300)}
+    listed = lambda x: spark.createDataFrame([(n, w, "ready") for n, w in x.items()], "node_id string, weight double, status string")
+    keys = spark.createDataFrame([(f"vol-{i}",) for i in range(3000)] + [("x" * i,) for i in range(70)] + [(None,)], "key string")
+    less = {n: w for n, w in base.items() if n != "node-7"}
+    for other, count in ((less, 2), (base | {"new": 3.0}, 3), (base | {"node-9": 4.5}, 1), (base, 2), (base | {"node-2": 1e9}, 2), (less | {"node-8": 0.5, "é": 1.0}, 2)):
+        before, after = listed(base), listed(other)
+        want = rows(placement.moved(placement.place(keys, before, count), placement.place(keys, after, count)).select("key", "replica", "node_id", "new_node"))
+        assert rows(placement.movement(keys, before, after, count)) == want and bool(want) == (other != base)
+
+
+def test_keys_that_stay_are_not_drawn(spark):
+    """With one node more among many, a key that stays costs some digests, not one
+    for each node; it is null."""
+    weights = {f"node-{i}": float(i % 4 + 1) for i in range(2000)}
+    names, sets = sorted(weights), ({n: w for n, w in weights.items() if n != "node-3"}, weights)
+    placed = [drawn(["vol-1"], x, 2) for x in sets]
+    assert placed[0] == placed[1]
+    table = struct.pack(">ii", len(names), 2) + b"".join(struct.pack(">2di", sets[0].get(n, 0.0), sets[1][n], len(n)) + n.encode() for n in names)
+    kind = straw._load(spark, "Straw")
+    draws, word = kind.newInstance().over(bytearray(table)), kind.getDeclaredField("drawn")
+    word.setAccessible(True)
+    assert draws.call("vol-1", 2, None, None) is None
+    assert len(word.get(draws)) >= 2000 and not any(word.get(draws))
+
+
 def test_shard_repairs_over_many_nodes(spark):
     weights, nodes = many(spark)
     shards = spark.createDataFrame([("c", i, "node-1") for i in (0, 2, 3, 5)], "chunk_id string, shard_index int, node_id string")
